@@ -6,8 +6,8 @@ ones nearest to 1 in relative entropy that meet the target under the limit of
 of each source maximises the convex dual; Newton steps over a (source, size)
 histogram find it, one distributed aggregation a step, guarded by a bracket.
 Rates are then rounded to whole copies: first at random (by a hash of the id),
-then a few correction rounds move single copies between floor and ceiling until
-the source's words meet the target.
+then a few correction rounds move single copies, between floor and ceiling as far as
+that goes, until the source's words meet the target.
 """
 
 from __future__ import annotations
@@ -108,9 +108,11 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int = 3, steps: int =
     return state.select("source", "source_size", "target", "scale", F.when(full, 1e6).otherwise(F.round("lam", 9)).alias("lam"))
 
 
-def _corrected(docs: DataFrame, turn: int, cells: int = 4096) -> DataFrame:
+def _corrected(docs: DataFrame, turn: int, cap: int, near: bool, cells: int = 4096) -> DataFrame:
     """Move single copies toward the target, in hash order, never past it.
 
+    near: only between floor and ceiling of a document's rate; else between 0
+    and ``cap``, for what small sources still miss.
     Documents are dealt to ``cells`` hash cells a source; sums over cells tell
     which cells move as a whole, and only the one where the target falls is
     looked at row by row.
@@ -119,7 +121,8 @@ def _corrected(docs: DataFrame, turn: int, cells: int = 4096) -> DataFrame:
     miss = miss.select(F.col("source").alias("s"), (F.col("t") - F.col("got")).alias("miss"))
     d = docs.join(miss, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     up = F.col("miss") > 0
-    may = (F.col("size") > 0) & (F.col("size") <= F.abs("miss")) & F.when(up, F.col("copies") < F.ceil("rate")).otherwise(F.col("copies") > F.floor("rate"))
+    most, least = (F.ceil("rate"), F.floor("rate")) if near else (F.lit(cap), F.lit(0))
+    may = (F.col("size") > 0) & (F.col("size") <= F.abs("miss")) & F.when(up, F.col("copies") < most).otherwise(F.col("copies") > least)
     d = d.withColumn("may", may).withColumn("p", F.xxhash64(F.lit(f"turn {turn}"), "doc_id"))
     d = d.withColumn("cell", F.pmod("p", F.lit(cells)))
     cell = d.filter("may").groupBy("source", "cell").agg(F.sum("size").alias("words"))
@@ -161,7 +164,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rounded = F.least(F.floor(F.col("rate") + uniform(F.lit("copies"), "doc_id")), F.lit(cap)).cast("long")
     out = cut(rated.withColumn("copies", F.when(F.col("size") > 0, rounded).otherwise(0)), "mix-copies")
     for turn in range(rounds):
-        new = cut(_corrected(out, turn), "mix-copies")
+        new = cut(_corrected(out, turn, cap, 2 * turn < rounds), "mix-copies")
         discard(out)
         out = new
     discard(hist, sized)
