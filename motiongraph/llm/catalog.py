@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join
+from . import decontaminate, exact_dedup, mixing, ngram_join
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_mix_sources": mixing.op7_mix_sources,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
 }
