@@ -29,14 +29,19 @@ from .wordhash import U, mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS, FRAGMENTS, BITMAP = 18, 4, 512
-#: A candidate table up to this many rows (16 bytes each) may be broadcast.
-SMALL_ROWS = 500_000
+#: A table of ids up to this many rows (8 bytes each) may be broadcast.
+SMALL_ROWS = 2_000_000
 
 
 def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=np.uint64)], np.uint64) ^ U(len(s)))[0].astype(np.int64)) if len(s) else 0
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """BITMAP parity bits: where two sets' bits differ, the sets differ."""
+    return np.packbits((np.bincount((s % U(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -52,15 +57,16 @@ def _need(n: int, percent: int) -> int:
 
 
 def _sets(k: int):
-    """(doc_id, n, sig) of each document and, last in each task, the task's shingle counts."""
+    """(doc_id, n, sig, bitmap) of each document and, last in each task, the task's shingle counts."""
+    names = ["doc_id", "n", "sig", "bitmap", "counts"]
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            n, sig = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            n, sig, maps = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
             held, size = [], 0
             for i, s in shingle_sets(b.column(1), k):
-                n[i], sig[i] = len(s), _signature(s)
+                n[i], sig[i], maps[i] = len(s), _signature(s), _parity(s)
                 held.append(_cell(s))
                 size += len(s)
                 if size > 1 << 20:
@@ -68,9 +74,10 @@ def _sets(k: int):
                     held, size = [], 0
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig), pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig), pa.array(maps, pa.binary()), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts], pa.list_(pa.int64()))], ["doc_id", "n", "sig", "counts"])
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names)
 
     return run
 
@@ -126,20 +133,18 @@ def _shared(batches):
 
 
 def _segments(k: int, level: np.ndarray, cuts: np.ndarray):
-    """(sig, n, bitmap, segs): a set cut at the pivots of the global order, each piece sorted by hash."""
+    """(sig, f, seg): a set cut at the pivots of the global order, each piece sorted by hash."""
 
     def run(batches):
         for b in batches:
-            sigs, ns, maps, segs = [], [], [], []
+            sigs, at, segs = [], [], []
             for _, s in shingle_sets(b.column(0), k):
-                order = _order(s, level)
-                piece = np.searchsorted(cuts, order, "right")
-                bits = np.bincount((s % U(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-                sigs.append(_signature(s))
-                ns.append(len(s))
-                maps.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                segs.append([s[piece == f].tobytes() for f in range(len(cuts) + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(ns, pa.int64()), pa.array(maps, pa.binary()), pa.array(segs, pa.list_(pa.binary()))], ["sig", "n", "bitmap", "segs"])
+                piece = np.searchsorted(cuts, _order(s, level), "right")
+                for f in range(len(cuts) + 1):
+                    sigs.append(_signature(s))
+                    at.append(f)
+                    segs.append(s[piece == f].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(at, pa.int32()), pa.array(segs, pa.binary())], ["sig", "f", "seg"])
 
     return run
 
@@ -170,27 +175,26 @@ def _bounded(percent: int):
 def _overlaps(batches):
     """Shingles that each pair shares within one fragment."""
     for x in batches:
-        c = [len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), True)) for s, t in zip(x.column(4).to_pylist(), x.column(5).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(c, pa.int64())], ["a", "b", "na", "nb", "part"])
+        c = [len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), True)) for s, t in zip(x.column(5).to_pylist(), x.column(6).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(c, pa.int64())], ["a", "b", "na", "nb", "f", "part"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, segments, percent: int) -> DataFrame:
     """Links (u, v) among distinct pairs (a, b): bitmap bound, then overlaps by fragment, summed."""
-    light = sets.select("sig", "n", "bitmap")
     both = (
-        pairs.join(light.selectExpr("sig AS a", "n AS na", "bitmap AS map_a"), "a")
-        .join(light.selectExpr("sig AS b", "n AS nb", "bitmap AS map_b"), "b")
+        pairs.join(classes.selectExpr("sig AS a", "n AS na", "bitmap AS map_a"), "a")
+        .join(classes.selectExpr("sig AS b", "n AS nb", "bitmap AS map_b"), "b")
         .select("a", "b", "na", "nb", "map_a", "map_b")
     )
-    left = both.mapInArrow(_bounded(percent), "a long, b long, na long, nb long")
-    seg = sets.select("sig", F.posexplode("segs").alias("f", "seg"))
+    left = cut(both.mapInArrow(_bounded(percent), "a long, b long, na long, nb long"), "jaccard-bounded")
+    seg = segments(left.selectExpr("a AS sig").union(left.selectExpr("b AS sig")).distinct())
     counted = (
         left.join(seg.selectExpr("sig AS b", "f", "seg AS seg_b"), "b")
         .join(seg.selectExpr("sig AS a", "f", "seg AS seg_a"), ["a", "f"])
-        .select("a", "b", "na", "nb", "seg_a", "seg_b")
-        .mapInArrow(_overlaps, "a long, b long, na long, nb long, part long")
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("part").alias("c"))
+        .select("a", "b", "na", "nb", "f", "seg_a", "seg_b")
+        .mapInArrow(_overlaps, "a long, b long, na long, nb long, f int, part long")
+        .groupBy("a", "b", "na", "nb", "f").agg(F.max("part").alias("part"))  # a repeated row brings a segment twice
+        .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("c"))
     )
     return counted.filter(f"100 * c >= {percent} * (na + nb - c)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -258,9 +262,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    listed = cut(docs.mapInArrow(_sets(words), "doc_id long, n long, sig long, counts array<long>"), "jaccard-sets")
-    each = listed.filter("counts IS NULL").drop("counts")
-    classes = each.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    listed = cut(docs.mapInArrow(_sets(words), "doc_id long, n long, sig long, bitmap binary, counts array<long>"), "jaccard-sets")
+    each = listed.filter("counts IS NULL").select("doc_id", "n", "sig")
+    classes = cut(listed.filter("counts IS NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "jaccard-classes")
 
     # the sketch has 2**SKETCH_BITS cells however large the corpus is
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -281,13 +285,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .mapInArrow(_shared, "tok long, sig long, n long"),
         "jaccard-postings",
     )
-    # one text of each class that shares a prefix shingle
-    wanted = cut(posts.select("sig").distinct().join(classes, "sig").select("least", "sig"), "jaccard-wanted")
-    near = F.broadcast(wanted.select("least").distinct()) if wanted.count() <= SMALL_ROWS else wanted.select("least").distinct()
-    sets = cut(
-        docs.join(near, docs.doc_id == F.col("least"), "left_semi").select("text").mapInArrow(_segments(words, level, cuts), "sig long, n long, bitmap binary, segs array<binary>").dropDuplicates(["sig"]),
-        "jaccard-segments",
-    )
+
+    def segments(sigs: DataFrame) -> DataFrame:
+        """Segments of the given sets, from one text of each."""
+        ids = cut(sigs.join(classes, "sig").select("least").distinct(), "jaccard-wanted")
+        ids = F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+        return cut(docs.join(ids, docs.doc_id.eqNullSafe(ids.least), "left_semi").select("text").mapInArrow(_segments(words, level, cuts), "sig long, f int, seg binary"), "jaccard-segments")
+
     tested = links = labels = None
 
     def placed() -> DataFrame:
@@ -300,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nonlocal tested, links, labels
         fresh = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         fresh = cut(fresh, "jaccard-pairs")
-        found = cut(_verified(fresh, sets, percent), "jaccard-links")
+        found = cut(_verified(fresh, classes, segments, percent), "jaccard-links")
         tested = fresh if tested is None else tested.union(fresh)
         links = found if links is None else links.union(found)
         labels = cut(components(links), "jaccard-labels")
@@ -312,7 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         star = open_.join(lead, "tok").filter(f"comp <> cl AND 100 * least(n, nl) >= {percent} * greatest(n, nl)")
         verify(star.select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")))
         discard(open_)
-    open_ = cut(placed().join(sets.select("sig", "bitmap"), "sig"), "jaccard-open")
+    open_ = cut(placed().join(classes.select("sig", "bitmap"), "sig"), "jaccard-open")
     home = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     blocked = (
         open_.withColumn("blocks", F.ceil(F.col("m") / block))
@@ -326,7 +330,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = labels.join(classes, labels.node == classes.sig).groupBy("label").agg(F.min("least").alias("component"))
     of = labels.join(least, "label").select(F.col("node").alias("sig"), "component")
     return (
-        each.join(classes, "sig", "left")
+        each.join(classes.select("sig", "least"), "sig", "left")
         .join(of, "sig", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id")).alias("component_id"))
     )
