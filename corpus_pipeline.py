@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motiongraph.llm.decontaminate import drop_contaminated
 from motiongraph.llm.exact_dedup import drop_exact_copies
 from motiongraph.llm.mixing import mix_sources
+from motiongraph.llm.ngram_join import drop_near_copies
+from motiongraph.llm.quality import drop_low_quality
 from motiongraph.llm.shared import cut, read
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance-resampling classifier rejects go."""
+    return drop_low_quality(docs, read(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more one document stays."""
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of each document that bring the sources to their targets."""
     return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing)]
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
 #: Not given: the classifier's and the mix's numerical fits have no SQL form.
 ORACLE_SQL = None

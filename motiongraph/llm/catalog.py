@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join
+from . import decontaminate, exact_dedup, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_quality": quality.op4_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
 }
 
