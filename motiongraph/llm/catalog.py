@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality
+from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scan
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality": quality.op4_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLES = {
