@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scan
+from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
