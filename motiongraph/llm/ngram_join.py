@@ -28,7 +28,7 @@ from .shared import cut, discard, read
 from .wordhash import U, mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, FRAGMENTS, BITMAP = 18, 4, 512
+SKETCH_BITS, FRAGMENTS, LEAST_BITMAP = 18, 4, 256
 #: A table of ids up to this many rows (8 bytes each) may be broadcast.
 SMALL_ROWS = 2_000_000
 
@@ -38,8 +38,15 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """BITMAP parity bits: where two sets' bits differ, the sets differ."""
-    return np.packbits((np.bincount((s % U(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+    """Parity bits, a power of two and at least twice the set's size: where two sets' bits differ, the sets differ."""
+    width = max(LEAST_BITMAP, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of parity bits at half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -155,8 +162,8 @@ def _may_link(na, nb, xor_bits, percent: int):
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _bits(maps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
 
 
 def _bounded(percent: int):
@@ -164,10 +171,18 @@ def _bounded(percent: int):
 
     def run(batches):
         for x in batches:
-            if x.num_rows:
-                na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-                keep = _may_link(na, nb, np.bitwise_count(_bits(x.column(4)) ^ _bits(x.column(5))).sum(1).astype(np.int64), percent)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in x.columns[:4]], ["a", "b", "na", "nb"])
+            na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
+            maps = x.column(4).to_pylist(), x.column(5).to_pylist()
+            width = np.array([[len(m) for m in side] for side in maps]).reshape(2, -1)
+            keep = np.zeros(x.num_rows, bool)
+            for wa, wb in {*zip(*width.tolist())}:
+                if max(wa, wb) > 2 * min(wa, wb):
+                    continue  # too unlike in size
+                at = np.flatnonzero((width[0] == wa) & (width[1] == wb))
+                left, right = (_bits([m[i] for i in at]) for m in maps)
+                left, right = _folded(left) if wa > wb else left, _folded(right) if wb > wa else right
+                keep[at] = _may_link(na[at], nb[at], np.bitwise_count(left ^ right).sum(1).astype(np.int64), percent)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in x.columns[:4]], ["a", "b", "na", "nb"])
 
     return run
 
@@ -199,7 +214,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, segments, percent: int) -> D
     return counted.filter(f"100 * c >= {percent} * (na + nb - c)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _across(percent: int, block: int = 512):
+def _across(percent: int, block: int = 256):
     """Pairs of one shingle's sets in different components that the bitmaps do not rule out.
 
     A row is one member of a block pair (tok, i, j, side); both sides of a block
@@ -207,23 +222,29 @@ def _across(percent: int, block: int = 512):
     """
 
     def pairs(group):
-        side = np.array([g[0] for g in group], np.int64)
-        sig, n, comp = (np.array([g[c] for g in group], np.int64) for c in (1, 2, 3))
-        bits = np.frombuffer(b"".join(g[4] for g in group), np.uint64).reshape(len(group), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one = not len(right)  # a block with itself
-        right = left if one else right
-        for lo in range(0, len(left), block):
-            at = left[lo : lo + block]
-            i, j = (x.ravel() for x in np.meshgrid(at, right, indexing="ij"))
-            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            if one:
-                keep &= i < j
-            i, j = i[keep], j[keep]
-            if len(i):
-                ok = _may_link(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64), percent)
-                i, j = i[ok], j[ok]
-                yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
+        side, sig, n, comp = (np.array([g[c] for g in group], np.int64) for c in range(4))
+        width = np.array([len(g[4]) for g in group])
+        one = not side.any()  # a block with itself
+        for w in np.unique(width):
+            same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            at = np.concatenate((same, twice))
+            bits = _bits([group[i][4] for i in same])
+            if len(twice):
+                bits = np.concatenate((bits, _folded(_bits([group[i][4] for i in twice]))))
+            for lo in range(0, len(same), block):
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + block, len(same))), np.arange(len(at)), indexing="ij"))
+                i, j = i[i < j], j[i < j]
+                p, q = at[i], at[j]
+                keep = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+                if not one:
+                    keep &= side[p] != side[q]
+                i, j, p, q = i[keep], j[keep], p[keep], q[keep]
+                for k in range(0, len(i), 1 << 16):
+                    c = slice(k, k + (1 << 16))
+                    ok = _may_link(n[p[c]], n[q[c]], np.bitwise_count(bits[i[c]] ^ bits[j[c]]).sum(1).astype(np.int64), percent)
+                    u, v = sig[p[c][ok]], sig[q[c][ok]]
+                    if len(u):
+                        yield np.minimum(u, v), np.maximum(u, v)
 
     def run(batches):
         key, group, seen = None, [], set()
@@ -283,8 +304,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         docs.select("text").mapInArrow(_prefixes(words, percent, level, parts * 8), "part int, packed binary")
         .repartition(parts, "part")
         .mapInArrow(_shared, "tok long, sig long, n long"),
-        "jaccard-postings",
+        "jaccard-shared",
     )
+    # of shingles with the same sets one stands for all
+    group = posts.groupBy("tok").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
+    posts = cut(posts.join(group.groupBy("m", "x", "y").agg(F.min("tok").alias("tok")).select("tok"), "tok", "left_semi"), "jaccard-postings")
 
     def segments(sigs: DataFrame) -> DataFrame:
         """Segments of the given sets, from one text of each."""
