@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scan, url_filter
+from . import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality": quality.op4_quality,
+    "op5_chat_perspectives": chat_format.op5_chat_perspectives,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
+    "op5_chat_perspectives": chat_format.OP5_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
