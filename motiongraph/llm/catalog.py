@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, mixing, ngram_join, pii, quality, secret_scan, url_filter
+from . import chat_format, decontaminate, exact_dedup, mixing, ngram_join, pii, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_perspectives": chat_format.op5_chat_perspectives,
     "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
