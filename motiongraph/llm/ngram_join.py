@@ -38,8 +38,8 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """Parity bits, a power of two and at least twice the set's size: where two sets' bits differ, the sets differ."""
-    width = max(LEAST_BITMAP, 1 << int(2 * len(s) - 1).bit_length())
+    """Parity bits, a power of two and at least four times the set's size: where two sets' bits differ, the sets differ."""
+    width = max(LEAST_BITMAP, 1 << int(4 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
@@ -342,13 +342,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         discard(open_)
     open_ = cut(placed().join(classes.select("sig", "bitmap"), "sig"), "jaccard-open")
     home = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    # shingles of one cluster mostly share their smallest set: dealt by it, a pair comes up in few tasks
     blocked = (
-        open_.withColumn("blocks", F.ceil(F.col("m") / block))
+        open_.join(open_.groupBy("tok").agg(F.min("sig").alias("lead")), "tok")
+        .withColumn("blocks", F.ceil(F.col("m") / block))
         .withColumn("own", home)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "sig", "n", "comp", "bitmap")
-        .repartition(parts, "tok", "i", "j")
+        .select("lead", "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "sig", "n", "comp", "bitmap")
+        .repartition(parts, "lead", "i", "j")
         .sortWithinPartitions("tok", "i", "j")
+        .drop("lead")
     )
     verify(blocked.mapInArrow(_across(percent), "a long, b long"))
     least = labels.join(classes, labels.node == classes.sig).groupBy("label").agg(F.min("least").alias("component"))
