@@ -71,7 +71,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").cast("long").alias("patient"), (F.year("o_orderdate") - 1995).cast("long").alias("timepoint"), F.col("o_orderpriority").alias("metric")).agg(
-        (F.sum(F.round(F.col("o_totalprice").cast("double") * 100).cast("long")).cast("double") / 100 / F.count("*")).alias("value")
+        (F.sum(F.round(F.col("o_totalprice").cast("double") * 100).cast("long")).cast("double") / 100000 / F.count("*")).alias("value")
     )
 
 
@@ -100,7 +100,7 @@ SQL = {
     "voxel": "SELECT CAST(l_suppkey % 20 AS BIGINT) AS z, CAST(l_partkey % 30 AS BIGINT) AS y, CAST(l_orderkey % 30 AS BIGINT) AS x, CAST(max(l_extendedprice) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3",
     "voxel_phase": "SELECT CAST((l_linenumber * 7 + l_suppkey) % 10 AS BIGINT) AS phase, CAST(l_suppkey % 10 AS BIGINT) AS z, CAST(l_partkey % 10 AS BIGINT) AS y, CAST(l_orderkey % 10 AS BIGINT) AS x, CAST(max(l_extendedprice) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3, 4",
     "signal": "SELECT event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, (epoch_us(CAST(ts AS TIMESTAMP)) - min(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY event_type)) / 1e6 AS t, CAST(value AS DOUBLE) AS value FROM events",
-    "measure": "SELECT CAST(o_custkey AS BIGINT) AS patient, CAST(year(o_orderdate) - 1995 AS BIGINT) AS timepoint, o_orderpriority AS metric, CAST(sum(CAST(round(CAST(o_totalprice AS DOUBLE) * 100) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS value FROM orders GROUP BY 1, 2, 3",
+    "measure": "SELECT CAST(o_custkey AS BIGINT) AS patient, CAST(year(o_orderdate) - 1995 AS BIGINT) AS timepoint, o_orderpriority AS metric, CAST(sum(CAST(round(CAST(o_totalprice AS DOUBLE) * 100) AS BIGINT)) AS DOUBLE) / 100000 / count(*) AS value FROM orders GROUP BY 1, 2, 3",
     "device": "SELECT CAST(c_custkey AS BIGINT) AS patient, 25.0::DOUBLE + c_nationkey % 5 * 2.5::DOUBLE AS device_size FROM customer",
     "face": "SELECT * FROM (SELECT l_returnflag AS mesh_id, CAST(l_orderkey AS BIGINT) AS f, CAST(l_orderkey % 500 AS BIGINT) AS v1, CAST(l_partkey % 500 AS BIGINT) AS v2, CAST((l_partkey * 7 + l_orderkey * 3) % 500 AS BIGINT) AS v3 FROM lineitem WHERE l_linenumber = 1) WHERE v1 <> v2 AND v2 <> v3 AND v1 <> v3",
     "vertex": "SELECT CAST(vec_id AS BIGINT) AS v, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings",
