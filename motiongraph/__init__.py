@@ -1,0 +1 @@
+"""Analytics of cyclic motion and wire-like graphs on Spark DataFrames."""
