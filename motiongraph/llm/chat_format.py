@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .shared import read
 
 BEGIN, END = "<|begin|>", "<|end|>\n"
-#: Turns a block; turns further apart in number fall into different blocks.
+#: Turns a part at most, and turn numbers a block.
 BLOCK = 64
 NOBODY = "unknown"
 
@@ -27,7 +27,10 @@ def _safe(text: Column) -> Column:
 
 
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Rows (conv_id, assistant, block, n_turns, start, text, masks, n_masked).
+    """Rows (conv_id, assistant, block, part, n_turns, start, text, masks, n_masked).
+
+    A block holds ``block`` turn numbers; should more turns share them, it goes
+    on in further parts, so no row holds more than ``block`` turns.
 
     masks: array of (start, end) code-point ranges, in the whole dialogue, of the
     assistant's words with their end marker. Participants are the distinct roles;
@@ -42,6 +45,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     said = _safe(F.coalesce(turns[text_col].cast("string"), F.lit("")))
     t = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), role.alias("role"), said.alias("said"))
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit((1 << 53))).cast("long"))
+    in_block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").isNull(), "turn", "role", "said")
+    t = t.withColumn("part", F.floor((F.row_number().over(in_block) - 1) / block).cast("long"))
     speakers = t.filter("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("assistant")).distinct()
     # one row a turn and perspective; both sides are dealt by conversation and long ones split by AQE
     seen = t.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
@@ -49,10 +54,10 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     head = F.concat(F.lit(BEGIN), F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise(F.concat(F.lit("user name="), _safe(F.col("role")))), F.lit("\n"))
     body = F.concat("said", F.lit(END))
     turn = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "said", own.alias("own"), head.alias("head"), body.alias("body"))
-    held = seen.groupBy("conv_id", "assistant", "block").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    held = seen.groupBy("conv_id", "assistant", "block", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     size = lambda x: F.length(x["head"]) + F.length(x["body"])
     held = held.withColumn("size", F.aggregate("turns", F.lit(0).cast("long"), lambda acc, x: acc + size(x)))
-    order = Window.partitionBy("conv_id", "assistant").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("conv_id", "assistant").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     walk = F.aggregate(
@@ -67,6 +72,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         "conv_id",
         "assistant",
         "block",
+        "part",
         F.size("turns").cast("long").alias("n_turns"),
         "start",
         F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
@@ -78,7 +84,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate_perspectives(read(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
-    return out.select("conv_id", "assistant", "block", "n_turns", "start", "n_masked", F.sha2("text", 256).alias("text_sha256"), F.sha2(spans, 256).alias("masks_sha256"))
+    return out.select("conv_id", "assistant", "block", "part", "n_turns", "start", "n_masked", F.sha2("text", 256).alias("text_sha256"), F.sha2(spans, 256).alias("masks_sha256"))
 
 
 OP5_SQL = rf"""
@@ -87,19 +93,21 @@ WITH t AS (
          regexp_replace(coalesce(text, ''), '<\|(begin|end)\|>', '<!\1!>', 'g') AS said,
          CAST(coalesce(floor(turn / {BLOCK}.0), {1 << 53}) AS BIGINT) AS block
   FROM conversations
+), n AS (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS LAST, role, said) - 1) / {BLOCK}.0) AS BIGINT) AS part FROM t
 ), p AS (
   SELECT DISTINCT conv_id, role AS assistant FROM t WHERE role <> 'system'
 ), r AS (
-  SELECT t.*, assistant,
+  SELECT n.*, assistant,
          '{BEGIN}' || CASE WHEN role = assistant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
          said || '<|end|>' || chr(10) AS body
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant ORDER BY block, turn NULLS LAST, role, said ROWS UNBOUNDED PRECEDING) AS until FROM r
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant ORDER BY block, part, turn NULLS LAST, role, said ROWS UNBOUNDED PRECEDING) AS until FROM r
 )
-SELECT conv_id, assistant, block, count(*) AS n_turns, CAST(min(until - length(head) - length(body)) AS BIGINT) AS start,
+SELECT conv_id, assistant, block, part, count(*) AS n_turns, CAST(min(until - length(head) - length(body)) AS BIGINT) AS start,
        CAST(coalesce(sum(length(body)) FILTER (WHERE role = assistant), 0) AS BIGINT) AS n_masked,
        sha256(string_agg(head || body, '' ORDER BY turn NULLS LAST, role, said)) AS text_sha256,
        sha256(coalesce(string_agg(CAST(CAST(until - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(until AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS LAST, role, said) FILTER (WHERE role = assistant), '')) AS masks_sha256
-FROM o GROUP BY conv_id, assistant, block
+FROM o GROUP BY conv_id, assistant, block, part
 """

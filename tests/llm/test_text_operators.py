@@ -195,13 +195,16 @@ def test_perspectives(spark):
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
     out = chat_format.rotate_perspectives(df).collect()
     for conv, who, n in ((1, "ann", 5), (1, "bob", 5), (1, "unknown", 5), (2, "cy", 2)):
-        blocks = sorted((r for r in out if (r["conv_id"], r["assistant"]) == (conv, who)), key=lambda r: r["block"])
+        blocks = sorted((r for r in out if (r["conv_id"], r["assistant"]) == (conv, who)), key=lambda r: (r["block"], r["part"]))
         whole = "".join(r["text"] for r in blocks)
         assert sum(r["n_turns"] for r in blocks) == n and [r["start"] for r in blocks] == [len("".join(b["text"] for b in blocks[:i])) for i in range(len(blocks))]
         said = [whole[m["start"] : m["end"]] for r in blocks for m in r["masks"]]
         assert all(s.endswith(chat_format.END) for s in said) and len(said) == sum(1 for c, _, r, _ in t if c == conv and (r or "unknown") == who)
         assert whole.count(chat_format.BEGIN) == n
     assert not any(r["assistant"] == "system" for r in out)
+    tied = spark.createDataFrame([(1, 0, "ann", f"t{i}") for i in range(10)], df.schema)
+    parts = sorted(chat_format.rotate_perspectives(tied, block=4).collect(), key=lambda r: r["part"])
+    assert [r["n_turns"] for r in parts] == [4, 4, 2] and [r["start"] for r in parts] == [0, len(parts[0]["text"]), len(parts[0]["text"] + parts[1]["text"])]
 
 
 def test_surrogates(spark):
