@@ -323,7 +323,7 @@ def extremes(node: DataFrame, n: int, top: bool = True, keys: Sequence[str] = KE
 
 
 def pop_nodes(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Contract nodes of degree 2: (keys, n1, n2, cost = sum, ctvalue = min, nodes along the way).
+    """Contract nodes of degree 2: (keys, n1, n2, cost = sum, ctvalue = min, nodes on the way from n1).
 
     stay (keys, node_id) lists nodes not to contract. A chain between two other
     nodes becomes one edge; a chain from a node back to itself, and a free cycle,
@@ -355,8 +355,19 @@ def pop_nodes(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str
     part = named.filter("cn1 IS NOT NULL OR cn2 IS NOT NULL").withColumn("chain", F.coalesce("cn1", "cn2"))
     tips = part.select(*keys, "chain", F.explode(F.array(F.when(F.col("cn1").isNull(), F.col("n1")), F.when(F.col("cn2").isNull(), F.col("n2")))).alias("tip")).filter("tip IS NOT NULL").groupBy(*keys, "chain").agg(F.min("tip").alias("n1"), F.max("tip").alias("n2"))
     sums = part.groupBy(*keys, "chain").agg(F.sum("cost").alias("cost"), F.min("ctvalue").alias("ctvalue"))
-    held = comp.groupBy(*keys, F.col("component").alias("chain")).agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))
-    chains = tips.join(sums, [*keys, "chain"]).join(held, [*keys, "chain"]).select(*keys, *EDGE, "cost", "ctvalue", "nodes")
+    held = part.groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(F.struct(*EDGE))).alias("edges"))
+    chains = tips.join(sums, [*keys, "chain"]).join(held, [*keys, "chain"])
+    other = lambda e, at: F.when(e["n1"] == at, e["n2"]).otherwise(e["n1"])
+
+    def on(acc, _):
+        at = F.when(F.size(acc["nodes"]) > 0, F.element_at(acc["nodes"], -1)).otherwise(acc["start"])
+        ways = F.filter("edges", lambda e: ((e["n1"] == at) | (e["n2"] == at)) & ~other(e, at).eqNullSafe(acc["prev"]))
+        to = F.array_min(F.transform(ways, lambda e: other(e, at)))
+        return F.struct(acc["start"].alias("start"), at.alias("prev"), F.array_append(acc["nodes"], to).alias("nodes"))
+
+    begin = F.struct(F.col("n1").alias("start"), F.lit(None).cast("bigint").alias("prev"), F.array().cast("array<bigint>").alias("nodes"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("edges") - 1), begin, on)["nodes"]
+    chains = chains.withColumn("nodes", walk).select(*keys, *EDGE, "cost", "ctvalue", "nodes")
     return whole.unionByName(chains)
 
 
