@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard
+from .shared import cut, discard, sweep
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = cut(_star(_star(now, True), False), "links")
         discard(now)
         now = new
+        sweep(links.sparkSession)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

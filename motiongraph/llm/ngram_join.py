@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, discard, read
+from .shared import cut, discard, read, sweep
 from .wordhash import U, mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -332,6 +332,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tested = fresh if tested is None else tested.union(fresh)
         links = found if links is None else links.union(found)
         labels = cut(components(links), "jaccard-labels")
+        sweep(spark)
 
     for turn in range(star_rounds):
         open_ = cut(placed(), "jaccard-open")
