@@ -226,7 +226,6 @@ def test_surrogates(spark):
     card = re.sub(r" ", "", re.search(r"card ([\d ]+),", got[0])[1])
     assert card in got[1]
     digits = [int(c) for c in card[::-1]]
-    assert sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) == sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
     assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
     assert re.search(r"Г-жа [А-Я][а-я]+ова ", got[1])
     for pattern in (r"mail (\S+)", r"ip (\S+)", r"Mr (\S+)$"):
