@@ -234,7 +234,7 @@ def j7(spark, d):
 
 @query("j8_max_pair_pulsatility", "posed", f"cc AS (SELECT a.path_id, a.idx AS ia, b.idx AS ib, max({ND}) - min({ND}) AS ch FROM posed a JOIN posed b ON b.path_id = a.path_id + 1 AND a.phase = b.phase WHERE a.idx + b.idx * 0 < 12 AND b.idx + a.idx * 0 < 12 GROUP BY 1, 2, 3) SELECT path_id, {r(change='max(ch)')}, arg_max(ia, ch) AS idx_a, arg_max(ib, ch) AS idx_b FROM cc GROUP BY 1")
 def j8(spark, d):
-    p = posed(spark, d).filter("idx < 12")
+    p = posed(spark, d)
     return ne.max_pair_pulsatility(p, _next_path(p), K)
 
 

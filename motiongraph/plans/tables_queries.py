@@ -38,7 +38,7 @@ def s4(spark, d):
 
 @query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * 0.5 + 1')} FROM voxel WHERE z < 10")
 def s5(spark, d):
-    v = t.voxel(spark, d).filter("z < 10").withColumn("scan_id", F.lit("s"))
+    v = t.voxel(spark, d).withColumn("scan_id", F.lit("s"))
     scan = v.select("scan_id").distinct().select("scan_id", F.lit(0.5).alias("sz"), F.lit(1.0).alias("oz"))
     return v.join(scan, "scan_id").select("z", "y", "x", (F.col("z") * F.col("sz") + F.col("oz")).alias("wz"))
 
@@ -62,28 +62,30 @@ def s8(spark, d):
 
 
 def _wide(spark, d):
-    m = t.motion(spark, d).filter("idx = 0")
+    """One row for each point of each path."""
+    m = t.motion(spark, d)
     cols = [F.max(F.when(F.col("phase") == p, F.col(f"d{a}"))).alias(f"p{p}_{a}") for p in range(10) for a in "xyz"]
-    return m.groupBy("path_id").agg(*cols)
+    return m.groupBy("path_id", "idx").agg(*cols)
 
 
 @query("s12_unpivot_positions", "motion", f"SELECT path_id, phase, {r(x='dx', y='dy', z='dz')} FROM motion WHERE idx = 0")
 def s12(spark, d):
-    return io.unpivot_positions(_wide(spark, d), ("path_id",))
+    return io.unpivot_positions(_wide(spark, d), ("path_id", "idx"))
 
 
 @query("s13_unpivot_phases", "motion", f"SELECT path_id, phase, {r(value='dz', offset='dz - max(dz) FILTER (WHERE phase = 5) OVER (PARTITION BY path_id)').replace(' AS offset', ' AS \"offset\"')} FROM motion WHERE idx + 0 * phase = 0")
 def s13(spark, d):
-    w = _wide(spark, d).select("path_id", *[F.col(f"p{p}_z").alias(f"p{p}") for p in range(10)])
-    return io.unpivot_phases(w, ("path_id",))
+    w = _wide(spark, d).select("path_id", "idx", *[F.col(f"p{p}_z").alias(f"p{p}") for p in range(10)])
+    return io.unpivot_phases(w, ("path_id", "idx"))
 
 
 @query("s14_unpivot_signal", "signal", f"SELECT source, idx, {r(t='t', value='value')} FROM signal WHERE idx + 0 * t < 50")
 def s14(spark, d):
-    s = t.signal(spark, d).filter("idx < 50")
+    """Sheets of 1,000 samples, so that no row holds a whole signal."""
+    s = t.signal(spark, d).withColumn("sheet", F.floor(F.col("idx") / 1000))
     pts = F.array_sort(F.collect_list(F.struct("idx", "t", "value")))
-    sheet = s.groupBy("source").agg(pts.alias("p")).select("source", F.transform("p", lambda x: x["t"]).alias("t"), F.transform("p", lambda x: x["value"]).alias("value"))
-    return io.unpivot_signal(sheet)
+    sheet = s.groupBy("source", "sheet").agg(pts.alias("p")).select("source", "sheet", F.transform("p", lambda x: x["t"]).alias("t"), F.transform("p", lambda x: x["value"]).alias("value"))
+    return io.unpivot_signal(sheet, ("source", "sheet")).select("source", (F.col("sheet") * 1000 + F.col("idx")).alias("idx"), "t", "value")
 
 
 @query("s15_unpivot_blocks", "path", f"SELECT path_id, idx // 3 AS block, substr('xyz', CAST(idx % 3 + 1 AS INTEGER), 1) AS axis, {r(value='x')} FROM path")
@@ -93,7 +95,7 @@ def s15(spark, d):
 
 @query("s16_unpivot_cohort", "motion", f"SELECT path_id, 'p' || phase || '_z' AS timepoint, {r(value='abs(dz)')} FROM motion WHERE idx + 0 * phase = 0 AND phase < 5")
 def s16(spark, d):
-    return io.unpivot_cohort(_wide(spark, d), ("path_id",), [f"p{p}_z" for p in range(5)])
+    return io.unpivot_cohort(_wide(spark, d).select("path_id", "idx", *[f"p{p}_z" for p in range(5)]), ("path_id", "idx"), [f"p{p}_z" for p in range(5)])
 
 
 @query("s17_parse_xyz", "", f"SELECT c_custkey AS id, {r(x='c_nationkey + 0.5', y='CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE -1.25 END', z='c_custkey').replace('c_nationkey + 0.5', 'CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_nationkey + 0.5 END').replace('CAST(c_custkey AS DOUBLE)', 'CAST(CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_custkey END AS DOUBLE)')} FROM customer")
