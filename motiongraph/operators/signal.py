@@ -6,8 +6,9 @@ A signal table has keys (default ``source``), idx from 0, t and value.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,17 +145,70 @@ def resample(signal: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame
     return g.select(*keys, "k", F.col("at").alias("t"), v.alias("value"))
 
 
-def dominant_frequency(signal: DataFrame, bins: int, rate: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Frequency of the largest spectral line besides the mean, with period and beats a minute.
+def _fourier(points: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Discrete Fourier transforms of complex columns re<c>, im<c> at j < size; missing rows are zero.
 
-    Each sample adds to every frequency bin (a fixed number), and bins are summed
-    before the shuffle.
+    points: keys, size (a power of two), j and the columns. The size is cut in
+    two factors p * q with p the larger or both equal: columns j = a * p + b are
+    transformed over a, twiddled, then over b, so a task holds about the square
+    root of the size. k = k1 + q * k2 takes the place of j.
     """
-    n = F.count("*").over(Window.partitionBy(*keys))
-    s = signal.withColumn("n", n).withColumn("f", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    arg = 2 * math.pi * F.col("f") * F.col("idx") / F.col("n")
-    power = s.groupBy(*keys, "f").agg(F.sum(F.col("value") * F.cos(arg)).alias("re"), F.sum(F.col("value") * F.sin(arg)).alias("im"), F.max("n").alias("n"))
-    best = power.groupBy(*keys).agg(F.max(F.struct((F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("p"), (-F.col("f")).alias("neg"), "n")).alias("b"))
+    q = F.pow(F.lit(2.0), F.floor(F.log2("size") / 2 + 1e-9)).cast("long")
+    values = [f"{part}{c}" for c in columns for part in ("re", "im")]
+    head = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    tail = "size long, p long, q long, j long, " + ", ".join(f"{v} double" for v in values)
+    schema = f"{head}, {tail}" if head else tail
+
+    def line(first: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            size, p, q = (int(g[c].iat[0]) for c in ("size", "p", "q"))
+            j = g["j"].to_numpy()
+            # j is a * p + b before the first step and b * q + k1 before the second
+            length, width = (q, p) if first else (p, q)
+            at, rest = j // width, int(j[0] % width)
+            out = {k: [g[k].iat[0]] * length for k in keys} | {"size": size, "p": p, "q": q}
+            k = np.arange(length)
+            out["j"] = rest * q + k if first else rest + q * k
+            turn = np.exp(-2j * np.pi * rest * k / size) if first else 1.0
+            for c in columns:
+                x = np.zeros(length, complex)
+                x[at] = g[f"re{c}"].to_numpy() + 1j * g[f"im{c}"].to_numpy()
+                y = np.fft.fft(x) * turn
+                out[f"re{c}"], out[f"im{c}"] = y.real, y.imag
+            return pd.DataFrame(out)
+
+        return run
+
+    x = points.withColumn("q", q).withColumn("p", F.expr("size div q")).select(*keys, "size", "p", "q", "j", *values)
+    x = x.groupBy(*keys, (F.col("j") % F.col("p")).alias("at")).applyInPandas(line(True), schema)
+    return x.groupBy(*keys, (F.col("j") % F.col("q")).alias("at")).applyInPandas(line(False), schema).drop("p", "q")
+
+
+def dominant_frequency(signal: DataFrame, rate: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Frequency of the largest spectral line besides the mean, with period and beats a minute; of equal lines the lowest.
+
+    All n/2 lines of the n samples (idx 0 to n - 1) are searched. n is any
+    number, so the spectrum is written as a convolution with a chirp and that is
+    done at a power of two of at least 2n - 1 (Bluestein). A single sample has
+    no line and gives no row.
+    """
+    signal = signal.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    stats = signal.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).filter("n > 1")
+    s = signal.select(*keys, F.col("idx").cast("long").alias("j"), "value").join(stats, list(keys))
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.col("n") - 1) - 1e-12)).cast("long")
+    # the square modulo 2n keeps the angle exact
+    arg = math.pi * F.pmod(F.col("j") * F.col("j"), 2 * F.col("n")) / F.col("n")
+    v = F.col("value") - F.col("mean")
+    s = s.select(*keys, size.alias("size"), "j", (v * F.cos(arg)).alias("rex"), (-v * F.sin(arg)).alias("imx"), F.cos(arg).alias("rec"), F.sin(arg).alias("imc"))
+    # the chirp goes round: its samples stand at j and at size - j
+    zero = F.lit(0.0)
+    back = s.filter("j > 0").select(*keys, "size", (F.col("size") - F.col("j")).alias("j"), zero.alias("rex"), zero.alias("imx"), "rec", "imc")
+    f = _fourier(s.unionByName(back), keys, ("x", "c"))
+    # the inverse transform is the conjugate's transform, conjugated, over the size
+    product = f.select(*keys, "size", "j", (F.col("rex") * F.col("rec") - F.col("imx") * F.col("imc")).alias("rey"), (-F.col("rex") * F.col("imc") - F.col("imx") * F.col("rec")).alias("imy"))
+    lines = _fourier(product, keys, ("y",)).join(stats, list(keys)).filter((F.col("j") >= 1) & (F.col("j") <= F.floor(F.col("n") / 2)))
+    power = F.pow(F.col("rey") / F.col("size"), 2) + F.pow(F.col("imy") / F.col("size"), 2)
+    best = lines.groupBy(*keys).agg(F.max(F.struct(power.alias("p"), (-F.col("j")).alias("neg"), "n")).alias("b"))
     hz = -F.col("b.neg") * rate / F.col("b.n")
     return best.select(*keys, hz.alias("frequency"), (1 / hz).alias("period"), (60 * hz).alias("bpm"))
 

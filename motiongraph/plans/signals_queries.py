@@ -82,7 +82,7 @@ def j25(spark, d):
 
 @query("a41_dominant_frequency", "signal", f"n AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM signal), f AS (SELECT source, f, any_value(n) AS n, pow(sum(value * cos(2 * pi() * f * idx / n)), 2) + pow(sum(value * sin(2 * pi() * f * idx / n)), 2) AS p FROM n, range(1, 41) q(f) GROUP BY 1, 2), b AS (SELECT source, arg_max(f, p) * 20.0 / any_value(n) AS hz FROM f GROUP BY 1) SELECT source, {r(frequency='hz', period='1 / hz', bpm='60 * hz')} FROM b")
 def a41(spark, d):
-    return op.dominant_frequency(t.signal(spark, d), 40, 20.0)
+    return op.dominant_frequency(t.signal(spark, d), 20.0)
 
 
 @query("w28_radius_drop", "path", "q AS (SELECT *, sqrt(x * x + y * y) AS rr FROM path), w AS (SELECT *, avg(rr) OVER b AS m, count(*) OVER b AS n, lag(x) OVER o AS px, lag(y) OVER o AS py FROM q WINDOW o AS (PARTITION BY path_id ORDER BY idx), b AS (PARTITION BY path_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "

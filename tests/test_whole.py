@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from motiongraph.operators import graph, signal
 from motiongraph.operators.motion import at_phase
 from motiongraph.plans import catalog
 from motiongraph.sources import tables
@@ -43,3 +44,23 @@ def test_max_pair_over_all_points(spark):
             want[k] = (i, j, round(change.max(), 6))
     got = {r["path_id"]: (r["idx_a"], r["idx_b"], r["change"]) for r in catalog.queries()["j8_max_pair_pulsatility"](spark, SF).collect()}
     assert got == want
+
+
+def test_dominant_line_above_forty(spark):
+    """A high line beats a weaker low one; lengths that are prime, odd, even, two."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for n, high in ((1009, 411), (600, 300), (257, 128), (1024, 77), (2, 1)):
+        i = np.arange(n)
+        v = 50 + 3 * np.cos(2 * np.pi * high * i / n) + 2 * np.cos(2 * np.pi * 5 * i / n) + rng.normal(0, 0.1, n)
+        lines = np.abs(np.fft.fft(v))[1 : n // 2 + 1]
+        want[f"s{n}"] = (1 + int(lines.argmax())) * 20.0 / n
+        rows += [(f"s{n}", int(k), float(x)) for k, x in zip(i, v)]
+    got = signal.dominant_frequency(spark.createDataFrame(rows, "source string, idx long, value double"), 20.0).collect()
+    assert {r["source"]: r["frequency"] for r in got} == pytest.approx(want)
+
+
+def test_spectrum_is_that_of_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(32, 2))
+    f = signal._fourier(spark.createDataFrame([("s", 32, j, float(a), float(b)) for j, (a, b) in enumerate(x)], "source string, size long, j long, rex double, imx double"), ("source",), ("x",))
+    got = f.orderBy("j").toPandas()
+    assert np.allclose(got.rex + 1j * got.imx, np.fft.fft(x[:, 0] + 1j * x[:, 1]))
