@@ -383,23 +383,35 @@ def clean(node: DataFrame, edge: DataFrame, very_weak: float, weak: float, redun
     return node, edge
 
 
-def link_seeds(links: DataFrame, seeds: DataFrame, keys: Sequence[str] = KEYS, cover: float = 1.0, most_rounds: int = 200) -> DataFrame:
+def link_seeds(links: DataFrame, seeds: DataFrame, keys: Sequence[str] = KEYS, cover: float = 1.0, most_rounds: int | None = None) -> DataFrame:
     """Edges between seeds where their least-cost fronts meet; cost is the larger arrival.
 
     links (keys, a, b, w): costs between neighbouring places, both directions.
     Fronts grow from all seeds at once, by rounds of relaxation, until nothing
-    changes or the share ``cover`` of the places is reached.
+    changes or the share ``cover`` of the places is reached; a round relaxes what
+    the one before improved. Without ``most_rounds`` as many rounds are allowed as
+    least-cost ways can have steps; rounds that do not suffice are an error.
     """
-    state = checkpointed(seeds.select(*keys, F.col("node_id").alias("place"), F.lit(0.0).alias("dist"), F.col("node_id").alias("label")))
-    places = links.select(*keys, "a").distinct().count()
-    for _ in range(most_rounds):
-        step = state.join(links.select(*keys, F.col("a").alias("place"), "b", "w"), [*keys, "place"]).select(*keys, F.col("b").alias("place"), (F.col("dist") + F.col("w")).alias("dist"), "label")
-        best = state.unionByName(step).groupBy(*keys, "place").agg(F.min(F.struct("dist", "label")).alias("m")).select(*keys, "place", "m.dist", "m.label")
-        new = checkpointed(best)
-        still = new.join(state, [*keys, "place", "dist", "label"], "left_anti").isEmpty()
-        state = new
-        if still or (cover < 1 and state.count() >= cover * places):
+    front = checkpointed(seeds.select(*keys, F.col("node_id").alias("place"), F.lit(0.0).alias("dist"), F.col("node_id").alias("label")))
+    ways = checkpointed(links.select(*keys, F.col("a").alias("place"), "b", "w"))
+    places = ways.select(*keys, "place").distinct().count()
+    least = lambda df: df.groupBy(*keys, "place").agg(F.min(F.struct("dist", "label")).alias("m"))
+    state = front
+    for n in range(1, (places + 1 if most_rounds is None else most_rounds) + 1):
+        step = front.join(ways, [*keys, "place"]).select(*keys, F.col("b").alias("place"), (F.col("dist") + F.col("w")).alias("dist"), "label")
+        better = least(step).join(least(state).withColumnRenamed("m", "old"), [*keys, "place"], "left").filter("old IS NULL OR m < old")
+        front = checkpointed(better.select(*keys, "place", "m.dist", "m.label"))
+        if front.isEmpty():
+            break
+        # the state is a log of improvements, folded now and then
+        state = state.unionByName(front)
+        if n % 16 == 0:
+            state = checkpointed(least(state).select(*keys, "place", "m.dist", "m.label"))
+        if cover < 1 and state.select(*keys, "place").distinct().count() >= cover * places:
             break
+    else:
+        raise RuntimeError("fronts still move")
+    state = checkpointed(least(state).select(*keys, "place", "m.dist", "m.label"))
     side = lambda p, q: state.select(*keys, F.col("place").alias(p), F.col("dist").alias(f"d{q}"), F.col("label").alias(f"l{q}"))
     meet = links.join(side("a", "a"), [*keys, "a"]).join(side("b", "b"), [*keys, "b"]).filter("la <> lb")
     return best_connection(meet.select(*keys, F.col("la").alias("a"), F.col("lb").alias("b"), F.greatest("da", "db").alias("cost"), F.least("a", "b").alias("place")), keys)
