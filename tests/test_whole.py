@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import random
-from collections import Counter
-
 import numpy as np
 import pytest
 
-from motiongraph.llm import quality
 from motiongraph.operators import graph, signal
 from motiongraph.operators.motion import at_phase
 from motiongraph.plans import catalog
@@ -79,40 +75,3 @@ def test_fronts_go_on_until_they_meet(spark):
     assert [(r["n1"], r["n2"], r["cost"]) for r in got] == [(0, 420, 210.0)]
     with pytest.raises(RuntimeError):
         graph.link_seeds(links, nodes(spark, 0, 420), most_rounds=3)
-
-
-@pytest.mark.parametrize("most_cells", [quality.MOST_CELLS, 0])
-def test_good_words_in_junk_order_go(spark, most_cells):
-    rng = random.Random(3)
-
-    def body(bad):
-        at = rng.randrange(40)
-        return " ".join(f"w{rng.randrange(40) if bad else (at + k) % 40}" for k in range(80))
-
-    kinds = [i % 4 == 0 for i in range(800)]
-    docs = spark.createDataFrame([*((i, body(k)) for i, k in enumerate(kinds)), (2000, None), (2001, ""), (None, "w1 w2")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(not k), 0) for i, k in enumerate(kinds) if i < 400], "doc_id long, quality int, toxic int")
-    rows = quality.quality(docs, labels, most_cells=most_cells).collect()
-    got = {r["doc_id"]: r["kept"] for r in rows}
-    assert len(rows) == 803 and {r["doc_id"]: r["n_grams"] for r in rows}[2000] == 0
-    assert sum(got[i] for i in range(400, 800) if not kinds[i]) >= 290 and sum(got[i] for i in range(400, 800) if kinds[i]) <= 5
-
-
-def test_joined_table_scores_by_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    table = docs.toArrow()
-    ids, grams = table["doc_id"].to_pylist(), {}
-    for lo, n, row, h in quality._features(table["text"].combine_chunks()):
-        grams |= {ids[lo + i]: Counter(h[row == i].tolist()) for i in range(n)}
-    good_ids = {r["doc_id"] for r in labels.filter("quality = 1 AND toxic = 0").collect()}
-    good, raw = Counter(), Counter()
-    for i, c in grams.items():
-        raw.update(c)
-        good.update(c if i in good_ids else {})
-    part = good.total() / raw.total()
-    usual = sum(n * np.log((n + 1) / (part * raw[h] + 1)) for h, n in good.items()) / good.total()
-    for r in quality.quality(docs, labels, most_cells=0).collect():
-        own = grams[r["doc_id"]]
-        short = sum(n * min(np.log((good[h] - n * (r["doc_id"] in good_ids) + 1) / (part * (raw[h] - n) + 1)) - usual, 0) ** 2 for h, n in own.items())
-        assert r["n_grams"] == own.total() and r["log_weight"] == pytest.approx(-short / max(own.total(), 30))
