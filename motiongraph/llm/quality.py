@@ -3,9 +3,9 @@
 Two generative models over hashed n-grams are counted: the target from documents
 labelled good, the raw one from all documents. The n-grams are words and runs of
 punctuation, the bigrams of neighbours, and one backed-off bigram for a token that
-repeats the one before. The models have two hash cells or more for each distinct
-n-gram counted; where that is too much for one process, they are a table joined
-by the n-grams' 64-bit hashes.
+repeats the one before. The models' hash cells grow with the square root of
+the corpus; words and bigrams have cells of their own, so that the many bigrams
+do not blur the words.
 Each n-gram has the log ratio of the two models, both without the document's own
 counts, so that labelled and other documents are weighed alike. The plain sum of
 the ratios favours long documents and lets many good words outweigh a few very
@@ -15,29 +15,30 @@ proportion to their weights by Gumbel top-k: the k largest of log weight + noise
 stay.
 
 k is the number of documents whose log weight reaches the cut that separates
-labelled good from labelled bad documents best. The noise has a temperature; at
-the default, small beside the weights, the draw keeps nearly all documents above
-the cut, as a filter should.
+labelled good from labelled bad documents best. Weights are per n-gram, so the
+noise is too: the default temperature, 0.001, is that of plain importance
+resampling (1 on the summed ratios) for a document of 1,000 n-grams. It decides
+among documents near the cut only, as a filter should.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, read, uniform
-from .wordhash import U, alphanumeric, blocks, grams, mix, word_hashes
+from .wordhash import U, alphanumeric, blocks, grams, word_hashes
 
-#: Registers of the sketch that counts distinct n-grams, and bits of a hash beyond their number.
-REGISTERS = 1 << 12
-REGISTER_BITS = 52
 #: Hash of the backed-off bigram.
 REPEAT = U(0x5EED)
-#: Models with more hash cells than this are a joined table of n-grams, without cells.
-MOST_CELLS = 1 << 22
+#: A model has a power of two of hash cells for words and as many for bigrams: CELLS_PER_ROOT times the square root of
+#: the corpus's bytes or more, as vocabularies grow about so; from LEAST_CELLS, and at most MOST_CELLS, which 17 TB reach (2 GB a worker).
+CELLS_PER_ROOT = 32
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
+#: Cells a piece of a model holds while counts are summed.
+PIECE = 1 << 12
 #: The target model and the cut are fitted on at most this many labelled documents.
 MOST_LABELLED = 20_000
 #: Pseudo-counts that pull a cell's ratio toward 1.
@@ -63,38 +64,17 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, off)
 
 
-def _features(column: pa.Array):
-    """Blocks of (first row, rows, row of each n-gram, hash of each n-gram)."""
+def _features(column: pa.Array, cells: int):
+    """Blocks of (first row, rows, row of each n-gram, cell of each n-gram): words in the lower half, bigrams in the upper."""
     for lo, hi, data, off in blocks(column):
         starts, ends, bound = _tokens(data, off)
         wh = word_hashes(data, starts, ends)
         row = np.repeat(np.arange(hi - lo), np.diff(bound))
         pair = np.flatnonzero(row[1:] == row[:-1])
         again = pair[wh[pair] == wh[pair + 1]]
-        yield lo, hi - lo, np.concatenate((row, row[pair], row[again])), np.concatenate((wh, grams(wh, 2)[pair], np.full(len(again), REPEAT)))
-
-
-def _sketched(batches):
-    """The task's registers for the number of distinct n-grams."""
-    held = np.zeros(REGISTERS, np.int64)
-    for b in batches:
-        for _, _, _, h in _features(b.column(0)):
-            h = np.unique(h)
-            rest = (h // U(REGISTERS)).astype(np.float64)
-            rank = REGISTER_BITS - np.floor(np.log2(np.maximum(rest, 0.5))).astype(np.int64)
-            np.maximum.at(held, (h % U(REGISTERS)).astype(np.int64), rank)
-    at = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["register", "rank"])
-
-
-def distinct_grams(docs: DataFrame) -> float:
-    """About how many distinct n-grams the texts have (HyperLogLog, 1.6 % off as a rule)."""
-    held = np.zeros(REGISTERS)
-    for at, rank in docs.select("text").mapInArrow(_sketched, "register long, rank long").groupBy("register").agg(F.max("rank")).collect():  # REGISTERS rows at most
-        held[at] = rank
-    empty = int((held == 0).sum())
-    n = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / (2.0**-held).sum()
-    return REGISTERS * float(np.log(REGISTERS / empty)) if empty and n <= 2.5 * REGISTERS else n
+        two = np.concatenate((grams(wh, 2)[pair], np.full(len(again), REPEAT)))
+        cell = np.concatenate((wh % U(cells), two % U(cells) + U(cells))).astype(np.int64)
+        yield lo, hi - lo, np.concatenate((row, row[pair], row[again])), cell
 
 
 def _flags(column: pa.Array) -> np.ndarray:
@@ -102,96 +82,76 @@ def _flags(column: pa.Array) -> np.ndarray:
 
 
 def _counted(cells: int):
-    """Counts by cell, of the task's good documents and of all its documents."""
+    """Counts of the task's good documents and of all its documents, in pieces of the model: cell within the piece, counts."""
 
     def run(batches):
-        good, raw = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        good, raw = np.zeros(2 * cells, np.uint32), np.zeros(2 * cells, np.uint32)
+        held, size = [], 0
+
+        def flush():
+            cell, flag = (np.concatenate(x) for x in zip(*held))
+            for into, c in ((raw, cell), (good, cell[flag])):
+                if len(c) > cells // 4:
+                    into += np.bincount(c, minlength=2 * cells).astype(np.uint32)
+                else:
+                    np.add.at(into, c, np.uint32(1))
+
         for b in batches:
-            flag = _flags(b.column(2))
-            for lo, n, row, h in _features(b.column(1)):
-                cell = (h % U(cells)).astype(np.int64)
-                raw += np.bincount(cell, minlength=cells)
-                good += np.bincount(cell[flag[lo : lo + n][row]], minlength=cells)
-        held = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(good[held]), pa.array(raw[held])], ["cell", "good", "raw"])
+            flag = _flags(b.column(1))
+            for lo, n, row, cell in _features(b.column(0), cells):
+                held.append((cell, flag[lo : lo + n][row]))
+                size += len(cell)
+                if size > 1 << 22:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        at = np.flatnonzero(raw)
+        edge = np.searchsorted(at, np.arange(0, 2 * cells + 1, PIECE))
+        some = np.flatnonzero(np.diff(edge))
+        packed = [b"".join(((at[x:y] % PIECE).astype(np.uint16).tobytes(), raw[at[x:y]].tobytes(), good[at[x:y]].tobytes())) for x, y in zip(edge[some], edge[some + 1])]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["piece", "packed"])
 
     return run
 
 
+def _summed(batches):
+    """Whole pieces: good and raw counts of each cell."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for piece, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            m = len(x) // 10
+            at = np.frombuffer(x, np.uint16, m).astype(np.int64)
+            into = sums.setdefault(piece, np.zeros((2, PIECE)))
+            into[1, at] += np.frombuffer(x, np.uint32, m, 2 * m)
+            into[0, at] += np.frombuffer(x, np.uint32, m, 6 * m)
+    for piece, (good, raw) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([good.astype(np.float32).tobytes()], pa.binary()), pa.array([raw.astype(np.float32).tobytes()], pa.binary())], ["piece", "good", "raw"])
+
+
 def _scored(good: np.ndarray, raw: np.ndarray):
-    cells = len(raw)
-    part = good.sum() / max(raw.sum(), 1.0)
-    usual = float((good * np.log((good + PRIOR) / (part * raw + PRIOR))).sum() / max(good.sum(), 1.0))
+    """Scores by the models' counts; what a document has counted itself is taken off first."""
+    cells = len(raw) // 2
+    part = float(good.sum(dtype=np.float64) / max(raw.sum(dtype=np.float64), 1.0))
+    held = np.flatnonzero(good)
+    usual = float((good[held] * np.log((good[held] + PRIOR) / (part * raw[held] + PRIOR))).sum(dtype=np.float64) / max(good.sum(dtype=np.float64), 1.0))
 
     def run(batches):
         for b in batches:
             score, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             flag = _flags(b.column(2))
-            for lo, n, row, h in _features(b.column(1)):
-                key, own = np.unique(row * cells + (h % U(cells)).astype(np.int64), return_counts=True)
-                r, c = key // cells, key % cells
+            for lo, n, row, cell in _features(b.column(1), cells):
+                key, own = np.unique(row * len(raw) + cell, return_counts=True)
+                r, c = key // len(raw), key % len(raw)
                 ratio = np.log((good[c] - own * flag[lo + r] + PRIOR) / (part * (raw[c] - own) + PRIOR))
                 count[lo : lo + n] = np.bincount(row, minlength=n)
                 short = np.minimum(ratio - usual, 0.0)
                 score[lo : lo + n] = -np.bincount(r, short * short * own, n) / np.maximum(count[lo : lo + n], LEAST_GRAMS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(score)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(count), pa.array(score)], ["doc_id", "text_hash", "n_grams", "log_weight"])
 
     return run
 
 
-def _own(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of each row's distinct n-grams."""
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
-    return row[first], h[first], np.diff(np.append(first, len(h)))
-
-
-def _grams_counted(batches):
-    """Of each block's distinct n-grams the documents, the count, and the count in good documents."""
-    for b in batches:
-        flag = _flags(b.column(2))
-        for lo, _, row, h in _features(b.column(1)):
-            row, h, own = _own(row, h)
-            gram, at = np.unique(h, return_inverse=True)
-            sums = [np.bincount(at, w, len(gram)).astype(np.int64) for w in (own * flag[lo + row], own, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, sums)], ["gram", "good", "raw", "docs"])
-
-
-def _grams_asked(batches):
-    """A row for each distinct n-gram of each document, and one without count that carries the document's id."""
-    key = TaskContext.get().partitionId() << 40
-    for b in batches:
-        flag = _flags(b.column(2))
-        for lo, n, row, h in _features(b.column(1)):
-            row, h, own = _own(row, h)
-            keys = key + lo + np.concatenate((np.arange(n), row))
-            ids = pa.concat_arrays([b.column(0).slice(lo, n), pa.nulls(len(row), pa.int64())])
-            gram = np.concatenate((mix(keys[:n].astype(U)), h)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), ids, pa.array(gram), pa.array(np.concatenate((np.zeros(n, np.int64), own))), pa.array(np.concatenate((flag[lo : lo + n], flag[lo + row])))], ["key", "doc_id", "gram", "own", "good_doc"])
-        key += b.num_rows
-
-
-def _scored_by_join(flagged: DataFrame) -> DataFrame:
-    """Scores from a table of all n-grams, joined by hash.
-
-    An n-gram of one document only has no counts but that document's own, so it
-    has ratio 1 there and need not be in the table.
-    """
-    total = Observation()
-    counts = flagged.mapInArrow(_grams_counted, "gram long, good long, raw long, docs long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("good", "raw", "docs")])
-    counts = cut(counts.observe(total, F.sum("good").alias("good"), F.sum("raw").alias("raw")).filter("docs > 1 OR good > 0").drop("docs"), "grams")
-    good, raw = total.get["good"] or 0, total.get["raw"] or 0
-    part = good / max(raw, 1.0)
-    usual = (counts.filter("good > 0").agg(F.sum(F.col("good") * F.log((F.col("good") + PRIOR) / (part * F.col("raw") + PRIOR)))).first()[0] or 0.0) / max(good, 1.0)
-    asked = flagged.mapInArrow(_grams_asked, "key long, doc_id long, gram long, own long, good_doc boolean").join(counts, "gram", "left")
-    others = F.col("good") - F.when(F.col("good_doc"), F.col("own")).otherwise(0)
-    ratio = F.coalesce(F.log((others + PRIOR) / (part * (F.col("raw") - F.col("own")) + PRIOR)), F.lit(0.0))
-    short = F.least(ratio - usual, F.lit(0.0))
-    sums = asked.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("own").alias("n_grams"), F.sum(short * short * F.col("own")).alias("short"))
-    return sums.select("doc_id", "n_grams", (-F.col("short") / F.greatest("n_grams", F.lit(LEAST_GRAMS))).alias("log_weight"))
-
-
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     """The score that separates labelled good and bad documents best, good ones weighing GOOD_WEIGHT times as much."""
     if not len(good) or not len(bad):
@@ -219,29 +179,36 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float:
     return hi
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, most_cells: int = MOST_CELLS) -> DataFrame:
-    """One row per input row: doc_id, n_grams, log_weight, draw, kept.
+def model_cells(docs: DataFrame, text_col: str = "text") -> int:
+    """Cells for words, and as many for bigrams."""
+    size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+    return min(max(1 << int(np.ceil(np.log2(CELLS_PER_ROOT * np.sqrt(max(size, 1))))), LEAST_CELLS), MOST_CELLS)
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE, cells: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, text_hash, n_grams, log_weight, draw, kept.
 
     labels: (doc_id, quality, toxic); good is quality 1 and toxic 0, bad is
     anything else known, a null label counts for neither. Null and empty texts
     have weight 1 (log weight 0). Documents tied with the k-th all stay, so
     repeated rows share their fate. Without labels of both kinds everything
-    stays. Rows without id take part with one shared noise value. Only id and
-    text are read, so other columns cannot clash; an empty table is fine.
+    stays. Rows without id take part with one shared noise value. Texts are read
+    whole, in blocks; a very long one needs a few times its own size of memory.
+    Only id and text are read, so other columns cannot clash; an empty table is
+    fine.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     known = labels.select(F.col("doc_id").cast("long"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).filter("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "labelled")
-    flagged = docs.join(F.broadcast(sample.filter("good")), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    cells = 1 << max(int(np.ceil(np.log2(2 * max(distinct_grams(docs), 1.0)))), 10)
-    if cells > most_cells:
-        scores = cut(_scored_by_join(flagged), "scores")
-    else:
-        good, raw = np.zeros(cells), np.zeros(cells)
-        counts = flagged.mapInArrow(_counted(cells), "cell long, good long, raw long").groupBy("cell").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).toArrow()  # most_cells rows at most
-        at = counts["cell"].to_numpy()
-        good[at], raw[at] = counts["good"].to_numpy(), counts["raw"].to_numpy()
-        scores = cut(flagged.mapInArrow(_scored(good, raw), "doc_id long, n_grams long, log_weight double"), "scores")
+    flagged = docs.join(F.broadcast(sample.filter("good")), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    cells = cells or model_cells(docs)
+    good, raw = np.zeros((2 * cells // PIECE, PIECE), np.float32), np.zeros((2 * cells // PIECE, PIECE), np.float32)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = flagged.select("text", "good").mapInArrow(_counted(cells), "piece int, packed binary").repartition(parts, "piece").mapInArrow(_summed, "piece int, good binary, raw binary").toArrow()  # 2 * cells / PIECE rows
+    for piece, g, r in zip(*(counts[c].to_pylist() for c in ("piece", "good", "raw"))):
+        good[piece], raw[piece] = np.frombuffer(g, np.float32), np.frombuffer(r, np.float32)
+    scores = cut(flagged.select("doc_id", "text", "good", "text_hash").mapInArrow(_scored(good.ravel(), raw.ravel()), "doc_id long, text_hash long, n_grams long, log_weight double"), "scores")
     fitted = scores.join(F.broadcast(sample), "doc_id").select("log_weight", "good").toPandas()  # MOST_LABELLED ids at most
     edge = best_cut(fitted.log_weight[fitted.good].to_numpy(), fitted.log_weight[~fitted.good].to_numpy())
     noise = -F.log(-F.log(F.greatest(uniform(F.lit("gumbel"), F.col("doc_id")), F.lit(1e-15))))
@@ -252,9 +219,14 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the draw keeps."""
-    out = quality(docs, labels).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(out, docs.doc_id.eqNullSafe(out.doc_id), "left_anti")
+    """The rows of docs that the draw keeps, with their columns as they were.
+
+    Rows are judged by id and text, so a row that shares only its id (or has
+    none) with a rejected one stays. Nulls, ties, repeated rows and empty tables
+    are as in quality(). Other columns pass through and may have any name.
+    """
+    out = quality(docs, labels).filter("NOT kept").select("doc_id", "text_hash").distinct()
+    return docs.join(out, docs.doc_id.eqNullSafe(out.doc_id) & (F.xxhash64(docs.text) == out.text_hash), "left_anti")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
