@@ -195,7 +195,7 @@ def _overlaps(batches):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, segments, percent: int) -> DataFrame:
-    """Links (u, v) among distinct pairs (a, b): bitmap bound, then overlaps by fragment, summed."""
+    """Table of links (u, v) among distinct pairs (a, b): bitmap bound, then overlaps by fragment, summed."""
     both = (
         pairs.join(classes.selectExpr("sig AS a", "n AS na", "bitmap AS map_a"), "a")
         .join(classes.selectExpr("sig AS b", "n AS nb", "bitmap AS map_b"), "b")
@@ -211,7 +211,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, segments, percent: int) -> D
         .groupBy("a", "b", "na", "nb", "f").agg(F.max("part").alias("part"))  # a repeated row brings a segment twice
         .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("c"))
     )
-    return counted.filter(f"100 * c >= {percent} * (na + nb - c)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = cut(counted.filter(f"100 * c >= {percent} * (na + nb - c)").select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    discard(left, seg)
+    return links
 
 
 def _across(percent: int, block: int = 256):
@@ -300,15 +302,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cuts = order[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = cut(
+    shared = cut(
         docs.select("text").mapInArrow(_prefixes(words, percent, level, parts * 8), "part int, packed binary")
         .repartition(parts, "part")
         .mapInArrow(_shared, "tok long, sig long, n long"),
         "jaccard-shared",
     )
     # of shingles with the same sets one stands for all
-    group = posts.groupBy("tok").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
-    posts = cut(posts.join(group.groupBy("m", "x", "y").agg(F.min("tok").alias("tok")).select("tok"), "tok", "left_semi"), "jaccard-postings")
+    group = shared.groupBy("tok").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
+    posts = cut(shared.join(group.groupBy("m", "x", "y").agg(F.min("tok").alias("tok")).select("tok"), "tok", "left_semi"), "jaccard-postings")
+    discard(shared)
+    sweep(spark)
 
     def segments(sigs: DataFrame) -> DataFrame:
         """Segments of the given sets, from one text of each."""
@@ -316,7 +320,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids = F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
         return cut(docs.join(ids, docs.doc_id.eqNullSafe(ids.least), "left_semi").select("text").mapInArrow(_segments(words, level, cuts), "sig long, f int, seg binary"), "jaccard-segments")
 
-    tested = links = labels = None
+    tested = labels = None
 
     def placed() -> DataFrame:
         """Postings of shingles that still stand in two components or more, with each set's component."""
@@ -325,13 +329,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return p.join(open_, "tok")
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal tested, links, labels
+        """Count the pairs not counted yet; new links join the components known, which stand as stars."""
+        nonlocal tested, labels
         fresh = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         fresh = cut(fresh, "jaccard-pairs")
-        found = cut(_verified(fresh, classes, segments, percent), "jaccard-links")
+        found = _verified(fresh, classes, segments, percent)
         tested = fresh if tested is None else tested.union(fresh)
-        links = found if links is None else links.union(found)
-        labels = cut(components(links), "jaccard-labels")
+        known = labels
+        labels = cut(components(found if known is None else found.union(known.select("node", "label"))), "jaccard-labels")
+        discard(found, *([] if known is None else [known]))
         sweep(spark)
 
     for turn in range(star_rounds):
@@ -341,12 +347,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         star = open_.join(lead, "tok").filter(f"comp <> cl AND 100 * least(n, nl) >= {percent} * greatest(n, nl)")
         verify(star.select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")))
         discard(open_)
-    open_ = cut(placed().join(classes.select("sig", "bitmap"), "sig"), "jaccard-open")
+    open_ = cut(placed(), "jaccard-open")
+    sweep(spark)
     home = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    # shingles of one cluster mostly share their smallest set: dealt by it, a pair comes up in few tasks
+    # shingles of one cluster mostly share their smallest set: dealt by it, a pair comes up in few tasks;
+    # bitmaps join last, so that they move once
     blocked = (
         open_.join(open_.groupBy("tok").agg(F.min("sig").alias("lead")), "tok")
         .withColumn("blocks", F.ceil(F.col("m") / block))
+        .join(classes.select("sig", "bitmap"), "sig")
         .withColumn("own", home)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("lead", "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("long").alias("side"), "sig", "n", "comp", "bitmap")
@@ -355,6 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .drop("lead")
     )
     verify(blocked.mapInArrow(_across(percent), "a long, b long"))
+    discard(open_, posts, tested)
     least = labels.join(classes, labels.node == classes.sig).groupBy("label").agg(F.min("least").alias("component"))
     of = labels.join(least, "label").select(F.col("node").alias("sig"), "component")
     return (
@@ -364,10 +374,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id."""
-    heads = jaccard_components(docs).filter("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns as they were: one of each component.
+
+    It is the row with the smallest id (null ids last), then the first as stored.
+    Rows are numbered first, so repeated and null ids do no harm: of equal rows
+    exactly one stays. Null and empty texts, and texts without words, all stay.
+    Other columns pass through and may have any name; an empty table stays empty.
+    """
+    rid = next(n for n in ("row_number", *(f"row_number_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-rows")
+    classed = jaccard_components(rows, rid, text_col).withColumnRenamed("doc_id", rid).join(rows.select(rid, F.col(id_col).alias("own_id")), rid)
+    best = classed.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", rid)).alias("best"))
+    return rows.join(best.select(f"best.{rid}"), rid, "left_semi").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
