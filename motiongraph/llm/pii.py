@@ -2,11 +2,14 @@
 
 Detected entities (e-mail, phone, payment card, social security number, IPv4
 address, titled name) are replaced by keyed surrogates of the same type and
-format: punctuation, number of digits, letter case, title, gender, script, valid
-card check digits and the exchange of a phone number carry over. One entity has
-one surrogate in the whole corpus, however it is written (coreference), and a
-check over all distinct entities keeps surrogates distinct from each other and
-from real entities: where two meet, all but one try again with the next key.
+format: punctuation, number of digits, letter case, title, gender, script, a
+phone's country code, the fictional exchange 555 and valid card check digits carry
+over. One entity has one
+surrogate in the whole corpus, however it is written (coreference); given names
+and surnames have theirs apart, so "Mrs. Anna Smith" and "Mrs. Smith" still share
+a surname. A check over all distinct entities keeps surrogates distinct from each
+other and from real entities: where two meet, all but one try again with the
+next key. Names are found after a title only; there is no list of names.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .shared import cut, read
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"  # no repeated group: Java matches those by recursion
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+PHONE = r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]\d{1,4}(?:[ .-]\d{2,4}){2,4})(?!\d)"
 #: Titles of men and women; a name follows.
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")
 NAME = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
@@ -47,16 +50,18 @@ def _title(hit: Column) -> Column:
     return F.regexp_extract(hit, r"^([^ ]+) ", 1)
 
 
-def _canonical(kind: Column, hit: Column) -> Column:
-    """What two spellings of one entity share; names keep their gender."""
+def _keys(kind: Column, hit: Column) -> Column:
+    """Array of (kind, canon): what two spellings of one entity share; a name has its parts, given names with gender."""
     digits = F.regexp_replace(hit, r"\D", "")
-    gender = F.when(F.regexp_replace(_title(hit), r"\.", "").isin(*FEMALE), "f").otherwise("m")
+    gender = F.when(F.regexp_replace(_title(hit), r"\.", "").isin(*FEMALE), "f ").otherwise("m ")
+    name = F.lower(F.regexp_replace(hit, r"^[^ ]+ ", ""))
+    pair = lambda k, c: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), c.alias("canon"))
+    surname = pair("surname", F.substring_index(name, " ", -1))
+    plain = F.when(kind == "email", F.lower(hit)).when(kind == "ip", hit).when(kind == "phone", F.right(digits, F.lit(10))).otherwise(digits)
     return (
-        F.when(kind == "email", F.lower(hit))
-        .when(kind == "ip", hit)
-        .when(kind == "phone", F.right(digits, F.lit(10)))
-        .when(kind == "name", F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(hit, r"^[^ ]+ ", ""))))
-        .otherwise(digits)
+        F.when(kind != "name", F.array(pair(kind, plain)))
+        .when(F.contains(name, F.lit(" ")), F.array(surname, pair("given", F.concat(gender, F.substring_index(name, " ", 1)))))
+        .otherwise(F.array(surname))
     )
 
 
@@ -98,22 +103,23 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.concat(F.substring(canon, 1, 1), _digits(h, n - 2))
     checked = F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d)))
     card = F.concat(body, F.when(F.call_function("luhn_check", canon), F.element_at(checked, 1)).otherwise((_byte(h, 31) % 10).cast("string")))
-    female, who = F.startswith(canon, F.lit("f ")), F.substring(canon, 3, 1 << 20)
-    cyrillic = F.regexp_like(who, F.lit(r"\p{IsCyrillic}"))
-    last = _word(h, 0, attempt + 1, female, cyrillic, False)
-    name = F.when(F.contains(who, F.lit(" ")), F.concat(_word(h, 10, F.lit(0), female, cyrillic, True), F.lit(" "), last)).otherwise(last)
+    cyrillic = F.regexp_like(canon, F.lit(r"\p{IsCyrillic}"))
+    surname = _word(h, 0, attempt + 1, F.regexp_like(canon, F.lit("[ая]$")), cyrillic, False)
+    area = F.concat((_byte(h, 20) % 8 + 2).cast("string"), _digits(h, F.lit(2)))
+    given = F.concat(F.substring(canon, 1, 2), _word(h, 10, attempt, F.startswith(canon, F.lit("f ")), cyrillic, True))
     return (
         F.when(kind == "email", F.concat(spelled, F.lit("@"), host))
         .when(kind == "ip", F.concat_ws(".", _byte(h, 0) % 223 + 1, _byte(h, 1), _byte(h, 2), _byte(h, 3)))
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(h, F.lit(8))))
-        .when(kind == "phone", F.concat((_byte(h, 20) % 8 + 2).cast("string"), _digits(h, F.lit(2)), F.substring(canon, 4, 3), _digits(h, F.lit(4), 2)))
-        .when(kind == "name", F.concat(F.substring(canon, 1, 2), name))
+        .when(kind == "phone", F.when(F.regexp_like(canon, F.lit(r"^\d{3}555\d{4}$")), F.concat(area, F.lit("555"), _digits(h, F.lit(4), 2))).otherwise(F.concat(area, _digits(h, n - 3, 2))))
+        .when(kind == "surname", surname)
+        .when(kind == "given", given)
         .otherwise(card)
     )
 
 
-def _styled(kind: Column, hit: Column, canon: Column, sur: Column) -> Column:
-    """The surrogate in the spelling of the entity."""
+def _styled(kind: Column, hit: Column, canon: Column, sur: Column, given: Column) -> Column:
+    """The surrogate in the spelling of the entity; ``given`` is that of a given name, else null."""
     extra = F.length(F.regexp_replace(hit, r"\D", "")) - F.length(canon)
     filled = F.aggregate(
         F.split(hit, ""),
@@ -126,14 +132,15 @@ def _styled(kind: Column, hit: Column, canon: Column, sur: Column) -> Column:
     upper = hit == F.upper(hit)
     return (
         F.when(kind.isin("email", "ip"), F.when(upper, F.upper(sur)).otherwise(sur))
-        .when(kind == "name", F.concat(_title(hit), F.lit(" "), F.initcap(F.substring(sur, 3, 1 << 20))))
+        .when(kind == "name", F.concat_ws(" ", _title(hit), F.initcap(F.substring(given, 3, 1 << 20)), F.initcap(sur)))
         .otherwise(filled)
     )
 
 
 def entities(text: Column) -> Column:
-    """Array of (kind, hit, canon) in text order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda hit: F.struct(_type(hit).alias("kind"), hit.alias("hit"), _canonical(_type(hit), hit).alias("canon")))
+    """Array of (kind, hit, keys) in text order; empty for null."""
+    hits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)), lambda hit: F.struct(_type(hit).alias("kind"), hit.alias("hit")))
+    return F.transform(hits, lambda e: F.struct(e["kind"].alias("kind"), e["hit"].alias("hit"), _keys(e["kind"], e["hit"]).alias("keys")))
 
 
 def assign(found: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
@@ -158,33 +165,29 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, entities (kind, hit), text with surrogates.
 
     The same key gives the same surrogates on every run over the same corpus. A
-    null text stays null and an empty one empty; repeated rows get equal texts;
-    an empty table gives an empty result. Other columns are not read.
+    null text stays null and an empty one empty; ids may be null or repeat, and
+    repeated rows get equal texts; an empty table gives an empty result. Other
+    columns are not read. Texts are scanned once, by patterns that neither
+    recurse nor look back over more than one run of characters, so very long
+    ones take time in proportion; those with entities are split once more.
     """
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    found = cut(docs.select(F.xxhash64("text").alias("h"), F.md5("text").alias("m"), entities(F.col("text")).alias("e")).filter(F.size("e") > 0), "pii-found")
-    each = found.select("h", "m", F.explode("e").alias("e")).select("h", "m", "e.kind", "e.canon").distinct()
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    found = cut(found.withColumn("e", entities(F.col("text"))), "pii-found")
+    some = found.filter(F.size("e") > 0)
+    each = some.select("rid", F.explode(F.flatten(F.transform("e", lambda e: e["keys"]))).alias("k")).select("rid", "k.kind", "k.canon").distinct()
     again = cut(assign(each.select("kind", "canon").distinct(), key).filter("attempt > 0"), "pii-again")
     # texts with entities whose first surrogate was taken bring the attempt along
-    other = (
-        each.join(again, ["kind", "canon"])
-        .groupBy("h", "m")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("attempts"))
-        .withColumnsRenamed({"h": "h2", "m": "m2"})
-    )
-    keyed = docs.withColumns({"h": F.xxhash64("text"), "m": F.md5("text")})
-    joined = keyed.join(other, (F.col("h") == F.col("h2")) & (F.col("m") == F.col("m2")), "left")
-    new = F.transform(
-        F.col("e"),
-        lambda e: _styled(e["kind"], e["hit"], e["canon"], surrogate(e["kind"], e["canon"], F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("|", e["kind"], e["canon"])), F.lit(0)), key)),
-    )
+    other = each.join(again, ["kind", "canon"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("attempts"))
+
+    def drawn(k: Column) -> Column:
+        return surrogate(k["kind"], k["canon"], F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("|", k["kind"], k["canon"])), F.lit(0)), key)
+
+    new = F.transform("e", lambda e: _styled(e["kind"], e["hit"], e["keys"][0]["canon"], drawn(e["keys"][0]), F.when(F.size(e["keys"]) > 1, drawn(F.element_at(e["keys"], -1)))))
     parts = F.arrays_zip(F.split("text", ANY, -1).alias("gap"), new.alias("new"))
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
-    return joined.withColumn("e", entities(F.col("text"))).select(
-        "doc_id",
-        F.coalesce(F.transform("e", lambda e: F.struct(e["kind"].alias("kind"), e["hit"].alias("hit"))), F.array().cast("array<struct<kind:string,hit:string>>")).alias("entities"),
-        F.when(F.size("e") > 0, text).otherwise(F.col("text")).alias("text"),
-    )
+    hits = F.transform("e", lambda e: F.struct(e["kind"].alias("kind"), e["hit"].alias("hit"))).alias("entities")
+    changed = some.join(other, "rid", "left").select("doc_id", hits, text.alias("text"))
+    return changed.unionByName(found.filter(F.size("e") == 0).select("doc_id", hits, "text"))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
