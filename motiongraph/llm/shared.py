@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,14 +49,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
+def sweep(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark drop the shuffle files of finished jobs.
 
-    Its cleaner follows the driver's garbage collection, which a loop of many
-    small jobs hardly triggers, while their files add up.
+    Its cleaner follows the driver's garbage collection, which a few large jobs
+    or many small ones hardly trigger, while their files add up. The scheduler
+    still knows the last job, and the cleaner works beside the driver: with
+    ``wait`` a tiny job displaces the last one, and its files get seconds to go.
     """
+    if wait:
+        spark.range(8).repartition(2).count()
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(wait)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, read, sweep
 from .wordhash import _BYTE, U, _power, blocks, mix
 
 LENGTH, GRAM = 100, 32
@@ -318,8 +318,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         .mapInArrow(_repeated, "id long, samples binary")
         .groupBy("id").agg(F.collect_list("samples").alias("samples"))
     )
+    anchors = cut(anchors, "suffix-samples")
+    sweep(docs.sparkSession, wait=1.0)
     return (
-        docs.filter(F.octet_length("text") >= length).join(cut(anchors, "suffix-samples"), "id").select("id", "th", "text", "samples")
+        docs.filter(F.octet_length("text") >= length).join(anchors, "id").select("id", "th", "text", "samples")
         .mapInArrow(_contexts(length, parts), OUT)
         .repartition(parts, "part")
         .mapInArrow(_later(length, gram), OUT)
@@ -331,14 +333,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null counts as empty; texts shorter than ``length``
-    keep everything. A row without id comes after all others. Rows that repeat
-    id and text are one document and get the same result; rows that share only
-    the id follow each other in the order of their texts' hashes. Other columns
-    are not read; an empty table gives an empty result.
+    keep everything. Rows without id come after all others (ids below 2**62), in
+    the order of their texts' hashes. Rows that repeat id and text are one
+    document and get the same result; rows that share only the id follow each
+    other in the order of their texts' hashes. A very long text needs a few dozen
+    times its own size of memory in one task. Other columns are not read; an
+    empty table gives an empty result.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    doc_id, th = docs[id_col].cast("long"), F.xxhash64(text)
+    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(1 << 62) + F.shiftrightunsigned(th, 2)).alias("id"), th.alias("th"), text.alias("text"))
     ranges = cut(repeated_ranges(docs, length, gram).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "suffix-ranges")
+    sweep(docs.sparkSession, wait=1.0)
     return docs.join(ranges, ["id", "th"], "left").select("doc_id", "text", "ranges").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
