@@ -80,22 +80,22 @@ def _counts(sizes: list[int], table: np.ndarray):
 
 def _candidates(sizes: list[int], table: np.ndarray, width: int):
     """For each document one row without gram, and one for each passing shingle with the words around it."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))])
 
     def run(batches):
         for b in batches:
-            rid, doc = b.column(0), b.column(1)
+            rid, doc, th = b.column(0), b.column(1), b.column(3)
             for lo, hi, data, starts, ends, bound, row, at, g in _passing(b.column(2), sizes, table):
                 n = np.diff(bound)
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([rid[lo:hi], doc[lo:hi], pa.array(n), none, none, none, pa.nulls(hi - lo, pa.list_(pa.string()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([rid[lo:hi], doc[lo:hi], th[lo:hi], pa.array(n), none, none, none, pa.nulls(hi - lo, pa.list_(pa.string()))], schema=schema)
                 low = LOWER[data].tobytes()
                 for j in range(0, len(at), 5000):
                     w, d = at[j : j + 5000], row[at[j : j + 5000]]
                     first, last = np.maximum(w - width + 1, bound[d]), np.minimum(w + width, bound[d + 1])
                     around = [[low[s:e].decode() for s, e in zip(starts[x:y], ends[x:y])] for x, y in zip(first, last)]
                     take = pa.array(lo + d)
-                    yield pa.RecordBatch.from_arrays([rid.take(take), doc.take(take), pa.array(n[d]), pa.array(g[j : j + 5000].view(np.int64)), pa.array(w - bound[d]), pa.array(first - bound[d]), pa.array(around, pa.list_(pa.string()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([rid.take(take), doc.take(take), th.take(take), pa.array(n[d]), pa.array(g[j : j + 5000].view(np.int64)), pa.array(w - bound[d]), pa.array(first - bound[d]), pa.array(around, pa.list_(pa.string()))], schema=schema)
 
     return run
 
@@ -113,9 +113,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     no windows; an item of fewer than ``width`` words is one window. Items with
     equal windows all count; repeated documents are judged each on its own. An
     empty documents table gives an empty result, an empty benchmark no hits.
-    Only id and text columns are read, so other columns cannot clash.
+    Only id and text columns are read, so other columns cannot clash. Texts are
+    read whole, in blocks; a very long one needs a few dozen times its own size.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return _judged(docs, items, id_col, text_col, item_col, item_text_col, width, gram).drop("text_hash")
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """As contamination(), with the hash of each text."""
+    text = docs[text_col].cast("string")
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     win = cut(items.select(items[item_col].cast("long").alias("item_id"), items[item_text_col].cast("string").alias("text")).mapInArrow(_windows(width, gram), "item_id long, content string, m long, grams array<long>"), "windows")
     sizes = sorted({min(gram, m) for (m,) in win.select("m").distinct().collect()}) or [gram]
     placed = win.select("content", "m", F.posexplode("grams").alias("offset", "gram")).distinct()
@@ -125,7 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rarest = placed.join(seen, "gram", "left").groupBy("content", "m").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram", "offset")).alias("p"))
     prefix = cut(rarest.filter("p.c > 0").select("content", "m", "p.gram", "p.offset"), "prefixes")
 
-    listed = cut(docs.mapInArrow(_candidates(sizes, _table(prefix), width), "rid long, doc_id long, n_words long, gram long, pos long, first long, around array<string>"), "candidates")
+    listed = cut(docs.mapInArrow(_candidates(sizes, _table(prefix), width), "rid long, doc_id long, text_hash long, n_words long, gram long, pos long, first long, around array<string>"), "candidates")
     begin = F.col("pos") - F.col("offset")
     hits = (
         listed.filter("gram IS NOT NULL")
@@ -150,7 +157,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .groupBy("rid").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     )
     return (
-        listed.filter("gram IS NULL").select("rid", "doc_id", "n_words")
+        listed.filter("gram IS NULL").select("rid", "doc_id", "text_hash", "n_words")
         .join(covered, "rid", "left")
         .join(named, "rid", "left")
         .select(
@@ -160,14 +167,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            "text_hash",
         )
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of an item occurs."""
-    bad = contamination(docs, items).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """The rows of docs in which no window of an item occurs, with their columns as they were.
+
+    Rows are judged by id and text, so a clean row that shares its id (or has
+    none) with a contaminated one stays. Nulls, repeated rows and empty tables
+    are as in contamination(). Other columns pass through and may have any name.
+    """
+    bad = _judged(docs, items).filter("contaminated").select("doc_id", "text_hash").distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id) & (F.xxhash64(docs.text) == bad.text_hash), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
