@@ -292,8 +292,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the sketch has 2**SKETCH_BITS cells however large the corpus is
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     sums = listed.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("cell", "c")).groupBy("cell").agg(F.sum("c").alias("c")).filter("c > 0")
-    for cell, c in sums.collect():
-        sketch[cell] = c
+    held = sums.toArrow()
+    sketch[held["cell"].to_numpy()] = held["c"].to_numpy()
+    del held
     level = np.floor(np.log2(np.maximum(sketch, 1)) * 4).astype(np.uint64)
     cells = np.arange(len(sketch), dtype=np.uint64)
     order = np.sort((level << U(56)) | (cells << U(56 - SKETCH_BITS)))

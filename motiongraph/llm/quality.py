@@ -206,11 +206,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     good, raw = np.zeros((2 * cells // PIECE, PIECE), np.float32), np.zeros((2 * cells // PIECE, PIECE), np.float32)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = flagged.select("text", "good").mapInArrow(_counted(cells), "piece int, packed binary").repartition(parts, "piece").mapInArrow(_summed, "piece int, good binary, raw binary").toArrow()  # 2 * cells / PIECE rows
-    for piece, g, r in zip(*(counts[c].to_pylist() for c in ("piece", "good", "raw"))):
-        good[piece], raw[piece] = np.frombuffer(g, np.float32), np.frombuffer(r, np.float32)
+    for piece, g, r in zip(counts["piece"], counts["good"], counts["raw"]):
+        good[piece.as_py()], raw[piece.as_py()] = np.frombuffer(g.as_buffer(), np.float32), np.frombuffer(r.as_buffer(), np.float32)
     scores = cut(flagged.select("doc_id", "text", "good", "text_hash").mapInArrow(_scored(good.ravel(), raw.ravel()), "doc_id long, text_hash long, n_grams long, log_weight double"), "scores")
-    fitted = scores.join(F.broadcast(sample), "doc_id").select("log_weight", "good").toPandas()  # MOST_LABELLED ids at most
-    edge = best_cut(fitted.log_weight[fitted.good].to_numpy(), fitted.log_weight[~fitted.good].to_numpy())
+    del counts, good, raw
+    fitted = scores.join(F.broadcast(sample), "doc_id").select("log_weight", "good").toArrow()  # MOST_LABELLED ids at most
+    weight, is_good = fitted["log_weight"].to_numpy(), fitted["good"].to_numpy().astype(bool)
+    edge = best_cut(weight[is_good], weight[~is_good])
     noise = -F.log(-F.log(F.greatest(uniform(F.lit("gumbel"), F.col("doc_id")), F.lit(1e-15))))
     drawn = scores.withColumn("draw", F.col("log_weight") + temperature * noise)
     k = scores.filter(F.col("log_weight") >= edge).count() if np.isfinite(edge) else 0

@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,7 @@ def sweep(spark: SparkSession, wait: float = 0.0) -> None:
     if wait:
         spark.range(8).repartition(2).count()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
     time.sleep(wait)
 
