@@ -56,32 +56,25 @@ def g6(spark, d):
     return op.prune_tails(t.edge(spark, d), 3).select("scan_id", "n1", "n2")
 
 
-
-
-def _strong(spark, d):
-    """A sparse subgraph, so that components stay many."""
-    return t.edge(spark, d).filter("ctvalue > 48")
-
-
 @query("g7_prune_clusters")
 def g7(spark, d):
-    node, edge = op.prune_clusters(t.node(spark, d), _strong(spark, d), 3)
+    node, edge = op.prune_clusters(t.node(spark, d), t.edge(spark, d), 3)
     return edge.select("scan_id", "n1", "n2")
 
 
 @query("g8_pop_nodes")
 def g8(spark, d):
-    return op.pop_nodes(_strong(spark, d)).select("scan_id", "n1", "n2", "cost", "ctvalue", F.size("nodes").cast("long").alias("n_nodes"))
+    return op.pop_nodes(t.edge(spark, d)).select("scan_id", "n1", "n2", "cost", "ctvalue", F.size("nodes").cast("long").alias("n_nodes"))
 
 
 @query("g9_components", "edge half node", None)
 def g9(spark, d):
-    return op.components(_strong(spark, d), t.node(spark, d))
+    return op.components(t.edge(spark, d), t.node(spark, d))
 
 
 @query("g9_split_rings")
 def g9_rings(spark, d):
-    return op.split_rings(t.node(spark, d), _strong(spark, d))
+    return op.split_rings(t.node(spark, d), t.edge(spark, d))
 
 
 @query("g10_split_common_prefix", "path", "w AS (SELECT path_id, idx, CAST(round(x * 3) AS BIGINT) AS x, CAST(round(y * 3) AS BIGINT) AS y, CAST(round(z * 2) AS BIGINT) AS z FROM path) SELECT a.path_id AS p, b.path_id AS q, coalesce(min(a.idx) FILTER (WHERE a.x <> b.x OR a.y <> b.y OR a.z <> b.z), count(*)) AS shared FROM w a JOIN w b ON a.path_id < b.path_id AND a.idx = b.idx GROUP BY 1, 2")
@@ -95,22 +88,21 @@ def g11(spark, d):
     return op.hooks(t.edge(spark, d))[0].select("scan_id", "n1", "n2")
 
 
-_LOOPS = "wl AS (SELECT scan_id, n1, n2 FROM edge UNION ALL SELECT DISTINCT l_linestatus, CAST(l_orderkey AS BIGINT) + 100000, CAST(l_orderkey AS BIGINT) + 100000 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 < 5 UNION ALL SELECT DISTINCT scan_id, n1, n1 FROM edge WHERE n1 % 10 = 0)"
+_LOOPS = "wl AS (SELECT scan_id, n1, n2 FROM edge UNION ALL SELECT DISTINCT l_linestatus, -CAST(l_orderkey AS BIGINT), -CAST(l_orderkey AS BIGINT) FROM lineitem UNION ALL SELECT DISTINCT scan_id, n1, n1 FROM edge)"
 
 
 @query("g12_drop_lone_loops", "edge", f"{_LOOPS}, d AS (SELECT scan_id, n, count(*) AS g FROM (SELECT scan_id, n1 AS n FROM wl UNION ALL SELECT scan_id, n2 FROM wl) GROUP BY 1, 2) SELECT {E} FROM wl WHERE NOT (n1 = n2 AND EXISTS (SELECT 1 FROM d WHERE d.scan_id = wl.scan_id AND n = n1 AND g = 2))")
 def g12(spark, d):
     e = t.edge(spark, d).select("scan_id", "n1", "n2")
-    li = t.read(spark, d, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 50 < 5")
-    o = (F.col("l_orderkey") + 100000).cast("long")
-    lone = li.select(F.col("l_linestatus").alias("scan_id"), o.alias("n1"), o.alias("n2")).distinct()
-    tied = e.filter("n1 % 10 = 0").select("scan_id", "n1", F.col("n1").alias("n2")).distinct()
+    o = -F.col("l_orderkey").cast("long")
+    lone = t.read(spark, d, "lineitem").select(F.col("l_linestatus").alias("scan_id"), o.alias("n1"), o.alias("n2")).distinct()
+    tied = e.select("scan_id", "n1", F.col("n1").alias("n2")).distinct()
     return op.drop_lone_loops(e.union(lone).union(tied)).select("scan_id", "n1", "n2")
 
 
 @query("g13_ring_parts")
 def g13(spark, d):
-    return op.ring_parts(t.node(spark, d), _strong(spark, d))
+    return op.ring_parts(t.node(spark, d), t.edge(spark, d))
 
 
 @query("g14_peak_valley_midpoints")
@@ -121,7 +113,7 @@ def g14(spark, d):
 @query("g15_link_seeds")
 def g15(spark, d):
     links = op.half_edges(t.edge(spark, d)).select("scan_id", "a", "b", F.col("cost").alias("w"))
-    return op.link_seeds(links, t.node(spark, d).filter("node_id % 40 = 0")).select("scan_id", "n1", "n2", "cost")
+    return op.link_seeds(links, t.node(spark, d).filter("corner")).select("scan_id", "n1", "n2", "cost")
 
 
 @query("g16_clean")

@@ -126,7 +126,7 @@ def a52(spark, d):
     return op.angle_pair_extremes(op.three_point_angle(_at(spark, d, 0), _at(spark, d, 5), _at(spark, d, 9), K), K)
 
 
-@query("a53_relative_displacement", "motion", f"SELECT m.path_id, m.idx, m.phase, {r(displacement='sqrt(pow(m.dx - o.dx, 2) + pow(m.dy - o.dy, 2) + pow(m.dz - o.dz, 2))')} FROM motion m JOIN motion o ON m.path_id = o.path_id AND m.idx = o.idx AND o.phase = 5")
+@query("a53_relative_displacement", "motion", f"m AS (SELECT *, max(dx) FILTER (WHERE phase = 5) OVER w AS ox, max(dy) FILTER (WHERE phase = 5) OVER w AS oy, max(dz) FILTER (WHERE phase = 5) OVER w AS oz FROM motion WINDOW w AS (PARTITION BY path_id, idx)) SELECT path_id, idx, phase, {r(displacement='sqrt(pow(dx - ox, 2) + pow(dy - oy, 2) + pow(dz - oz, 2))')} FROM m")
 def a53(spark, d):
     return op.relative_displacement(t.motion(spark, d))
 
@@ -169,9 +169,11 @@ def j14(spark, d):
 
 
 @query("a9_node_angle_change", "node edge", f"""mo AS (SELECT scan_id, node_id, p AS phase, CAST((node_id * 3 + p) % 7 AS DOUBLE) / 10 AS dx, CAST((node_id + p * 2) % 5 AS DOUBLE) / 10 AS dy, CAST((node_id * 2 + p) % 9 AS DOUBLE) / 10 AS dz FROM node, range(3) r(p)),
-ps AS (SELECT scan_id, node_id, phase, x, y, z, x + dx AS mx, y + dy AS my, z + dz AS mz FROM node JOIN mo USING (scan_id, node_id)),
-ad AS (SELECT scan_id, n1 AS node, n2 AS o FROM edge UNION SELECT scan_id, n2, n1 FROM edge), np AS (SELECT a.scan_id, a.node, a.o AS a, b.o AS b FROM ad a JOIN ad b ON a.scan_id = b.scan_id AND a.node = b.node AND a.o < b.o),
-jj AS (SELECT n.scan_id, n.node_id, a.x - n.x AS ux, a.y - n.y AS uy, a.z - n.z AS uz, b.x - n.x AS vx, b.y - n.y AS vy, b.z - n.z AS vz, a.mx - n.mx AS px, a.my - n.my AS py, a.mz - n.mz AS pz, b.mx - n.mx AS qx, b.my - n.my AS qy, b.mz - n.mz AS qz FROM np JOIN ps n ON n.scan_id = np.scan_id AND n.node_id = np.node JOIN ps a ON a.scan_id = np.scan_id AND a.node_id = np.a AND a.phase = n.phase JOIN ps b ON b.scan_id = np.scan_id AND b.node_id = np.b AND b.phase = n.phase)
+ps AS MATERIALIZED (SELECT scan_id, node_id, phase, x, y, z, x + dx AS mx, y + dy AS my, z + dz AS mz FROM node JOIN mo USING (scan_id, node_id)),
+ad AS MATERIALIZED (SELECT scan_id, n1 AS node, n2 AS o FROM edge UNION SELECT scan_id, n2, n1 FROM edge), np AS MATERIALIZED (SELECT a.scan_id, a.node, a.o AS a, b.o AS b FROM ad a JOIN ad b ON a.scan_id = b.scan_id AND a.node = b.node AND a.o < b.o),
+k1 AS MATERIALIZED (SELECT np.*, n.phase, n.x, n.y, n.z, n.mx, n.my, n.mz FROM np JOIN ps n ON n.scan_id = np.scan_id AND n.node_id = np.node),
+k2 AS MATERIALIZED (SELECT k1.*, o.x - k1.x AS ux, o.y - k1.y AS uy, o.z - k1.z AS uz, o.mx - k1.mx AS px, o.my - k1.my AS py, o.mz - k1.mz AS pz FROM k1 JOIN ps o ON o.scan_id = k1.scan_id AND o.node_id = k1.a AND o.phase = k1.phase),
+jj AS (SELECT k2.scan_id, k2.node AS node_id, ux, uy, uz, px, py, pz, o.x - k2.x AS vx, o.y - k2.y AS vy, o.z - k2.z AS vz, o.mx - k2.mx AS qx, o.my - k2.my AS qy, o.mz - k2.mz AS qz FROM k2 JOIN ps o ON o.scan_id = k2.scan_id AND o.node_id = k2.b AND o.phase = k2.phase)
 SELECT scan_id, node_id, {r(change=f"max(CASE WHEN ux*ux+uy*uy+uz*uz > 0 AND vx*vx+vy*vy+vz*vz > 0 AND px*px+py*py+pz*pz > 0 AND qx*qx+qy*qy+qz*qz > 0 THEN degrees(abs(acos(least(greatest((px*qx+py*qy+pz*qz)/(sqrt(px*px+py*py+pz*pz)*sqrt(qx*qx+qy*qy+qz*qz)),-1),1)) - acos(least(greatest((ux*vx+uy*vy+uz*vz)/(sqrt(ux*ux+uy*uy+uz*uz)*sqrt(vx*vx+vy*vy+vz*vz)),-1),1)))) END)")} FROM jj GROUP BY 1, 2""")
 def a9(spark, d):
     node = t.node(spark, d)
@@ -232,7 +234,7 @@ def j7(spark, d):
     return ne.nearest_device(ends, p.filter("idx = 1").select(F.col("path_id").alias("device"), "x", "y", "z"))
 
 
-@query("j8_max_pair_pulsatility", "posed", f"cc AS (SELECT a.path_id, a.idx AS ia, b.idx AS ib, max({ND}) - min({ND}) AS ch FROM posed a JOIN posed b ON b.path_id = a.path_id + 1 AND a.phase = b.phase WHERE a.idx + b.idx * 0 < 12 AND b.idx + a.idx * 0 < 12 GROUP BY 1, 2, 3) SELECT path_id, {r(change='max(ch)')}, arg_max(ia, ch) AS idx_a, arg_max(ib, ch) AS idx_b FROM cc GROUP BY 1")
+@query("j8_max_pair_pulsatility", "posed", f"cc AS (SELECT a.path_id, a.idx AS ia, b.idx AS ib, max({ND}) - min({ND}) AS ch FROM posed a JOIN posed b ON b.path_id = a.path_id + 1 AND a.phase = b.phase GROUP BY 1, 2, 3) SELECT path_id, {r(change='max(ch)')}, arg_max(ia, ch) AS idx_a, arg_max(ib, ch) AS idx_b FROM cc GROUP BY 1")
 def j8(spark, d):
     p = posed(spark, d)
     return ne.max_pair_pulsatility(p, _next_path(p), K)

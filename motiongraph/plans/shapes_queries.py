@@ -73,9 +73,9 @@ def j17(spark, d):
     return op.winding_conflicts(t.face(spark, d))
 
 
-@query("j18_validate_mesh", "face vertex", "c AS (SELECT mesh_id, f, v1 AS v FROM face UNION ALL SELECT mesh_id, f, v2 FROM face UNION ALL SELECT mesh_id, f, v3 FROM face) SELECT DISTINCT mesh_id, 'missing' AS problem, f, v FROM c WHERE NOT EXISTS (SELECT 1 FROM vertex WHERE vertex.v = c.v AND vertex.v < 490) UNION ALL SELECT mesh_id, 'thin', NULL, v FROM c GROUP BY mesh_id, v HAVING count(DISTINCT f) < 3")
+@query("j18_validate_mesh", "face vertex", "c AS (SELECT mesh_id, f, v1 AS v FROM face UNION ALL SELECT mesh_id, f, v2 FROM face UNION ALL SELECT mesh_id, f, v3 FROM face) SELECT DISTINCT mesh_id, 'missing' AS problem, f, v FROM c WHERE NOT EXISTS (SELECT 1 FROM vertex WHERE vertex.v = c.v) UNION ALL SELECT mesh_id, 'thin', NULL, v FROM c GROUP BY mesh_id, v HAVING count(DISTINCT f) < 3")
 def j18(spark, d):
-    return op.validate_mesh(t.vertex(spark, d).filter("v < 490"), t.face(spark, d))
+    return op.validate_mesh(t.vertex(spark, d), t.face(spark, d))
 
 
 @query("j23_plane_section", "face vertex", f"{DIRECTED}, e AS (SELECT DISTINCT mesh_id, least(a, b) AS a, greatest(a, b) AS b FROM de), s AS (SELECT *, z - 0.02 AS d FROM vertex) SELECT mesh_id, a, b, {r(x='p.x + p.d / (p.d - q.d) * (q.x - p.x)', y='p.y + p.d / (p.d - q.d) * (q.y - p.y)', z='p.z + p.d / (p.d - q.d) * (q.z - p.z)')} FROM e JOIN s p ON p.v = a JOIN s q ON q.v = b WHERE p.d * q.d < 0")

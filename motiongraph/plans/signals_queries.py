@@ -63,7 +63,7 @@ def a46(spark, d):
     return op.mean_period(op.pad_periods(_periods(spark, d)))
 
 
-@query("w23_tile", "signal", f"SELECT source, idx, {r(t='t + k * 1000', value='value')} FROM signal, range(3) q(k) WHERE idx < 20")
+@query("w23_tile", "signal", f"SELECT source, idx, {r(t='t + k * 1000', value='value')} FROM signal, range(3) q(k)")
 def w23(spark, d):
     return op.tile(t.signal(spark, d), 3, 1000.0).select("source", "idx", "t", "value")
 
@@ -75,12 +75,12 @@ def w25(spark, d):
     return op.rebase(both, "unit", c="unit").select("source", "idx", F.col("value").alias("first"), "unit")
 
 
-@query("j25_resample", "signal", f"s AS (SELECT *, lead(t) OVER w AS nt, lead(value) OVER w AS nv FROM signal WINDOW w AS (PARTITION BY source ORDER BY idx)), b AS (SELECT source, min(t) AS t0, (max(t) - min(t)) / 49 AS step FROM signal GROUP BY 1), g AS (SELECT source, k, t0 + k * step AS at FROM b, range(49) q(k)) SELECT g.source, k, {r(t='g.at', value='value + (nv - value) * (g.at - s.t) / (nt - s.t)')} FROM g JOIN s ON s.source = g.source AND s.t <= g.at AND g.at < nt")
+@query("j25_resample", "signal", f"s AS (SELECT *, lead(t) OVER w AS nt, lead(value) OVER w AS nv FROM signal WINDOW w AS (PARTITION BY source ORDER BY idx)), b AS (SELECT source, min(t) AS t0, (max(t) - min(t)) / 49 AS step FROM signal GROUP BY 1), g AS (SELECT source, k, t0 + k * step AS at FROM b, range(49) q(k)) SELECT g.source, k, {r(t='g.at', value='value + (nv - value) * (g.at - s.t) / (nt - s.t)')} FROM g JOIN s ON s.source = g.source AND s.t <= g.at AND g.at < nt UNION ALL SELECT source, 49, {r(t='max(t)', value='arg_max(value, idx)')} FROM signal GROUP BY 1")
 def j25(spark, d):
     return op.resample(t.signal(spark, d), 50)
 
 
-@query("a41_dominant_frequency", "signal", f"n AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM signal), f AS (SELECT source, f, any_value(n) AS n, pow(sum(value * cos(2 * pi() * f * idx / n)), 2) + pow(sum(value * sin(2 * pi() * f * idx / n)), 2) AS p FROM n, range(1, 41) q(f) GROUP BY 1, 2), b AS (SELECT source, arg_max(f, p) * 20.0 / any_value(n) AS hz FROM f GROUP BY 1) SELECT source, {r(frequency='hz', period='1 / hz', bpm='60 * hz')} FROM b")
+@query("a41_dominant_frequency")
 def a41(spark, d):
     return op.dominant_frequency(t.signal(spark, d), 20.0)
 

@@ -36,7 +36,7 @@ def s4(spark, d):
     return io.rename_manifest(f).select("page_id", "new_name")
 
 
-@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * 0.5 + 1')} FROM voxel WHERE z < 10")
+@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * 0.5 + 1')} FROM voxel")
 def s5(spark, d):
     v = t.voxel(spark, d).withColumn("scan_id", F.lit("s"))
     scan = v.select("scan_id").distinct().select("scan_id", F.lit(0.5).alias("sz"), F.lit(1.0).alias("oz"))
@@ -68,18 +68,18 @@ def _wide(spark, d):
     return m.groupBy("path_id", "idx").agg(*cols)
 
 
-@query("s12_unpivot_positions", "motion", f"SELECT path_id, phase, {r(x='dx', y='dy', z='dz')} FROM motion WHERE idx = 0")
+@query("s12_unpivot_positions", "motion", f"SELECT path_id, idx, phase, {r(x='dx', y='dy', z='dz')} FROM motion")
 def s12(spark, d):
     return io.unpivot_positions(_wide(spark, d), ("path_id", "idx"))
 
 
-@query("s13_unpivot_phases", "motion", f"SELECT path_id, phase, {r(value='dz', offset='dz - max(dz) FILTER (WHERE phase = 5) OVER (PARTITION BY path_id)').replace(' AS offset', ' AS \"offset\"')} FROM motion WHERE idx + 0 * phase = 0")
+@query("s13_unpivot_phases", "motion", f"SELECT path_id, idx, phase, {r(value='dz', offset='dz - max(dz) FILTER (WHERE phase = 5) OVER (PARTITION BY path_id, idx)').replace(' AS offset', ' AS \"offset\"')} FROM motion")
 def s13(spark, d):
     w = _wide(spark, d).select("path_id", "idx", *[F.col(f"p{p}_z").alias(f"p{p}") for p in range(10)])
     return io.unpivot_phases(w, ("path_id", "idx"))
 
 
-@query("s14_unpivot_signal", "signal", f"SELECT source, idx, {r(t='t', value='value')} FROM signal WHERE idx + 0 * t < 50")
+@query("s14_unpivot_signal", "signal", f"SELECT source, idx, {r(t='t', value='value')} FROM signal")
 def s14(spark, d):
     """Sheets of 1,000 samples, so that no row holds a whole signal."""
     s = t.signal(spark, d).withColumn("sheet", F.floor(F.col("idx") / 1000))
@@ -93,7 +93,7 @@ def s15(spark, d):
     return io.unpivot_blocks(t.path(spark, d).select("path_id", F.col("idx").alias("row"), F.col("x").alias("value")), ("path_id",))
 
 
-@query("s16_unpivot_cohort", "motion", f"SELECT path_id, 'p' || phase || '_z' AS timepoint, {r(value='abs(dz)')} FROM motion WHERE idx + 0 * phase = 0 AND phase < 5")
+@query("s16_unpivot_cohort", "motion", f"SELECT path_id, idx, 'p' || phase || '_z' AS timepoint, {r(value='abs(dz)')} FROM motion WHERE phase < 5")
 def s16(spark, d):
     return io.unpivot_cohort(_wide(spark, d).select("path_id", "idx", *[f"p{p}_z" for p in range(5)]), ("path_id", "idx"), [f"p{p}_z" for p in range(5)])
 

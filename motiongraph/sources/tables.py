@@ -34,10 +34,10 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").filter("l_suppkey % 10 < 1 AND l_linenumber <= 4 AND l_partkey % 800 <> l_orderkey % 800")
-    n = [F.pmod(F.col(c), F.lit(800)).cast("long") for c in ("l_partkey", "l_orderkey")]
+    """Part and order numbers are nodes of one numbering; every row of lineitem links two of them."""
+    n = [F.col(c).cast("long") for c in ("l_partkey", "l_orderkey")]
     return (
-        li.groupBy(F.col("l_linestatus").alias("scan_id"), F.least(*n).alias("n1"), F.greatest(*n).alias("n2"))
+        read(spark, sf_dir, "lineitem").filter("l_partkey <> l_orderkey").groupBy(F.col("l_linestatus").alias("scan_id"), F.least(*n).alias("n1"), F.greatest(*n).alias("n2"))
         .agg(F.min(F.col("l_extendedprice").cast("double")).alias("cost"), F.max(F.col("l_quantity").cast("double")).alias("ctvalue"))
     )
 
@@ -80,8 +80,10 @@ def device(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, p = F.col("l_orderkey"), F.col("l_partkey")
-    f = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("mesh_id"), o.cast("long").alias("f"), (o % 500).cast("long").alias("v1"), (p % 500).cast("long").alias("v2"), ((p * 7 + o * 3) % 500).cast("long").alias("v3"))
+    """A face for each row of lineitem, over all vertices."""
+    o, p, k = (F.col(c).cast("long") for c in ("l_orderkey", "l_partkey", "l_linenumber"))
+    n = read(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    f = read(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_returnflag").alias("mesh_id"), (o * 8 + k).alias("f"), ((o + k) % F.col("n")).alias("v1"), (p % F.col("n")).alias("v2"), ((p * 7 + o * 3) % F.col("n")).alias("v3"))
     return f.filter("v1 <> v2 AND v2 <> v3 AND v1 <> v3")
 
 
@@ -94,7 +96,7 @@ SQL = {
     "path": "SELECT CAST(label AS BIGINT) AS path_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings",
     "motion": "SELECT path_id, idx, p AS phase, CAST(e[4 + 3 * p] AS DOUBLE) AS dx, CAST(e[5 + 3 * p] AS DOUBLE) AS dy, CAST(e[6 + 3 * p] AS DOUBLE) AS dz FROM (SELECT CAST(label AS BIGINT) AS path_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding AS e FROM embeddings), range(10) r(p)",
     "posed": "SELECT p.path_id, p.idx, phase, x + dx AS x, y + dy AS y, z + dz AS z FROM path p JOIN motion m ON p.path_id = m.path_id AND p.idx = m.idx",
-    "edge": "SELECT l_linestatus AS scan_id, least(l_partkey % 800, l_orderkey % 800) AS n1, greatest(l_partkey % 800, l_orderkey % 800) AS n2, CAST(min(l_extendedprice) AS DOUBLE) AS cost, CAST(max(l_quantity) AS DOUBLE) AS ctvalue FROM lineitem WHERE l_suppkey % 10 < 1 AND l_linenumber <= 4 AND l_partkey % 800 <> l_orderkey % 800 GROUP BY 1, 2, 3",
+    "edge": "SELECT l_linestatus AS scan_id, CAST(least(l_partkey, l_orderkey) AS BIGINT) AS n1, CAST(greatest(l_partkey, l_orderkey) AS BIGINT) AS n2, CAST(min(l_extendedprice) AS DOUBLE) AS cost, CAST(max(l_quantity) AS DOUBLE) AS ctvalue FROM lineitem WHERE l_partkey <> l_orderkey GROUP BY 1, 2, 3",
     "half": "SELECT scan_id, n1 AS a, n2 AS b, cost, ctvalue FROM edge UNION ALL SELECT scan_id, n2, n1, cost, ctvalue FROM edge WHERE n1 <> n2",
     "node": "SELECT DISTINCT scan_id, node_id, CAST(node_id % 20 AS DOUBLE) AS x, CAST(node_id % 17 AS DOUBLE) AS y, CAST(node_id % 43 AS DOUBLE) AS z, node_id % 5 = 0 AS spared, node_id % 11 = 0 AS corner FROM (SELECT scan_id, n1 AS node_id FROM edge UNION SELECT scan_id, n2 FROM edge)",
     "voxel": "SELECT CAST(l_suppkey % 20 AS BIGINT) AS z, CAST(l_partkey % 30 AS BIGINT) AS y, CAST(l_orderkey % 30 AS BIGINT) AS x, CAST(max(l_extendedprice) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3",
@@ -102,7 +104,7 @@ SQL = {
     "signal": "SELECT event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, (epoch_us(CAST(ts AS TIMESTAMP)) - min(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY event_type)) / 1e6 AS t, CAST(value AS DOUBLE) AS value FROM events",
     "measure": "SELECT CAST(o_custkey AS BIGINT) AS patient, CAST(year(o_orderdate) - 1995 AS BIGINT) AS timepoint, o_orderpriority AS metric, CAST(sum(CAST(round(CAST(o_totalprice AS DOUBLE) * 100) AS BIGINT)) AS DOUBLE) / 100000 / count(*) AS value FROM orders GROUP BY 1, 2, 3",
     "device": "SELECT CAST(c_custkey AS BIGINT) AS patient, 25.0::DOUBLE + c_nationkey % 5 * 2.5::DOUBLE AS device_size FROM customer",
-    "face": "SELECT * FROM (SELECT l_returnflag AS mesh_id, CAST(l_orderkey AS BIGINT) AS f, CAST(l_orderkey % 500 AS BIGINT) AS v1, CAST(l_partkey % 500 AS BIGINT) AS v2, CAST((l_partkey * 7 + l_orderkey * 3) % 500 AS BIGINT) AS v3 FROM lineitem WHERE l_linenumber = 1) WHERE v1 <> v2 AND v2 <> v3 AND v1 <> v3",
+    "face": "SELECT * FROM (SELECT l_returnflag AS mesh_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS f, CAST((l_orderkey + l_linenumber) % n AS BIGINT) AS v1, CAST(l_partkey % n AS BIGINT) AS v2, CAST((l_partkey * 7 + l_orderkey * 3) % n AS BIGINT) AS v3 FROM lineitem, (SELECT count(*) AS n FROM embeddings)) WHERE v1 <> v2 AND v2 <> v3 AND v1 <> v3",
     "vertex": "SELECT CAST(vec_id AS BIGINT) AS v, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings",
 }
 _NEEDS = {"posed": ("path", "motion"), "half": ("edge",), "node": ("edge",)}
