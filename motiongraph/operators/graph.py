@@ -7,7 +7,6 @@ count a round, with the edge table checkpointed to the shared folder.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -15,16 +14,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
+from ..sources.io import shared_folder
 
 KEYS = ("scan_id",)
 EDGE = ("n1", "n2")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the session's checkpoint folder, or a new local one where none is set."""
+    """Cut the lineage, in the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
+from .graph import checkpointed
 from .motion import pair_distance
 
 AXES = ("x", "y", "z")
@@ -29,29 +30,44 @@ def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], ident: Se
     return j.groupBy(*keys, *ident).agg(best).select(*keys, *ident, F.col("b.oidx").alias("near"), F.col("b.d").alias("d"))
 
 
-def nearest_in_grid(points: DataFrame, others: DataFrame, cell: float, ident: Sequence[str] = ("idx",), most_rings: int = 64) -> DataFrame:
-    """Nearest of a cloud by grid cells: rings of cells are searched until the best lies within the ring.
-
-    Exact: a point whose best distance exceeds the searched radius goes on to the
-    next ring, and only such points do.
-    """
-    at = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES]
+def _in_rings(points: DataFrame, others: DataFrame, cell: float, ident: Sequence[str], rings: int) -> tuple[DataFrame, DataFrame]:
+    """Points (ident, x, y, z, b: best so far) whose best lies within the rings searched, and the others."""
     o = others.select(*[F.col(c).alias(f"o{c}") for c in ("idx", *AXES)], *[F.floor(F.col(a) / cell).alias(f"q{a}") for a in AXES])
-    left, done, n = points.select(*ident, *AXES, *at, F.lit(None).cast("struct<d:double,oidx:bigint>").alias("b")), None, 0
-    for ring in range(most_rings):
+    at = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES]
+    left, done = points.select(*ident, *AXES, *at, F.lit(None).cast("struct<d:double,oidx:bigint>").alias("b")), None
+    for ring in range(rings):
         offsets = [(i, j, k) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1) for k in range(-ring, ring + 1) if max(abs(i), abs(j), abs(k)) == ring]
         shell = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{a}") for a, v in zip(AXES, s)]) for s in offsets]))
         cells = left.withColumn("s", shell).select(*left.columns, *[(F.col(f"c{a}") + F.col(f"s.s{a}")).alias(f"q{a}") for a in AXES])
         j = cells.join(o, [f"q{a}" for a in AXES], "left").withColumn("d", distance(xyz(), xyz("o")))
         found = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "oidx")))
-        now = j.groupBy(*ident, *AXES, *[f"c{a}" for a in AXES], "b").agg(found.alias("new")).withColumn("b", F.least("b", "new")).drop("new")
+        now = checkpointed(j.groupBy(*ident, *AXES, *[f"c{a}" for a in AXES], "b").agg(found.alias("new")).withColumn("b", F.least("b", "new")).drop("new"))
         sure = F.coalesce(F.col("b.d") <= ring * cell, F.lit(False))
-        settled = now.filter(sure).select(*ident, F.col("b.oidx").alias("near"), F.col("b.d").alias("d"))
+        settled, left = now.filter(sure), now.filter(~sure)
         done = settled if done is None else done.unionByName(settled)
-        left, n = now.filter(~sure).checkpoint() if ring % 2 else now.filter(~sure), n + 1
-        if ring and left.isEmpty():
+        if left.isEmpty():
             break
-    return done
+    return done, left
+
+
+def nearest_in_grid(points: DataFrame, others: DataFrame, cell: float, ident: Sequence[str] = ("idx",), rings: int = 3) -> DataFrame:
+    """Nearest of a cloud by grid cells: rings of cells are searched until the best lies within the ring.
+
+    Exact: a point whose best distance exceeds the searched radius goes on to the
+    next ring, and only such points do. Those left after ``rings`` rings start
+    again with cells eight times as wide, until two rings span both clouds. Points
+    without partner (no others, or a null coordinate) have near and d null.
+    """
+    ends = points.select(*AXES).unionAll(others.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
+    span, left, done = max((x or 0.0) for x in ends), points.select(*ident, *AXES), None
+    while True:
+        settled, rest = _in_rings(left, others, cell, ident, rings)
+        if cell > span:
+            settled, rest = settled.unionByName(rest), None
+        done = settled if done is None else done.unionByName(settled)
+        if rest is None or rest.isEmpty():
+            return done.select(*ident, F.col("b.oidx").alias("near"), F.col("b.d").alias("d"))
+        left, cell = rest.select(*ident, *AXES), cell * 8
 
 
 def ring_distances(a: DataFrame, b: DataFrame, posed_a: DataFrame, posed_b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -198,10 +198,10 @@ def j4(spark, d):
     return ne.nearest(p, _next_path(p), K)
 
 
-@query("j4_nearest_in_grid", "vertex", f"SELECT a.v AS idx, arg_min(b.v, ({ND}, b.v)) AS near, {r(d=f'min({ND})')} FROM vertex a, vertex b WHERE a.v % 10 = 0 AND b.v % 10 <> 0 GROUP BY 1")
+@query("j4_nearest_in_grid", "vertex", f"SELECT a.v AS idx, arg_min(b.v, ({ND}, b.v)) AS near, {r(d=f'min({ND})')} FROM (SELECT v, x + 0.03 AS x, y, z FROM vertex) a, vertex b GROUP BY 1")
 def j4_grid(spark, d):
     v = t.vertex(spark, d).withColumnRenamed("v", "idx")
-    return ne.nearest_in_grid(v.filter("idx % 10 = 0"), v.filter("idx % 10 <> 0"), 0.1)
+    return ne.nearest_in_grid(v.withColumn("x", F.col("x") + 0.03), v, 0.1)
 
 
 PP = f"pp AS (SELECT ne.path_id, ne.idx, ne.near, a.phase, {ND} AS d FROM ne JOIN posed a ON a.path_id = ne.path_id AND a.idx = ne.idx JOIN posed b ON b.path_id = ne.path_id + 1 AND b.idx = ne.near AND b.phase = a.phase)"

@@ -130,11 +130,11 @@ def v20(spark, d):
     return _select(spark, d, ax=a[0], ay=a[1], az=a[2], bx=b[0], by=b[1], bz=b[2])
 
 
-@query("v12_motion_pattern", "path", f"SELECT path_id, k, {r(t='k * 0.05', value='(1 + abs(x)) * exp(-0.5 * pow((k * 0.05 - 0.35) / CASE WHEN k * 0.05 < 0.35 THEN 0.35 / 3 ELSE 0.65 / 3 END, 2))')} FROM path, (SELECT CAST(unnest(range(21)) AS INTEGER) AS k) WHERE idx = 0")
+@query("v12_motion_pattern", "path", f"SELECT path_id, idx, k, {r(t='k / 20.0 * 0.8', value='(1 + abs(x)) * (exp(-0.5 * pow((k / 20.0 - 0.35) / CASE WHEN k / 20.0 < 0.35 THEN 0.4 * 0.35 ELSE 0.4 * 0.65 END, 2)) + 0.2 * exp(-0.5 * pow((k / 20.0 - 0.7) / 0.05, 2)))')} FROM path, (SELECT CAST(unnest(range(20)) AS INTEGER) AS k)")
 def v12(spark, d):
     from ..operators.patterns import motion_pattern
 
-    return motion_pattern(t.path(spark, d).filter("idx = 0").select("path_id", (1 + F.abs("x")).alias("amplitude")), period=1.0, samples=20, top=0.35)
+    return motion_pattern(t.path(spark, d).select("path_id", "idx", (1 + F.abs("x")).alias("amplitude")), period=0.8, samples=20, top=0.35, extra=(0.2, 0.7, 0.05))
 
 
 @query("p13_angle_straight0", "path", f"SELECT path_id, idx, {r(angle='180 - 100 * abs(x)')} FROM path")

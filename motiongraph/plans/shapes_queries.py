@@ -108,10 +108,10 @@ def s21(spark, d):
     return op.points_from_mesh(v, True)
 
 
-@query("v11_sample_circle", "path", f"c AS (SELECT path_id, x, y, 0.5 + abs(z) AS r FROM path WHERE idx = 0) SELECT path_id, k, {r(px='x + r * cos(k * 2 * pi() / 12)', py='y + r * sin(k * 2 * pi() / 12)')} FROM c, (SELECT CAST(unnest(range(13)) AS INTEGER) AS k)")
+@query("v11_sample_circle", "path", f"c AS (SELECT path_id, idx, x, y, 0.5 + abs(z) AS r FROM path) SELECT path_id, idx, k, {r(px='x + r * cos(k * 2 * pi() / 12)', py='y + r * sin(k * 2 * pi() / 12)')} FROM c, (SELECT CAST(unnest(range(13)) AS INTEGER) AS k)")
 def v11(spark, d):
-    c = t.path(spark, d).filter("idx = 0").select("path_id", "x", "y", (0.5 + F.abs("z")).alias("r"))
-    return op.sample_circle(c, 12).select("path_id", "k", "px", "py")
+    c = t.path(spark, d).select("path_id", "idx", "x", "y", (0.5 + F.abs("z")).alias("r"))
+    return op.sample_circle(c, 12).select("path_id", "idx", "k", "px", "py")
 
 
 @query("v17_convex_hull")

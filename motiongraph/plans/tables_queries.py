@@ -36,22 +36,33 @@ def s4(spark, d):
     return io.rename_manifest(f).select("page_id", "new_name")
 
 
-@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * 0.5 + 1')} FROM voxel")
+@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * CASE z % 2 WHEN 0 THEN 0.5 ELSE 0.75 END + 1')} FROM voxel")
 def s5(spark, d):
-    v = t.voxel(spark, d).withColumn("scan_id", F.lit("s"))
-    scan = v.select("scan_id").distinct().select("scan_id", F.lit(0.5).alias("sz"), F.lit(1.0).alias("oz"))
-    return v.join(scan, "scan_id").select("z", "y", "x", (F.col("z") * F.col("sz") + F.col("oz")).alias("wz"))
+    """Two scans, stored by patient and time point, and read back with their sampling."""
+    path = io.new_folder(spark, "voxels")
+    v = t.voxel(spark, d).withColumn("scan_id", F.concat(F.lit("s"), F.col("z") % 2)).withColumns({"patient": F.col("scan_id"), "timepoint": F.lit("1month")})
+    v.write.partitionBy("patient", "timepoint").parquet(path)
+    zyx = lambda *c: F.struct(*[x.cast("double").alias(a) for x, a in zip(c, "zyx")])
+    one = F.lit(1.0)
+    scan = v.select("scan_id").distinct().select("scan_id", zyx(F.when(F.col("scan_id") == "s0", 0.5).otherwise(0.75), one, one).alias("sampling"), zyx(one, one, one).alias("origin"))
+    return io.read_voxels(spark, path, scan).select("z", "y", "x", (F.col("z") * F.col("sampling.z") + F.col("origin.z")).alias("wz"))
 
 
-@query("s6_read_graph")
+@query("s6_read_graph", "edge", f"SELECT scan_id, n1, n2, {r(cost='cost', ctvalue='ctvalue')} FROM edge")
 def s6(spark, d):
-    """Edges after packing and unpacking."""
-    return io.unpack_graph(io.pack_graph(t.node(spark, d), t.edge(spark, d)))[1]
+    """Edges of a stored graph."""
+    path = io.new_folder(spark, "graph")
+    io.write_graph(t.node(spark, d), t.edge(spark, d), path)
+    return io.read_graph(spark, path)[1]
 
 
 @query("s7_write_graph", "edge node", "SELECT scan_id, count(DISTINCT node_id) AS n_nodes, (SELECT count(*) FROM edge e WHERE e.scan_id = node.scan_id) AS n_edges FROM node GROUP BY 1")
 def s7(spark, d):
-    return io.pack_graph(t.node(spark, d), t.edge(spark, d)).select("scan_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"))
+    """What the stored graph holds."""
+    path = io.new_folder(spark, "graph")
+    io.write_graph(t.node(spark, d), t.edge(spark, d), path)
+    n = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).cast("long")
+    return spark.read.parquet(path).groupBy("scan_id").agg(n("nodes").alias("n_nodes"), n("edges").alias("n_edges"))
 
 
 @query("s8_append_graph", "edge", f"SELECT scan_id, n1, n2, {r(cost='CASE WHEN n1 % 3 = 0 THEN cost + 1 ELSE cost END')} FROM edge")
@@ -116,9 +127,10 @@ def s18(spark, d):
 
 @query("s19_write_measures", "measure", f"SELECT patient, timepoint, {r(urgent='max(value) FILTER (WHERE metric = $1-URGENT$)', low='max(value) FILTER (WHERE metric = $5-LOW$)').replace('$', chr(39))} FROM measure GROUP BY 1, 2")
 def s19(spark, d):
-    """The wide form of the sink."""
-    w = t.measure(spark, d).groupBy("patient", "timepoint").pivot("metric", ["1-URGENT", "5-LOW"]).agg(F.first("value"))
-    return w.select("patient", "timepoint", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
+    """The wide form, stored and read back."""
+    path = io.new_folder(spark, "measures")
+    io.write_measures(t.measure(spark, d), path, wide=True)
+    return spark.read.parquet(path).select("patient", "timepoint", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
 
 
 @query("s22_import_centerline", "path", f"n AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM path) SELECT a.path_id, a.idx, {r(x='a.x * 0.7 + 3', y='a.y * 0.7 + 2', z='b.z * 0.5 + 1')} FROM n a JOIN n b ON a.path_id = b.path_id AND b.idx = a.n - 1 - a.idx")
@@ -131,7 +143,9 @@ def s22(spark, d):
 
 @query("s23_read_landmarks", "posed", f"SELECT path_id AS observer, idx AS landmark, phase, {r(x='x', y='y', z='z')} FROM posed")
 def s23(spark, d):
-    return posed(spark, d).select(F.col("path_id").alias("observer"), F.col("idx").alias("landmark"), "phase", "x", "y", "z")
+    path = io.new_folder(spark, "landmarks")
+    posed(spark, d).select(F.col("path_id").alias("observer"), F.lit(0).alias("case_id"), F.col("idx").alias("landmark"), "phase", "x", "y", "z").write.parquet(path)
+    return io.read_landmarks(spark, path).drop("case_id")
 
 
 @query("p9_fix_left_right", "path", f"o AS (SELECT a.path_id, a.idx, a.x AS l, b.x AS r FROM path a JOIN path b ON b.path_id = a.path_id + 1 AND b.idx = a.idx) SELECT path_id, idx, {r(left_x='greatest(l, r)', right_x='least(l, r)')} FROM o")

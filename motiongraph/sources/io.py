@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +13,21 @@ from pyspark.sql import functions as F
 SCAN_NAME = r"([^/_]+)_([^/_]+)_([^/_]+)_([^/_.]+)(?:\.[a-z]+)?$"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is set, a new local one, which only a local session can use."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/motiongraph/{name}-{uuid.uuid4().hex}"
+
+
 def parse_scan_name(name: Column) -> list[Column]:
     part = lambda i: F.nullif(F.regexp_extract(name, SCAN_NAME, i), F.lit(""))
     return [part(i).alias(n) for i, n in enumerate(("patient", "timepoint", "crop", "kind"), 1)]
@@ -41,10 +58,15 @@ def read_voxels(spark: SparkSession, path: str, scans: DataFrame, scan_filter: C
     return v.join(scans.select("scan_id", "sampling", "origin"), "scan_id")
 
 
-def pack_graph(node: DataFrame, edge: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
-    """One row a scan: arrays of its nodes and edges."""
-    packed = lambda df, n: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in keys]))).alias(n))
-    return packed(node, "nodes").join(packed(edge, "edges"), list(keys), "full")
+def pack_graph(node: DataFrame, edge: DataFrame, keys: Sequence[str] = ("scan_id",), size: int = 50_000) -> DataFrame:
+    """Rows (keys, block, nodes, edges): arrays of about ``size`` nodes and edges, so that large scans take many rows."""
+
+    def packed(df: DataFrame, n: str) -> DataFrame:
+        blocks = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))
+        dealt = df.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64(*df.columns), F.col("blocks")))
+        return dealt.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in keys]))).alias(n))
+
+    return packed(node, "nodes").join(packed(edge, "edges"), [*keys, "block"], "full")
 
 
 def unpack_graph(packed: DataFrame, keys: Sequence[str] = ("scan_id",)) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,12 @@
-"""Queries cover their whole tables; the oracle SQL of some covers a part only."""
+"""Queries cover their whole tables, operators lose no rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
 
-from motiongraph.operators import graph, signal
+from motiongraph.operators import graph, nearest, signal
+from motiongraph.operators.patterns import motion_pattern
 from motiongraph.operators.motion import at_phase
 from motiongraph.plans import catalog
 from motiongraph.sources import tables
@@ -75,3 +76,25 @@ def test_fronts_go_on_until_they_meet(spark):
     assert [(r["n1"], r["n2"], r["cost"]) for r in got] == [(0, 420, 210.0)]
     with pytest.raises(RuntimeError):
         graph.link_seeds(links, nodes(spark, 0, 420), most_rounds=3)
+
+
+def test_grid_reaches_far_points(spark):
+    """Points thousands of cells away, without partner, with null coordinates."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(40, 3)), rng.normal(size=(60, 3))
+    a[:3] += [[5000, 0, 0], [0, -900, 40], [70, 70, 70]]
+    frame = lambda m: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "idx long, x double, y double, z double")
+    lost = spark.createDataFrame([(99, None, 0.0, 0.0)], "idx long, x double, y double, z double")
+    got = {r["idx"]: (r["near"], r["d"]) for r in nearest.nearest_in_grid(frame(a).union(lost), frame(b), 0.2).collect()}
+    d = np.linalg.norm(a[:, None] - b[None], axis=-1)
+    assert got.pop(99) == (None, None)
+    assert got == {i: (int(d[i].argmin()), pytest.approx(d[i].min())) for i in range(40)}
+    assert [tuple(r) for r in nearest.nearest_in_grid(frame(a[3:5]), frame(b).limit(0), 0.2).orderBy("idx").collect()] == [(0, None, None), (1, None, None)]
+
+
+def test_motion_pattern(spark):
+    """Peak and half widths, the extra peak in shares of the period, no sample at its end."""
+    rows = motion_pattern(spark.createDataFrame([(2.0,)], "amplitude double"), 0.8, 20, 0.35, (0.5, 0.7, 0.05)).orderBy("k").collect()
+    u = np.arange(20) / 20
+    want = np.exp(-(((u - 0.35) / np.where(u < 0.35, 0.14, 0.26)) ** 2) / 2) + 0.5 * np.exp(-(((u - 0.7) / 0.05) ** 2) / 2)
+    assert np.allclose([r["value"] for r in rows], 2 * want) and np.allclose([r["t"] for r in rows], 0.8 * u)
