@@ -21,9 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; a new local one only where none is set and the session is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
