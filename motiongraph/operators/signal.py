@@ -6,7 +6,8 @@ A signal table has keys (default ``source``), idx from 0, t and value.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,37 +21,66 @@ def _over(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("idx")
 
 
-def peaks(signal: DataFrame, delta: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Alternating maxima and minima with hysteresis delta: (keys, idx, value, kind).
-
-    The state (mode, extreme so far) walks the signal in order: rows of a key come
-    sorted in batches, and only the state is held between them, so long signals
-    need no array.
+def _turn(w: np.ndarray, delta: float) -> tuple[int, int] | None:
+    """Where w first lies more than delta below its highest value so far, after the place of that value."""
+    width = 64
+    while True:
+        part = w[:width]
+        below = part < np.maximum.accumulate(part) - delta
+        if below.any():
+            end = int(below.argmax())
+            return int(part[:end].argmax()), end
+        if width >= len(w):
+            return None
+        width *= 4
+
+
+def peaks(signal: DataFrame, delta: float, keys: Sequence[str] = KEYS, chunk: int = 8192) -> DataFrame:
+    """Alternating maxima and minima with hysteresis delta: (keys, idx, value, kind), a maximum first.
+
+    A maximum counts once the signal falls more than delta below it, a minimum once
+    it rises more than delta above it. Wherever the signal has moved by more than
+    delta within a chunk, the search goes on from there in the same way whatever
+    came before: after a fall for a minimum, after a rise for a maximum. So the
+    signal is cut at the first such move of each chunk, and the segments are
+    searched apart. Before that move only values above or below all earlier ones
+    of their chunk matter, so quiet stretches shrink to those. Samples without a
+    value are skipped.
     """
-    schema = f"{', '.join(f'{k} {signal.schema[k].dataType.simpleString()}' for k in keys)}, idx long, value double, kind string"
+    part = Window.partitionBy(*keys, "chunk").orderBy("idx")
+    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    s = signal.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
+    s = s.withColumn("chunk", F.floor(F.col("idx") / chunk)).withColumns({"high": F.max("value").over(before), "low": F.min("value").over(before)})
+    fall, rise = F.col("value") < F.col("high") - delta, F.col("value") > F.col("low") + delta
+    record = F.col("high").isNull() | (F.col("value") > F.col("high")) | (F.col("value") < F.col("low"))
+    s = s.withColumns({"move": F.when(fall, -1).when(rise, 1), "record": record}).drop("high", "low")
+    here = F.struct("idx", F.col("move").alias("sign"))
+    chunks = s.groupBy(*keys, "chunk").agg(F.min(F.when(F.col("move").isNotNull(), here)).alias("own"))
+    along = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.struct(F.lit(None).cast("long").alias("idx"), F.lit(1).alias("sign"))
+    chunks = chunks.withColumn("last", F.coalesce(F.last("own", ignorenulls=True).over(along), start))
+    chunks = chunks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("chunk").alias("_chunk"), "own", "last")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "chunk")])
+    j = s.join(chunks, same)
+    at = F.col("idx") - F.coalesce(F.col("own.idx"), F.col("idx") + 1)
+    # the row of the move ends one segment and begins the next
+    seg = F.when(at < 0, F.array("last")).when(at == 0, F.array("last", "own")).otherwise(F.array("own"))
+    dealt = j.filter(F.col("record") | (at >= 0)).select(*keys, "idx", "value", F.explode(seg).alias("seg")).select(*keys, "idx", "value", F.col("seg.idx").alias("seg"), "seg.sign")
+
+    def own(key: tuple) -> list:
+        return [None if pd.isna(k) else k for k in key[: len(keys)]]
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx", ignore_index=True)
+        v, sign, at, found = rows["value"].to_numpy(), int(rows["sign"].iloc[0]), 0, []
+        while (turn := _turn(sign * v[at:], delta)) is not None:
+            k = at + turn[0]
+            found.append((*own(key), rows["idx"].iloc[k], v[k], "max" if sign > 0 else "min"))
+            at, sign = at + turn[1], -sign
+        return pd.DataFrame(found, columns=[*keys, "idx", "value", "kind"])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, up, hi, lo, at_hi, at_lo = None, True, -math.inf, math.inf, 0, 0
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                *k, idx, v = row
-                if k != key:
-                    key, up, hi, lo, at_hi, at_lo = k, True, -math.inf, math.inf, 0, 0
-                if v > hi:
-                    hi, at_hi = v, idx
-                if v < lo:
-                    lo, at_lo = v, idx
-                if up and v < hi - delta:
-                    out.append((*k, at_hi, hi, "max"))
-                    lo, at_lo, up = v, idx, False
-                elif not up and v > lo + delta:
-                    out.append((*k, at_lo, lo, "min"))
-                    hi, at_hi, up = v, idx, True
-            yield pd.DataFrame(out, columns=[*keys, "idx", "value", "kind"])
-
-    dealt = signal.select(*keys, F.col("idx").cast("long").alias("idx"), "value").repartition(*keys).sortWithinPartitions(*keys, "idx")
-    return dealt.mapInPandas(walk, schema)
+    schema = f"{', '.join(f'{k} {signal.schema[k].dataType.simpleString()}' for k in keys)}, idx long, value double, kind string"
+    return dealt.groupBy(*keys, "seg").applyInPandas(search, schema)
 
 
 def periods(signal: DataFrame, minima: DataFrame, keys: Sequence[str] = KEYS, every: int = 1) -> DataFrame:

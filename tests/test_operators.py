@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 import pytest
 
 from motiongraph.operators import cohort, graph, motion, neighbours, paths, shape, signal
@@ -124,6 +126,38 @@ def test_peaks(spark):
     assert got == [(1, "max"), (2, "min"), (3, "max"), (4, "min"), (5, "max"), (6, "min")]
 
 
+def turning_points(v, delta):
+    """By definition: the first value more than delta short of the best since the last turn confirms that best one."""
+    found, start, sign = [], 0, 1
+    for i in range(len(v)):
+        best = max(range(start, i + 1), key=lambda j: (sign * v[j], -j))
+        if sign * v[i] < sign * v[best] - delta:
+            found.append((best, "max" if sign > 0 else "min"))
+            start, sign = i, -sign
+    return found
+
+
+def test_peaks_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    waves = {
+        "noise": rng.integers(0, 9, 150),
+        "walk": rng.integers(-2, 3, 150).cumsum(),
+        "flat": np.zeros(150),
+        "ramp": np.arange(150) / 50,
+        "steps": np.repeat(rng.integers(0, 20, 15), 10),
+        None: rng.normal(0, 4, 150).cumsum(),
+    }
+    rows = [(k, i, float(x)) for k, v in waves.items() for i, x in enumerate(v)] + [("noise", 150, None), ("noise", 151, math.nan)]
+    s = spark.createDataFrame(rows, "source string, idx long, value double")
+    for chunk in (1, 4, 16, 1000):
+        got = {}
+        for r in signal.peaks(s, 4.0, chunk=chunk).orderBy("idx").collect():
+            got.setdefault(r["source"], []).append((r["idx"], r["kind"]))
+            assert r["value"] == waves[r["source"]][r["idx"]]
+        assert got == {k: t for k, v in waves.items() if (t := turning_points([float(x) for x in v], 4.0))}, chunk
+    assert signal.peaks(s.limit(0), 4.0).count() == 0
+
+
 CUBE = [(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)]
 FACES = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
 
