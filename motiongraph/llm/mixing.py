@@ -51,6 +51,20 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
     )
 
 
+def _with_source(rows: DataFrame, per_source: DataFrame, salt: Column, most: int = 100_000) -> DataFrame:
+    """rows with the columns of their source; per_source has ``s`` and one row a source.
+
+    Up to ``most`` sources, counted first, the table of sources is sent to all
+    tasks, so rows stay where they are. Beyond that both sides are dealt by
+    source and one of 64 salts, so a hot source spreads over as many tasks.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if per_source.count() <= most:
+        return rows.join(F.broadcast(per_source), same).drop("s")
+    salted = per_source.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.withColumn("_r", F.pmod(salt, F.lit(64)).cast("int")).join(salted, same & (F.col("_r") == F.col("_t"))).drop("s", "_r", "_t")
+
+
 def _rate(lam: Column, x: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(lam * x))
 
@@ -79,7 +93,7 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int = 3, steps: int =
         rate = _rate(F.col("lam"), x, cap)
         mass = F.col("n") * F.col("size") * rate
         moments = (
-            hist.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+            _with_source(hist, state.withColumnRenamed("source", "s"), F.xxhash64("size"))
             .groupBy("source")
             .agg(_exact_sum(mass).alias("got"), _exact_sum(F.when(rate < cap, mass * x).otherwise(0.0)).alias("slope"))
             .withColumnRenamed("source", "s")
@@ -119,7 +133,8 @@ def _corrected(docs: DataFrame, turn: int, cap: int, near: bool, cells: int = 40
     """
     miss = docs.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.max("target").alias("t"))
     miss = miss.select(F.col("source").alias("s"), (F.col("t") - F.col("got")).alias("miss"))
-    d = docs.join(miss, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    miss = cut(miss, "mix-miss")
+    d = _with_source(docs, miss, F.xxhash64("doc_id", "size"))
     up = F.col("miss") > 0
     most, least = (F.ceil("rate"), F.floor("rate")) if near else (F.lit(cap), F.lit(0))
     may = (F.col("size") > 0) & (F.col("size") <= F.abs("miss")) & F.when(up, F.col("copies") < most).otherwise(F.col("copies") > least)
@@ -160,7 +175,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     totals = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     duals = solve_rates(hist, source_targets(totals, cap=cap), cap).withColumnRenamed("source", "s")
     rate = _rate(F.col("lam"), F.col("size") / F.col("scale"), cap)
-    rated = sized.join(duals, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"))
+    rated = _with_source(sized, duals, F.xxhash64("doc_id", "size")).select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"))
     rounded = F.least(F.floor(F.col("rate") + uniform(F.lit("copies"), "doc_id")), F.lit(cap)).cast("long")
     out = cut(rated.withColumn("copies", F.when(F.col("size") > 0, rounded).otherwise(0)), "mix-copies")
     for turn in range(rounds):
