@@ -14,20 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
-from ..sources.io import shared_folder
+from ..sources.io import checkpointed
+from .nearest import edge_midpoint
 
 KEYS = ("scan_id",)
 EDGE = ("n1", "n2")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage, in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def fixed_point(edge: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 100) -> DataFrame:
     """Repeat a step that only removes rows until their number stays equal."""
     edge, n = checkpointed(edge), None
@@ -122,11 +115,28 @@ def prune_weak(edge: DataFrame, enc: int, th: float, node: DataFrame | None = No
     return fixed_point(edge, step)
 
 
+def _by_degree(edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges from the end of lower (degree, node id) to the other: low, high as such structs, cost.
+
+    Each node has at most about the root of twice the edges above it, so pairs of
+    edges above a node stay few, also at hubs.
+    """
+    e = edge.filter("n1 <> n2").select(*keys, *EDGE, "cost")
+    deg = degree(e, keys)
+    for n, p in zip(EDGE, ("p", "q")):
+        e = e.join(deg.select(*keys, F.col("node_id").alias(n), F.struct("degree", F.col("node_id").alias("id")).alias(p)), [*keys, n])
+    return e.select(*keys, F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "cost")
+
+
 def triangles(edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """All n1 < n2 < n3 with the costs of their edges."""
-    e = edge.filter("n1 <> n2")
-    named = lambda a, b, c: e.select(*keys, F.col("n1").alias(a), F.col("n2").alias(b), F.col("cost").alias(c))
-    return named("n1", "n2", "cost12").join(named("n2", "n3", "cost23"), [*keys, "n2"]).join(named("n1", "n3", "cost13"), [*keys, "n1", "n3"]).select(*keys, "n1", "n2", "n3", "cost12", "cost13", "cost23")
+    e = _by_degree(edge, keys)
+    named = lambda a, b, c: e.select(*keys, F.col("low").alias(a), F.col("high").alias(b), F.col("cost").alias(c))
+    t = named("u", "v", "uv").join(named("u", "w", "uw"), [*keys, "u"]).filter("v < w").join(named("v", "w", "vw"), [*keys, "v", "w"])
+    # each node with the cost of the edge opposite to it, in order of the nodes
+    node = lambda c, opposite: F.struct(F.col(f"{c}.id").alias("id"), F.col(opposite).alias("cost"))
+    t = t.select(*keys, F.array_sort(F.array(node("u", "vw"), node("v", "uw"), node("w", "uv"))).alias("t"))
+    return t.select(*keys, *[F.col("t")[k]["id"].alias(f"n{k + 1}") for k in range(3)], F.col("t")[2]["cost"].alias("cost12"), F.col("t")[1]["cost"].alias("cost13"), F.col("t")[0]["cost"].alias("cost23"))
 
 
 def _triangle_sides(edge: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,12 +184,22 @@ def prune_redundant_strut(edge: DataFrame, node: DataFrame, th: float, lo: float
 
 
 def quadrangles(edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Edge n1-n2 with neighbours m1 of n1 and m2 of n2 that an edge connects; four different nodes."""
-    e = edge.filter("n1 <> n2").select(*keys, *EDGE)
-    h = half_edges(e, keys)
-    j = e.join(h.select(*keys, F.col("a").alias("n1"), F.col("b").alias("m1")), [*keys, "n1"]).filter("m1 <> n2")
-    j = j.join(h.select(*keys, F.col("a").alias("n2"), F.col("b").alias("m2")), [*keys, "n2"]).filter("m2 <> n1 AND m1 <> m2")
-    return j.join(h.select(*keys, F.col("a").alias("m1"), F.col("b").alias("m2")), [*keys, "m1", "m2"], "left_semi").select(*keys, *EDGE, "m1", "m2")
+    """Edge n1-n2 with neighbours m1 of n1 and m2 of n2 that an edge connects; four different nodes.
+
+    A cycle of four nodes is two ways over one node each between its top node, by
+    (degree, node id), and the one opposite. A way starts below its top, which
+    keeps the ways at hubs few; each cycle is found once and listed by its edges.
+    """
+    e = _by_degree(edge, keys).drop("cost")
+    ends = e.select(*keys, F.col("low").alias("mid"), F.col("high").alias("end")).union(e.select(*keys, F.col("high").alias("mid"), F.col("low").alias("end")))
+    way = e.select(*keys, F.col("low").alias("mid"), F.col("high").alias("top")).join(ends, [*keys, "mid"]).filter("end < top")
+    cycle = way.join(way.select(*keys, "top", "end", F.col("mid").alias("mid2")), [*keys, "top", "end"]).filter("mid < mid2")
+    ring = [F.col(f"{c}.id") for c in ("top", "mid", "end", "mid2")]
+    sides = []
+    for k in range(4):
+        u, v, w, z = (ring[(k + i) % 4] for i in range(4))
+        sides.append(F.struct(F.least(u, v).alias("n1"), F.greatest(u, v).alias("n2"), F.when(u < v, z).otherwise(w).alias("m1"), F.when(u < v, w).otherwise(z).alias("m2")))
+    return cycle.select(*keys, F.explode(F.array(*sides)).alias("s")).select(*keys, "s.*")
 
 
 def strong_quadrangles(edge: DataFrame, node: DataFrame, lo: float = 5.0, hi: float = 12.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -371,13 +391,24 @@ def pop_nodes(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str
     return whole.unionByName(chains)
 
 
-def clean(node: DataFrame, edge: DataFrame, very_weak: float, weak: float, redundant: float, enc: int, tails: int, minsize: int, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Very weak, weak, redundant, tails and clusters, again until the number of edges stays equal."""
+def clean(node: DataFrame, edge: DataFrame, very_weak: float, weak: float, redundant: float, enc: int, tails: int, minsize: int, keys: Sequence[str] = KEYS, rings: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Very weak, weak, redundant, tails and clusters, again until the number of edges stays equal.
+
+    rings: clusters, very weak, weak but for strong quadrangles, redundant but for
+    struts, tails and clusters instead.
+    """
     n = None
     edge, node = checkpointed(edge), checkpointed(node)
     while (now := edge.count()) != n:
-        e = prune_weak(prune_very_weak(edge, very_weak), enc, weak, node, keys)
-        e = prune_tails(checkpointed(prune_redundant(e, redundant, keys)), tails, keys)
+        if rings:
+            node, e = prune_clusters(node, edge, minsize, keys)
+            node, e = checkpointed(node), checkpointed(prune_very_weak(e, very_weak))
+            e = prune_weak_quad(e, node, enc, weak, keys)
+            e = prune_redundant_strut(e, node, redundant, keys=keys)
+        else:
+            e = prune_weak(prune_very_weak(edge, very_weak), enc, weak, node, keys)
+            e = prune_redundant(e, redundant, keys)
+        e = prune_tails(checkpointed(e), tails, keys)
         node, edge = prune_clusters(node, checkpointed(e), minsize, keys)
         edge, node, n = checkpointed(edge), checkpointed(node), now
     return node, edge
@@ -430,13 +461,33 @@ def split_common_prefix(paths: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     return j.groupBy(*keys, "node", "p", "q").agg(F.coalesce(first, F.count("*")).alias("shared"))
 
 
-def peak_valley_midpoints(edge: DataFrame, node: DataFrame, longest: float = 10.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Middles of the contracted edges shorter than ``longest``, hooks left out."""
+def chain_points(chain: DataFrame, node: DataFrame, path: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Joined paths of contracted edges (see pop_nodes): (keys, n1, n2, chain, idx, x, y, z), from n1 to n2.
+
+    path (keys, n1, n2, idx, x, y, z) holds the points of each single edge from n1
+    to n2; an edge without any, and all without ``path``, is straight. Points
+    where edges meet come once. chain tells edges between the same nodes apart.
+    """
+    named = chain.withColumn("chain", F.concat_ws(",", F.transform("nodes", lambda n: n.cast("string"))))
+    stops = named.select(*keys, *EDGE, "chain", F.posexplode(F.concat(F.array("n1"), "nodes", F.array("n2"))).alias("hop", "node_id"))
+    at = stops.join(node.select(*keys, "node_id", *"xyz"), [*keys, "node_id"]).select(*keys, *EDGE, "chain", "hop", F.lit(0).cast("long").alias("step"), *"xyz")
+    if path is not None:
+        hops = F.posexplode(F.arrays_zip(F.concat(F.array("n1"), "nodes").alias("u"), F.concat("nodes", F.array("n2")).alias("v")))
+        hop = named.select(*keys, *EDGE, "chain", hops.alias("hop", "h")).withColumns({"a": F.least("h.u", "h.v"), "b": F.greatest("h.u", "h.v"), "back": F.col("h.u") > F.col("h.v")})
+        span = Window.partitionBy(*keys, *EDGE)
+        within = path.withColumns({"first": F.min("idx").over(span), "last": F.max("idx").over(span)}).filter("idx > first AND idx < last")
+        within = within.select(*keys, F.col("n1").alias("a"), F.col("n2").alias("b"), "idx", "first", "last", *"xyz")
+        step = F.when(F.col("back"), F.col("last") - F.col("idx")).otherwise(F.col("idx") - F.col("first")).cast("long")
+        at = at.unionByName(hop.join(within, [*keys, "a", "b"]).select(*keys, *EDGE, "chain", "hop", step.alias("step"), *"xyz"))
+    order = F.row_number().over(Window.partitionBy(*keys, *EDGE, "chain").orderBy("hop", "step")) - 1
+    return at.select(*keys, *EDGE, "chain", order.cast("long").alias("idx"), *"xyz")
+
+
+def peak_valley_midpoints(edge: DataFrame, node: DataFrame, longest: float = 10.0, keys: Sequence[str] = KEYS, path: DataFrame | None = None) -> DataFrame:
+    """Path points nearest the chord middle of the contracted edges shorter than ``longest``, hooks left out (see chain_points)."""
     _, rest = hooks(edge, keys)
-    e = edge_lengths(pop_nodes(checkpointed(rest), keys=keys), node, keys).filter((F.col("length") < longest) & (F.col("n1") != F.col("n2")))
-    for n, p in zip(EDGE, "pq"):
-        e = e.join(node.select(*keys, F.col("node_id").alias(n), *[F.col(a).alias(p + a) for a in "xyz"]), [*keys, n])
-    return e.select(*keys, *EDGE, *[((F.col(f"p{a}") + F.col(f"q{a}")) / 2).alias(a) for a in "xyz"])
+    e = edge_lengths(checkpointed(pop_nodes(checkpointed(rest), keys=keys)), node, keys).filter((F.col("length") < longest) & (F.col("n1") != F.col("n2")))
+    return edge_midpoint(chain_points(e, node, path, keys), [*keys, *EDGE, "chain"]).drop("chain")
 
 
 def graph_points(node: DataFrame, edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

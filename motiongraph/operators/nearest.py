@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
-from .graph import checkpointed
+from ..sources.io import checkpointed
 from .motion import pair_distance
 
 AXES = ("x", "y", "z")
