@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -95,7 +96,7 @@ def test_triangles_and_quadrangles_by_brute_force(spark):
     known |= {(0, k): float(k) for k in range(1, 14)}
     e = edges(spark, *[(a, b, c, 1) for (a, b), c in known.items()])
     tied = lambda a, b: a != b and tuple(sorted((a, b))) in known
-    want = sorted((a, b, c, known[a, b], known[a, c], known[b, c]) for a in range(14) for b in range(a) for c in range(b) for a, b, c in [(c, b, a)] if tied(a, b) and tied(a, c) and tied(b, c))
+    want = sorted((a, b, c, known[a, b], known[a, c], known[b, c]) for a, b, c in itertools.combinations(range(14), 3) if tied(a, b) and tied(a, c) and tied(b, c))
     assert sorted(tuple(r)[1:] for r in graph.triangles(e).collect()) == want and want
     want = sorted((a, b, p, q) for a, b in known if a != b for p in range(14) for q in range(14) if len({a, b, p, q}) == 4 and tied(a, p) and tied(b, q) and tied(p, q))
     assert sorted((r["n1"], r["n2"], r["m1"], r["m2"]) for r in graph.quadrangles(e).collect()) == want and want
