@@ -121,11 +121,6 @@ def g16(spark, d):
     return op.clean(t.node(spark, d), t.edge(spark, d), 10, 30, 45, 3, 3, 4)[1].select("scan_id", "n1", "n2")
 
 
-@query("g16_clean_rings")
-def g16_rings(spark, d):
-    return op.clean(t.node(spark, d), t.edge(spark, d), 10, 30, 45, 3, 3, 4, rings=True)[1].select("scan_id", "n1", "n2")
-
-
 @query("g17_rekey", "edge node", f"SELECT e.scan_id, n1, n2, {r(x1='p.x + 0.25', z2='q.z - 0.25')} FROM edge e JOIN node p ON p.scan_id = e.scan_id AND p.node_id = n1 JOIN node q ON q.scan_id = e.scan_id AND q.node_id = n2")
 def g17(spark, d):
     """Moved nodes keep their ids, so edges follow by join."""
