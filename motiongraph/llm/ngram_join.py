@@ -55,7 +55,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 def _order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Sort keys of the global order: count level first, then the hash."""
-    return (level[_cell(s)] << U(56)) | (s >> U(8))
+    return (level[_cell(s)].astype(np.uint64) << U(56)) | (s >> U(8))
 
 
 def _need(n: int, percent: int) -> int:
@@ -295,9 +295,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = sums.toArrow()
     sketch[held["cell"].to_numpy()] = held["c"].to_numpy()
     del held
-    level = np.floor(np.log2(np.maximum(sketch, 1)) * 4).astype(np.uint64)
+    level = np.floor(np.log2(np.maximum(sketch, 1)) * 4).astype(np.uint8)  # goes with the tasks: a byte a cell
     cells = np.arange(len(sketch), dtype=np.uint64)
-    order = np.sort((level << U(56)) | (cells << U(56 - SKETCH_BITS)))
+    order = np.sort((level.astype(np.uint64) << U(56)) | (cells << U(56 - SKETCH_BITS)))
     rank = np.lexsort((cells, level))
     mass = np.cumsum(sketch[rank])
     cuts = order[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
@@ -337,6 +337,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = _verified(fresh, classes, segments, percent)
         tested = fresh if tested is None else tested.union(fresh)
         known = labels
+        if known is not None and found.isEmpty():
+            discard(found)
+            return  # the components stay as they are
         labels = cut(components(found if known is None else found.union(known.select("node", "label"))), "jaccard-labels")
         discard(found, *([] if known is None else [known]))
         sweep(spark)
