@@ -29,6 +29,8 @@ from .wordhash import U, mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS, FRAGMENTS, LEAST_BITMAP = 18, 4, 256
+#: Bytes of bitmaps compared at once.
+BITMAPS = 1 << 22
 #: A table of ids up to this many rows (8 bytes each) may be broadcast.
 SMALL_ROWS = 2_000_000
 
@@ -178,10 +180,12 @@ def _bounded(percent: int):
             for wa, wb in {*zip(*width.tolist())}:
                 if max(wa, wb) > 2 * min(wa, wb):
                     continue  # too unlike in size
-                at = np.flatnonzero((width[0] == wa) & (width[1] == wb))
-                left, right = (_bits([m[i] for i in at]) for m in maps)
-                left, right = _folded(left) if wa > wb else left, _folded(right) if wb > wa else right
-                keep[at] = _may_link(na[at], nb[at], np.bitwise_count(left ^ right).sum(1).astype(np.int64), percent)
+                some = np.flatnonzero((width[0] == wa) & (width[1] == wb))
+                step = max(1, BITMAPS // int(max(wa, wb)))
+                for at in (some[k : k + step] for k in range(0, len(some), step)):
+                    left, right = (_bits([m[i] for i in at]) for m in maps)
+                    left, right = _folded(left) if wa > wb else left, _folded(right) if wb > wa else right
+                    keep[at] = _may_link(na[at], nb[at], np.bitwise_count(left ^ right).sum(1).astype(np.int64), percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in x.columns[:4]], ["a", "b", "na", "nb"])
 
     return run
@@ -241,8 +245,9 @@ def _across(percent: int, block: int = 256):
                 if not one:
                     keep &= side[p] != side[q]
                 i, j, p, q = i[keep], j[keep], p[keep], q[keep]
-                for k in range(0, len(i), 1 << 16):
-                    c = slice(k, k + (1 << 16))
+                step = max(1, BITMAPS // int(w))
+                for k in range(0, len(i), step):
+                    c = slice(k, k + step)
                     ok = _may_link(n[p[c]], n[q[c]], np.bitwise_count(bits[i[c]] ^ bits[j[c]]).sum(1).astype(np.int64), percent)
                     u, v = sig[p[c][ok]], sig[q[c][ok]]
                     if len(u):

@@ -101,7 +101,7 @@ def _counted(cells: int):
             for lo, n, row, cell in _features(b.column(0), cells):
                 held.append((cell, flag[lo : lo + n][row]))
                 size += len(cell)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     flush()
                     held, size = [], 0
         if held:

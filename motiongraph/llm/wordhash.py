@@ -1,8 +1,9 @@
 """Array kernels over Arrow text columns: words, word hashes, shingle hashes.
 
 They run inside Spark tasks on one Arrow batch at a time. Texts are looked at
-as UTF-8 bytes in blocks of a few MB, so a batch of long texts needs no more
-memory than its own bytes; a single longer text forms a block of its own.
+as UTF-8 bytes in blocks of BLOCK bytes, so a batch of long texts needs little
+more memory than its own bytes; a single longer text forms a block of its own,
+whose arrays (some 50 bytes a byte) go when it is done.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
+#: Bytes of text that are looked at together.
+BLOCK = 1 << 19
+
 #: Byte folding of A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -50,17 +54,22 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        m = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            step = np.full(m, base, np.uint64)
-            step[0] = 1
-            _powers[name] = np.cumprod(step)
+    """B**i and B**-i modulo 2**64 for i < n; those of one block are kept, those of a longer text are not."""
+
+    def run_of(base: int, m: int) -> np.ndarray:
+        step = np.full(m, base, np.uint64)
+        step[0] = 1
+        return np.cumprod(step)
+
+    inverse = pow(_BASE, -1, 1 << 64)
+    if n > BLOCK:
+        return run_of(_BASE, n), run_of(inverse, n)
+    if not _powers:
+        _powers.update(up=run_of(_BASE, BLOCK), down=run_of(inverse, BLOCK))
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def blocks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
