@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, mixing, ngram_join, pii, quality, secret_scan, suffix_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, fill_middle, mixing, ngram_join, pii, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLES = {
+    "op13_fill_middle": fill_middle.OP13_SQL,
     "op5_chat_perspectives": chat_format.OP5_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
