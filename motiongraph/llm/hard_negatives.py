@@ -28,13 +28,17 @@ from .vectors import from_bytes, matrices, usable
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 #: Codes of a vector and bits of an anchor's component.
-LEVELS, PLANES = 4, 6
+LEVELS, PLANES = 3, 6
 #: Rows and anchors of a block; anchor blocks that a task may hold.
 ROWS, ANCHORS, HELD = 4096, 1024, 64
 #: Anchors compared at once with a block of rows.
 STRIP = 64
+#: Rows scored first, for each that is wanted.
+SEEDS = 4
 #: Relative slack for rounding in single precision.
 SLACK = 2e-5
+#: Limits that every score meets.
+WHOLE = np.array([[[-(1 << 63), (1 << 63) - 1]]])
 #: Components beyond this are scored without codes.
 LARGEST = 2.0**31
 
@@ -83,17 +87,21 @@ def intervals(planes, norm: np.ndarray, words: np.ndarray, align: np.ndarray, le
     width = 64 * words.shape[2]
     est = np.zeros((len(norm), len(words)), np.float32)
     off = np.zeros_like(est)
+    hits = np.zeros(est.shape, np.uint16 if width << planes[0][0].shape[1] < 1 << 16 else np.int64)
+    both, count = np.empty(est.shape, np.uint64), np.empty(est.shape, np.uint8)
     for k, (bits, low, step, total, error) in enumerate(planes):
-        hits = np.zeros(est.shape, np.int32)
-        for w in range(words.shape[2]):
-            code = words[:, k, w]
-            for j in range(bits.shape[1]):
-                hits += np.bitwise_count(bits[:, j, w, None] & code).astype(np.int32) << j
+        hits[:] = 0
+        for j in reversed(range(bits.shape[1])):  # the highest plane first, doubled as the lower ones follow
+            np.left_shift(hits, 1, out=hits)
+            for w in range(words.shape[2]):
+                np.bitwise_and(bits[:, j, w, None], words[:, k, w], out=both)
+                np.bitwise_count(both, out=count)
+                np.add(hits, count, out=hits)
         ones = np.bitwise_count(words[:, k]).sum(1).astype(np.float32)
         qx = (2 * (low.astype(np.float32) * ones + step.astype(np.float32) * hits) - total.astype(np.float32)) / np.float32(np.sqrt(width))
         est += align[:, k].astype(np.float32) * qx
         off += np.abs(align[:, k]).astype(np.float32) * error.astype(np.float32)
-    least = np.maximum(np.abs(qx) - error.astype(np.float32), 0) if len(planes) else np.float32(0)
+    least = np.maximum(np.abs(qx) - error.astype(np.float32), 0)
     off += left.astype(np.float32) * np.sqrt(np.maximum((norm[:, None] ** 2).astype(np.float32) * np.float32(1 + SLACK) - least**2, 0))
     return est, off + np.float32(SLACK) * (norm[:, None] * row_norm).astype(np.float32)
 
@@ -102,31 +110,50 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of paired rows of whole doubles; beyond the range of a long they end at its ends."""
     if not len(a) or not a.shape[1]:
         return np.zeros(len(a), np.int64)
+    if a.dtype == np.float32:  # chosen by the caller where sums stay exact
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
     most = np.abs(a).max() * np.abs(b).max() * a.shape[1]
     if most < 2.0**53:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(p, q)))) for p, q in zip(a, b)], np.int64)
 
 
-def _first(ok: np.ndarray, est, off, q: np.ndarray, ids: np.ndarray, comp: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
-    """(anchor, row, score) of the first k rows of each anchor among ok with lo <= score <= hi; ties by id."""
-    ok = ok & (est + off >= lo[:, None]) & (est - off <= hi[:, None])
-    least = lo.astype(np.float64)
-    if ok.shape[1] > k:  # the k best by estimate are scored first: they set what the others must reach
-        guess = np.where(ok & (est <= hi[:, None]), est, -np.inf)
-        at = np.argpartition(-guess, k - 1, axis=1)[:, :k]
-        i = np.repeat(np.arange(len(at)), k)
-        s = scores(q[i], comp[at.ravel()]).astype(np.float64).reshape(at.shape)
-        s = np.where(np.isfinite(np.take_along_axis(guess, at, 1)) & (s >= lo[:, None]) & (s <= hi[:, None]), s, -np.inf)
-        least = np.maximum(least, s.min(1))
-    i, j = np.nonzero(ok & (est + off >= least[:, None]))
-    s = scores(q[i], comp[j])
-    fits = (s >= lo[i]) & (s <= hi[i])
-    i, j, s = i[fits], j[fits], s[fits]
-    by = np.lexsort((ids[j], -s, i))
-    i, j, s = i[by], j[by], s[by]
-    rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    return i[rank < k], j[rank < k], s[rank < k]
+def _first(ok: np.ndarray, est, off, q: np.ndarray, ids: np.ndarray, comp: np.ndarray, limits: np.ndarray, k: int):
+    """(anchor, slot, row, score) of the first k rows among ok with lo <= score <= hi, for each of an anchor's slots.
+
+    limits (anchors, slots, 2). The rows that look best are scored first: the k-th of them within its limits is what
+    the others must be able to reach. A pair is scored once for all slots.
+    """
+    top, low = est + off, est - off
+    n, open_ = est.shape[1], np.zeros(ok.shape, bool)
+    at = lambda mask: np.divmod(np.flatnonzero(mask), n)
+    for slot in range(limits.shape[1]):
+        lo, hi = limits[:, slot, 0, None], limits[:, slot, 1, None]
+        may = ok & (top >= lo.astype(np.float32)) & (low <= hi.astype(np.float32))
+        if n > SEEDS * k:
+            guess = est.copy()
+            guess[~may | (est > hi.astype(np.float32))] = -np.inf
+            best = np.partition(guess, n - SEEDS * k, axis=1)[:, n - SEEDS * k, None]
+            i, j = at((guess >= best) & (guess > -np.inf))
+            s = scores(q[i], comp[j])
+            fits = (s >= lo[i, 0]) & (s <= hi[i, 0])
+            i, s = i[fits], s[fits]
+            by = np.lexsort((-s, i))
+            kth = by[np.arange(len(i)) - np.searchsorted(i[by], i[by], "left") == k - 1]
+            least = np.full((len(q), 1), -np.inf, np.float32)
+            least[i[kth], 0] = s[kth]
+            may &= top >= least
+        open_ |= may
+    i, j = at(open_)
+    v = scores(q[i], comp[j])
+    out = []
+    for slot in range(limits.shape[1]):
+        fits = (v >= limits[i, slot, 0]) & (v <= limits[i, slot, 1])
+        a, b, s = i[fits], j[fits], v[fits]
+        by = np.lexsort((ids[b], -s, a))
+        by = by[np.arange(len(a)) - np.searchsorted(a[by], a[by], "left") < k]
+        out.append((a[by], np.full(len(by), slot), b[by], s[by]))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def _packed(most: int, levels: int, bands: tuple[int, int] | None = None):
@@ -179,7 +206,9 @@ def _searched(k: int, levels: int, slots: int):
                 words, align, left = from_bytes(row("words"), "u8", n, -1, max(1, -(-comp.shape[1] // 64))), from_bytes(row("align"), "f8", n, -1), from_bytes(row("left"), "f8", n)
                 coded = words.shape[1] > 0 and np.abs(q).max(initial=0) <= LARGEST
                 row_norm = np.linalg.norm(comp, axis=1) if coded else None
-                limits = from_bytes(anchor("limits"), "i8", na, -1, 2) if slots else None
+                limits = from_bytes(anchor("limits"), "i8", na, -1, 2) if slots else np.tile(WHOLE, (na, 1, 1))
+                exact = np.float32 if np.abs(q).max(initial=0) * np.abs(comp).max(initial=0) * comp.shape[1] < 1 << 24 else np.float64
+                q_exact, comp_exact = q.astype(exact), comp.astype(exact)
                 found = []
                 for s in range(0, na, STRIP):
                     part = slice(s, min(s + STRIP, na))
@@ -188,15 +217,9 @@ def _searched(k: int, levels: int, slots: int):
                     else:
                         est, off = np.zeros((part.stop - s, n), np.float32), np.full((part.stop - s, n), np.inf, np.float32)
                     same = a_labels[part, None] == labels
-                    if not slots:
-                        whole = np.iinfo(np.int64)
-                        lo, hi = np.full(part.stop - s, whole.min), np.full(part.stop - s, whole.max)
-                        i, j, v = _first(same & (a_ids[part, None] != ids), est, off, q[part], ids, comp, lo, hi, k)
-                        found.append((a_ids[part][i], np.zeros(len(i), np.int64), ids[j], v))
-                    for slot in range(limits.shape[1] if slots else 0):
-                        lo, hi = limits[part, slot].T
-                        i, j, v = _first(~same, est, off, q[part], ids, comp, lo, hi, k)
-                        found.append((a_ids[part][i], np.full(len(i), slot), ids[j], v))
+                    ok = ~same if slots else same & (a_ids[part, None] != ids)
+                    i, slot, j, v = _first(ok, est, off, q_exact[part], ids, comp_exact, limits[part], k)
+                    found.append((a_ids[part][i], slot, ids[j], v))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["anchor_id", "slot", "id", "score"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def usable(v: Column) -> Column:
 
 def matrices(column: pa.Array):
     """(rows, matrix of doubles) for each length of the vectors in a list column."""
-    size = np.asarray(pa.compute.list_value_length(column))
+    size = np.asarray(pc.list_value_length(column))
     for d in np.unique(size):
         at = np.flatnonzero(size == d)
         values = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
