@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fill_middle, hard_negatives, mixing, ngram_join, pii, quality, secret_scan, suffix_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, exact_dedup, fill_middle, hard_negatives, mixing, ngram_join, pii, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 ORACLES = {
+    "op11_embedding_dedup": embedding_dedup.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_fill_middle": fill_middle.OP13_SQL,
     "op5_chat_perspectives": chat_format.OP5_SQL,
