@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import matched, quantiles, with_quantiles
+
 
 def summary(c: str) -> list[Column]:
     return [F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
 
 
-def quartiles(c: str) -> list[Column]:
-    return [F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.75).alias("q3")]
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def deform_info(df: DataFrame, c: str, keys: Sequence[str]) -> DataFrame:
@@ -46,7 +47,8 @@ def amplitude_error(patterns: DataFrame, reference: DataFrame, keys: Sequence[st
 
 def observer_rollup(err: DataFrame, position: Sequence[str], c: str = "error") -> DataFrame:
     """Errors averaged over observers per position, then summarised."""
-    return err.groupBy(*position).agg(F.avg(c).alias("m")).agg(*summary("m"), F.percentile("m", 0.5).alias("median"))
+    m = err.groupBy(*position).agg(F.avg(c).alias("m"))
+    return with_quantiles(m.agg(*summary("m")), m, (), "m", {"median": 0.5})
 
 
 def translation(landmark: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -66,14 +68,16 @@ def over_time(measure: DataFrame, baseline: int = 0) -> DataFrame:
 
 
 def pooled(measure: DataFrame) -> DataFrame:
-    """Statistics per metric and over all, time points pooled, in one pass."""
-    sets = measure.rollup("metric")
-    return sets.agg(F.count("value").alias("n"), *summary("value"), *quartiles("value"))
+    """Statistics per metric and over all (metric null), time points pooled; no set meets in one task."""
+    sets = measure.rollup("metric").agg(F.grouping("metric").alias("every"), F.count("value").alias("n"), *summary("value"))
+    each = quantiles(measure, ("metric",), "value", QUARTILES).withColumn("every", F.lit(0))
+    every = quantiles(measure, (), "value", QUARTILES).select(F.lit(None).cast(measure.schema["metric"].dataType).alias("metric"), "*", F.lit(1).alias("every"))
+    return matched(sets, each.unionByName(every), ("metric", "every")).drop("every")
 
 
 def group_stats(measure: DataFrame, keys: Sequence[str], c: str = "value") -> DataFrame:
     """Missing-aware statistics and box-plot numbers."""
-    return measure.groupBy(*keys).agg(F.count(c).alias("n"), *summary(c), *quartiles(c))
+    return with_quantiles(measure.groupBy(*keys).agg(F.count(c).alias("n"), *summary(c)), measure, keys, c, QUARTILES)
 
 
 def pulsatility_summary(values: DataFrame, ring: str, direction: str, c: str) -> DataFrame:

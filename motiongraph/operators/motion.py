@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import angle, distance, dot, norm, sub, xyz
+from .scan import with_quantiles
 
 KEYS = ("path_id",)
 MOVES = ("dx", "dy", "dz")
@@ -86,7 +87,7 @@ def _extreme_phases(c: str) -> list[Column]:
 
 
 def pulsatility(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Five numbers of the distance over the cycle, phases x 10, change in mm and % of the smallest."""
+    """Five numbers of the distance over the cycle (one value a phase), phases x 10, change in mm and % of the smallest."""
     d = pair_distance(a, b, keys).withColumn("phase", F.col("phase") * 10)
     quart = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     s = d.groupBy(*keys).agg(F.min("d").alias("min"), *[F.percentile("d", q).alias(n) for n, q in quart.items()], F.max("d").alias("max"), *_extreme_phases("d"))
@@ -201,7 +202,7 @@ def close_cycle(df: DataFrame, n: int = 10) -> DataFrame:
 
 def phase_spread(values: DataFrame, c: str, by: Sequence[str] = ("phase",)) -> DataFrame:
     """Per phase: mean, median, min, max, std and quartiles over the points."""
-    return values.groupBy(*by).agg(*spread(c), *[F.percentile(c, q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return with_quantiles(values.groupBy(*by).agg(*spread(c)), values, by, c, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def ring_rollup(values: DataFrame, c: str, groups: Sequence[str]) -> DataFrame:

@@ -11,9 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, matched, neighbouring, numbered, running
+
 KEYS = ("source",)
 
 
@@ -84,17 +86,19 @@ def peaks(signal: DataFrame, delta: float, keys: Sequence[str] = KEYS, chunk: in
 
 
 def periods(signal: DataFrame, minima: DataFrame, keys: Sequence[str] = KEYS, every: int = 1) -> DataFrame:
-    """Samples from one minimum to the next, the end shared: adds period, and t and value from the period's start and minimum."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    m = minima.withColumn("k", F.row_number().over(w) - 1).filter(F.col("k") % every == 0).select(*keys, "idx", F.lit(1).alias("cut"))
-    s = signal.join(m, [*keys, "idx"], "left").withColumn("period", F.sum(F.coalesce("cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Samples from one minimum to the next, the end shared: adds period, and t and value from the period's start and minimum.
+
+    Minima and periods are counted by two-level scans; only a period is a group.
+    """
+    m = numbered(minima.select(*keys, "idx"), keys, ("idx",), "_k").filter(F.col("_k") % every == 0).select(*keys, "idx", F.lit(1).alias("cut"))
+    s = running(signal.join(m, [*keys, "idx"], "left"), keys, ("idx",), {"period": ("count", F.col("cut"))}).drop(CHUNK)
     shared = s.filter("cut = 1").withColumn("period", F.col("period") - 1)
     both = s.unionByName(shared).filter("period > 0")
     last = both.groupBy(*keys).agg(F.max("period").alias("last"))
-    g = Window.partitionBy(*keys, "period")
     # after the last minimum no period follows
-    whole = both.join(last, list(keys)).filter("period < last")
-    return whole.withColumns({"t": F.col("t") - F.min("t").over(g), "value": F.col("value") - F.min("value").over(g)}).select(*keys, "period", "idx", "t", "value")
+    whole = matched(both, last, keys).filter("period < last")
+    start = whole.groupBy(*keys, "period").agg(F.min("t").alias("_t"), F.min("value").alias("_value"))
+    return matched(whole, start, (*keys, "period")).select(*keys, "period", "idx", (F.col("t") - F.col("_t")).alias("t"), (F.col("value") - F.col("_value")).alias("value"))
 
 
 def period_shape(cut: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -104,10 +108,9 @@ def period_shape(cut: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def first_period(signal: DataFrame, length: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Samples up to and including the first at or after t0 + length."""
-    w = Window.partitionBy(*keys)
-    s = signal.withColumn("t0", F.min("t").over(w))
-    s = s.withColumn("stop", F.min(F.when(F.col("t") >= F.col("t0") + length, F.col("t"))).over(w))
-    return s.filter("stop IS NULL OR t <= stop").drop("t0", "stop")
+    s = matched(signal, signal.groupBy(*keys).agg(F.min("t").alias("_t0")), keys)
+    stop = s.groupBy(*keys).agg(F.min(F.when(F.col("t") >= F.col("_t0") + length, F.col("t"))).alias("_stop"))
+    return matched(s, stop, keys).filter("_stop IS NULL OR t <= _stop").drop("_t0", "_stop")
 
 
 def best_lag(signal: DataFrame, reference: DataFrame, lags: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -120,8 +123,8 @@ def best_lag(signal: DataFrame, reference: DataFrame, lags: Sequence[int], keys:
 
 def roll(pattern: DataFrame, lag: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Circular shift: the sample at idx goes to idx + lag."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return pattern.withColumn("n", n).withColumn("idx", F.pmod(F.col("idx") + lag, F.col("n"))).drop("n")
+    n = pattern.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return matched(pattern, n, keys).withColumn("idx", F.pmod(F.col("idx") + lag, F.col("_n"))).drop("_n")
 
 
 def pad_periods(cut: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -146,33 +149,57 @@ def tile(pattern: DataFrame, times: int, length: float) -> DataFrame:
 
 def rebase(df: DataFrame, how: str = "first", keys: Sequence[str] = KEYS, c: str = "value") -> DataFrame:
     """Values from the first sample, the minimum or the middle of the range on; "unit" also scales the amplitude to 1."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(c).over(w), F.max(c).over(w)
-    if how == "first":
-        base = F.min(F.struct("idx", F.col(c).alias("v"))).over(w)["v"]
-    else:
-        base = {"min": lo, "unit": lo, "middle": (lo + hi) / 2}[how]
+    at = df.groupBy(*keys).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.min(F.struct("idx", F.col(c).alias("v")))["v"].alias("_first"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    base = {"first": F.col("_first"), "min": lo, "unit": lo, "middle": (lo + hi) / 2}[how]
     out = F.col(c) - base
-    return df.withColumn(c, out / F.nullif(hi - lo, F.lit(0.0)) if how == "unit" else out)
+    return matched(df, at, keys).withColumn(c, out / F.nullif(hi - lo, F.lit(0.0)) if how == "unit" else out).drop("_lo", "_hi", "_first")
+
 
+def _between(t: Column) -> Column:
+    """The value at t on the line from a sample (t, value) to the next (nt, nv); the sample's own at its time or without a next."""
+    slope = (F.col("nv") - F.col("value")) / (F.col("nt") - F.col("t"))
+    return F.when(F.col("nt").isNull() | (t == F.col("t")), F.col("value")).otherwise(F.col("value") + slope * (t - F.col("t")))
 
-def resample(signal: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Linear interpolation at n equidistant times from the first to the last sample.
+
+def resample(signal: DataFrame, n: int, keys: Sequence[str] = KEYS, t_new: float | None = None) -> DataFrame:
+    """Linear interpolation at n equidistant times (n > 1) from the first sample to the last, or over the length t_new.
 
     New times meet the interval that holds them: each interval makes the grid
-    points inside it, so there is no range join.
+    points inside it, so there is no range join; its end comes by a two-level
+    scan. Times beyond the last sample (t_new too long) give no row.
     """
-    w = Window.partitionBy(*keys)
-    s = signal.withColumns({"t0": F.min("t").over(w), "t1": F.max("t").over(w)})
-    s = s.withColumns({"nt": F.lead("t").over(w.orderBy("t", "idx")), "nv": F.lead("value").over(w.orderBy("t", "idx"))}).filter("nt > t OR nt IS NULL")
-    step = (F.col("t1") - F.col("t0")) / (n - 1)
+    ends = signal.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    s = neighbouring(signal, keys, ("t", "idx"), {"nt": "t", "nv": "value"}, ahead=True).drop(CHUNK)
+    s = matched(s, ends, keys).filter("nt > t OR nt IS NULL")
+    step = (F.col("t1") - F.col("t0") if t_new is None else F.lit(float(t_new))) / (n - 1)
     # grid points k with t <= t0 + k step < nt; the last sample takes the last point
     first = F.ceil((F.col("t") - F.col("t0")) / step - 1e-9)
-    last = F.when(F.col("nt").isNull(), F.lit(n - 1)).otherwise(F.ceil((F.col("nt") - F.col("t0")) / step - 1e-9) - 1)
+    end = F.least(F.floor((F.col("t") - F.col("t0")) / step + 1e-9), F.lit(n - 1)) if t_new is not None else F.lit(n - 1)
+    last = F.when(F.col("nt").isNull(), end).otherwise(F.least(F.ceil((F.col("nt") - F.col("t0")) / step - 1e-9) - 1, F.lit(n - 1)))
     k = F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("k")
     g = s.select(*keys, "t", "value", "nt", "nv", "t0", step.alias("step"), k).withColumn("at", F.col("t0") + F.col("k") * F.col("step"))
-    v = F.when(F.col("nt").isNull(), F.col("value")).otherwise(F.col("value") + (F.col("nv") - F.col("value")) * (F.col("at") - F.col("t")) / (F.col("nt") - F.col("t")))
-    return g.select(*keys, "k", F.col("at").alias("t"), v.alias("value"))
+    return g.select(*keys, "k", F.col("at").alias("t"), _between(F.col("at")).alias("value"))
+
+
+def resample_at(signal: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Linear interpolation of each signal at the given times (keys, t): adds value, null before the first and after the last sample.
+
+    An as-of join by merged order: samples, each with the one after it, and times
+    are dealt together to ranges of (keys, t), and a two-level scan brings every
+    time the last sample at or before it. Of samples at one time a line ends at the
+    first and the next begins at the last, whose value counts there.
+    Other columns of ``times`` stay, repeated times too.
+    """
+    s = neighbouring(signal.select(*keys, "t", "idx", "value"), keys, ("t", "idx"), {"nt": "t", "nv": "value"}, ahead=True).drop(CHUNK).filter("nt > t OR nt IS NULL")
+    rest = [c for c in times.columns if c not in (*keys, "t")]
+    held = F.struct("t", "value", "nt", "nv")
+    merged = s.select(*keys, "t", F.lit(0).alias("_late"), held.alias("_s"), *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in rest])
+    asked = times.select(*keys, "t", F.lit(1).alias("_late"), F.lit(None).cast(merged.schema["_s"].dataType).alias("_s"), *rest)
+    seen = running(merged.unionByName(asked), keys, ("t", "_late"), {"_s": ("last", F.col("_s"))}).filter("_late = 1")
+    seen = seen.select(*keys, F.col("t").alias("_at"), *rest, "_s.*")
+    value = F.when(F.col("nt").isNotNull() | (F.col("t") == F.col("_at")), _between(F.col("_at")))
+    return seen.select(*keys, F.col("_at").alias("_t"), *rest, value.alias("_value")).withColumnsRenamed({"_t": "t", "_value": "value"})
 
 
 def _fourier(points: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

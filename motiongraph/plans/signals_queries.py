@@ -80,6 +80,18 @@ def j25(spark, d):
     return op.resample(t.signal(spark, d), 50)
 
 
+@query("j25_resample_t_new", "signal", f"s AS (SELECT *, lead(t) OVER w AS nt, lead(value) OVER w AS nv FROM signal WINDOW w AS (PARTITION BY source ORDER BY t, idx)), g AS (SELECT source, k, min(t) + k * (200000.0::DOUBLE / 39) AS at FROM signal, range(40) q(k) GROUP BY 1, 2) SELECT g.source, k, {r(t='g.at', value='value + (nv - value) * (g.at - s.t) / (nt - s.t)')} FROM g JOIN s ON s.source = g.source AND s.t <= g.at AND g.at < nt")
+def j25_t_new(spark, d):
+    return op.resample(t.signal(spark, d), 40, t_new=200000.0)
+
+
+@query("j25_resample_at", "signal", f"s AS (SELECT source, t, value, nt, nv FROM (SELECT *, lead(t) OVER w AS nt, lead(value) OVER w AS nv FROM signal WINDOW w AS (PARTITION BY source ORDER BY t, idx)) WHERE nt > t OR nt IS NULL), q AS (SELECT source, idx, t * 1.003 - 600 AS t FROM signal) SELECT q.source, q.idx, {r(t='q.t', value='CASE WHEN q.t = s.t THEN s.value ELSE s.value + (nv - s.value) / (nt - s.t) * (q.t - s.t) END')} FROM q ASOF LEFT JOIN s ON s.source = q.source AND q.t >= s.t")
+def j25_at(spark, d):
+    """At irregular times, some before the first sample and after the last."""
+    s = t.signal(spark, d)
+    return op.resample_at(s, s.select("source", "idx", (F.col("t") * 1.003 - 600).alias("t")))
+
+
 @query("a41_dominant_frequency")
 def a41(spark, d):
     return op.dominant_frequency(t.signal(spark, d), 20.0)
