@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
 from ..sources.io import checkpointed
-from .nearest import edge_midpoint
+from .contraction import components
 
 KEYS = ("scan_id",)
 EDGE = ("n1", "n2")
@@ -217,30 +217,6 @@ def prune_weak_quad(edge: DataFrame, node: DataFrame, enc: int, th: float, keys:
     return prune_weak(edge, enc, th, node, keys, keep) if rounds else prune_weak_round(edge, enc, th, node, keys, keep)
 
 
-def components(edge: DataFrame, node: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, node_id, component): the smallest node reachable.
-
-    Labels shrink along edges and, by pointer jumping, along labels, so long
-    chains settle in a logarithmic number of rounds.
-    """
-    h = half_edges(edge.select(*keys, *EDGE), keys).distinct()
-    ids = h.select(*keys, F.col("a").alias("node_id")).union(h.select(*keys, "b"))
-    if node is not None:
-        ids = ids.union(node.select(*keys, "node_id"))
-    c = checkpointed(ids.distinct().withColumn("component", F.col("node_id")))
-    while True:
-        near = h.join(c.select(*keys, F.col("node_id").alias("b"), F.col("component").alias("l")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node_id")).agg(F.min("l").alias("l"))
-        # a node's old label learns the new one too
-        low = c.join(near, [*keys, "node_id"], "left").select(*keys, "node_id", F.col("component").alias("old"), F.least("component", "l").alias("component"))
-        hook = low.groupBy(*keys, F.col("old").alias("node_id")).agg(F.min("component").alias("h"))
-        low = low.join(hook, [*keys, "node_id"], "left").select(*keys, "node_id", "old", F.least("component", "h").alias("component"))
-        jump = low.select(*keys, F.col("node_id").alias("component"), F.col("component").alias("j"))
-        new = checkpointed(low.join(jump, [*keys, "component"], "left").select(*keys, "node_id", "old", F.least("component", "j").alias("component")))
-        if new.filter("component <> old").isEmpty():
-            return new.drop("old")
-        c = new.drop("old")
-
-
 def split_rings(node: DataFrame, edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Nodes of the two largest components; ring 1 is the one with the larger mean z."""
     c = components(edge, keys=keys).join(node.select(*keys, "node_id", "z"), [*keys, "node_id"])
@@ -342,55 +318,6 @@ def extremes(node: DataFrame, n: int, top: bool = True, keys: Sequence[str] = KE
     return node.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
 
-def pop_nodes(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Contract nodes of degree 2: (keys, n1, n2, cost = sum, ctvalue = min, nodes on the way from n1).
-
-    stay (keys, node_id) lists nodes not to contract. A chain between two other
-    nodes becomes one edge; a chain from a node back to itself, and a free cycle,
-    become a self loop (of a free cycle the smallest node stays). Parallel chains
-    stay apart. A chain is a component of the contracted nodes, so its length
-    costs a logarithmic number of rounds and one aggregate.
-    """
-    deg = degree(edge, keys)
-    loops = edge.filter("n1 = n2").select(*keys, F.col("n1").alias("node_id"))
-    inner = deg.filter("degree = 2").join(loops, [*keys, "node_id"], "left_anti").select(*keys, "node_id")
-    if stay is not None:
-        inner = inner.join(stay.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
-    inner = checkpointed(inner)
-    # free cycles: components of inner nodes without any outer neighbour; one node of each stays
-    marked = inner.withColumn("inner", F.lit(True))
-    ends = edge
-    for n in EDGE:
-        ends = ends.join(marked.select(*keys, F.col("node_id").alias(n), F.col("inner").alias(f"i{n}")), [*keys, n], "left")
-    within = ends.filter("in1 AND in2").select(*keys, *EDGE)
-    comp = checkpointed(components(within, inner, keys))
-    touching = ends.filter("(in1 IS NULL) <> (in2 IS NULL)").select(*keys, F.when(F.col("in1").isNull(), F.col("n2")).otherwise(F.col("n1")).alias("node_id")).join(comp, [*keys, "node_id"]).select(*keys, "component").distinct()
-    free = comp.join(touching, [*keys, "component"], "left_anti").select(*keys, F.col("component").alias("node_id")).distinct()
-    comp = checkpointed(comp.join(free, [*keys, "node_id"], "left_anti"))
-    # after one node of a cycle stays, its chain is the rest of the component
-    named = edge
-    for n in EDGE:
-        named = named.join(comp.select(*keys, F.col("node_id").alias(n), F.col("component").alias(f"c{n}")), [*keys, n], "left")
-    whole = named.filter("cn1 IS NULL AND cn2 IS NULL").select(*keys, *EDGE, "cost", "ctvalue", F.array().cast("array<bigint>").alias("nodes"))
-    part = named.filter("cn1 IS NOT NULL OR cn2 IS NOT NULL").withColumn("chain", F.coalesce("cn1", "cn2"))
-    tips = part.select(*keys, "chain", F.explode(F.array(F.when(F.col("cn1").isNull(), F.col("n1")), F.when(F.col("cn2").isNull(), F.col("n2")))).alias("tip")).filter("tip IS NOT NULL").groupBy(*keys, "chain").agg(F.min("tip").alias("n1"), F.max("tip").alias("n2"))
-    sums = part.groupBy(*keys, "chain").agg(F.sum("cost").alias("cost"), F.min("ctvalue").alias("ctvalue"))
-    held = part.groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(F.struct(*EDGE))).alias("edges"))
-    chains = tips.join(sums, [*keys, "chain"]).join(held, [*keys, "chain"])
-    other = lambda e, at: F.when(e["n1"] == at, e["n2"]).otherwise(e["n1"])
-
-    def on(acc, _):
-        at = F.when(F.size(acc["nodes"]) > 0, F.element_at(acc["nodes"], -1)).otherwise(acc["start"])
-        ways = F.filter("edges", lambda e: ((e["n1"] == at) | (e["n2"] == at)) & ~other(e, at).eqNullSafe(acc["prev"]))
-        to = F.array_min(F.transform(ways, lambda e: other(e, at)))
-        return F.struct(acc["start"].alias("start"), at.alias("prev"), F.array_append(acc["nodes"], to).alias("nodes"))
-
-    begin = F.struct(F.col("n1").alias("start"), F.lit(None).cast("bigint").alias("prev"), F.array().cast("array<bigint>").alias("nodes"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.size("edges") - 1), begin, on)["nodes"]
-    chains = chains.withColumn("nodes", walk).select(*keys, *EDGE, "cost", "ctvalue", "nodes")
-    return whole.unionByName(chains)
-
-
 def clean(node: DataFrame, edge: DataFrame, very_weak: float, weak: float, redundant: float, enc: int, tails: int, minsize: int, keys: Sequence[str] = KEYS, rings: bool = False) -> tuple[DataFrame, DataFrame]:
     """Very weak, weak, redundant, tails and clusters, again until the number of edges stays equal.
 
@@ -414,40 +341,6 @@ def clean(node: DataFrame, edge: DataFrame, very_weak: float, weak: float, redun
     return node, edge
 
 
-def link_seeds(links: DataFrame, seeds: DataFrame, keys: Sequence[str] = KEYS, cover: float = 1.0, most_rounds: int | None = None) -> DataFrame:
-    """Edges between seeds where their least-cost fronts meet; cost is the larger arrival.
-
-    links (keys, a, b, w): costs between neighbouring places, both directions.
-    Fronts grow from all seeds at once, by rounds of relaxation, until nothing
-    changes or the share ``cover`` of the places is reached; a round relaxes what
-    the one before improved. Without ``most_rounds`` as many rounds are allowed as
-    least-cost ways can have steps; rounds that do not suffice are an error.
-    """
-    front = checkpointed(seeds.select(*keys, F.col("node_id").alias("place"), F.lit(0.0).alias("dist"), F.col("node_id").alias("label")))
-    ways = checkpointed(links.select(*keys, F.col("a").alias("place"), "b", "w"))
-    places = ways.select(*keys, "place").distinct().count()
-    least = lambda df: df.groupBy(*keys, "place").agg(F.min(F.struct("dist", "label")).alias("m"))
-    state = front
-    for n in range(1, (places + 1 if most_rounds is None else most_rounds) + 1):
-        step = front.join(ways, [*keys, "place"]).select(*keys, F.col("b").alias("place"), (F.col("dist") + F.col("w")).alias("dist"), "label")
-        better = least(step).join(least(state).withColumnRenamed("m", "old"), [*keys, "place"], "left").filter("old IS NULL OR m < old")
-        front = checkpointed(better.select(*keys, "place", "m.dist", "m.label"))
-        if front.isEmpty():
-            break
-        # the state is a log of improvements, folded now and then
-        state = state.unionByName(front)
-        if n % 16 == 0:
-            state = checkpointed(least(state).select(*keys, "place", "m.dist", "m.label"))
-        if cover < 1 and state.select(*keys, "place").distinct().count() >= cover * places:
-            break
-    else:
-        raise RuntimeError("fronts still move")
-    state = checkpointed(least(state).select(*keys, "place", "m.dist", "m.label"))
-    side = lambda p, q: state.select(*keys, F.col("place").alias(p), F.col("dist").alias(f"d{q}"), F.col("label").alias(f"l{q}"))
-    meet = links.join(side("a", "a"), [*keys, "a"]).join(side("b", "b"), [*keys, "b"]).filter("la <> lb")
-    return best_connection(meet.select(*keys, F.col("la").alias("a"), F.col("lb").alias("b"), F.greatest("da", "db").alias("cost"), F.least("a", "b").alias("place")), keys)
-
-
 def split_common_prefix(paths: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Of paths from one node, the length of the prefix each pair shares: (keys, node, p, q, shared).
 
@@ -461,35 +354,6 @@ def split_common_prefix(paths: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     return j.groupBy(*keys, "node", "p", "q").agg(F.coalesce(first, F.count("*")).alias("shared"))
 
 
-def chain_points(chain: DataFrame, node: DataFrame, path: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Joined paths of contracted edges (see pop_nodes): (keys, n1, n2, chain, idx, x, y, z), from n1 to n2.
-
-    path (keys, n1, n2, idx, x, y, z) holds the points of each single edge from n1
-    to n2; an edge without any, and all without ``path``, is straight. Points
-    where edges meet come once. chain tells edges between the same nodes apart.
-    """
-    named = chain.withColumn("chain", F.concat_ws(",", F.transform("nodes", lambda n: n.cast("string"))))
-    stops = named.select(*keys, *EDGE, "chain", F.posexplode(F.concat(F.array("n1"), "nodes", F.array("n2"))).alias("hop", "node_id"))
-    at = stops.join(node.select(*keys, "node_id", *"xyz"), [*keys, "node_id"]).select(*keys, *EDGE, "chain", "hop", F.lit(0).cast("long").alias("step"), *"xyz")
-    if path is not None:
-        hops = F.posexplode(F.arrays_zip(F.concat(F.array("n1"), "nodes").alias("u"), F.concat("nodes", F.array("n2")).alias("v")))
-        hop = named.select(*keys, *EDGE, "chain", hops.alias("hop", "h")).withColumns({"a": F.least("h.u", "h.v"), "b": F.greatest("h.u", "h.v"), "back": F.col("h.u") > F.col("h.v")})
-        span = Window.partitionBy(*keys, *EDGE)
-        within = path.withColumns({"first": F.min("idx").over(span), "last": F.max("idx").over(span)}).filter("idx > first AND idx < last")
-        within = within.select(*keys, F.col("n1").alias("a"), F.col("n2").alias("b"), "idx", "first", "last", *"xyz")
-        step = F.when(F.col("back"), F.col("last") - F.col("idx")).otherwise(F.col("idx") - F.col("first")).cast("long")
-        at = at.unionByName(hop.join(within, [*keys, "a", "b"]).select(*keys, *EDGE, "chain", "hop", step.alias("step"), *"xyz"))
-    order = F.row_number().over(Window.partitionBy(*keys, *EDGE, "chain").orderBy("hop", "step")) - 1
-    return at.select(*keys, *EDGE, "chain", order.cast("long").alias("idx"), *"xyz")
-
-
-def peak_valley_midpoints(edge: DataFrame, node: DataFrame, longest: float = 10.0, keys: Sequence[str] = KEYS, path: DataFrame | None = None) -> DataFrame:
-    """Path points nearest the chord middle of the contracted edges shorter than ``longest``, hooks left out (see chain_points)."""
-    _, rest = hooks(edge, keys)
-    e = edge_lengths(checkpointed(pop_nodes(checkpointed(rest), keys=keys)), node, keys).filter((F.col("length") < longest) & (F.col("n1") != F.col("n2")))
-    return edge_midpoint(chain_points(e, node, path, keys), [*keys, *EDGE, "chain"]).drop("chain")
-
-
 def graph_points(node: DataFrame, edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Points of the nodes of each degree, for export: (keys, degree, n, points)."""
     d = node.join(degree(edge, keys), [*keys, "node_id"])

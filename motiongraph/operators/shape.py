@@ -11,10 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, plane_distance, tetra_volume, to_plane, tri_area, xyz
+from ..sources.io import checkpointed
+from .contraction import linked_labels
 
 
 def fit_circle(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -221,39 +223,58 @@ def plane_section(vertex: DataFrame, face: DataFrame, plane: tuple[float, float,
     return cut.select(*keys, "a", "b", *[(F.col(f"a{c}") + F.col("s") * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"])
 
 
+def _crossing(p: str, q: str, vp: str, vq: str) -> Column:
+    """Where edge p-q meets the plane; from the lower vertex on, so that both faces of an edge get the same point."""
+    point = lambda c: F.struct(*[F.col(c + a).alias(a) for a in "xyz"])
+
+    def at(p, q):
+        s = F.col(f"d{p}") / (F.col(f"d{p}") - F.col(f"d{q}"))
+        return F.struct(*[(F.col(p + a) + s * (F.col(q + a) - F.col(p + a))).alias(a) for a in "xyz"])
+
+    return F.when(F.col(f"d{p}") == 0, point(p)).when(F.col(f"d{q}") == 0, point(q)).when(F.col(vp) < F.col(vq), at(p, q)).otherwise(at(q, p))
+
+
+def _lids(rim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A fan (keys, p, q, r) on each loop of the rim segments (keys, u, w), from the mean of its points."""
+    # segments that two faces walk in opposite directions bound nothing
+    there = F.when(F.col("u") < F.col("w"), 1).otherwise(-1)
+    net = rim.filter("u <> w").groupBy(*keys, F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).agg(F.sum(there).alias("n")).filter("n <> 0")
+    turn = F.col("n") < 0
+    net = checkpointed(net.select(*keys, F.when(turn, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("w"), F.explode(F.sequence(F.lit(1), F.abs("n").cast("int"))).alias("copy")).drop("copy"))
+    loop = linked_labels(net.withColumnRenamed("w", "v"), keys).withColumnsRenamed({"node": "u", "label": "loop"})
+    on = checkpointed(net.join(loop, [*keys, "u"]))
+    centre = on.groupBy(*keys, "loop").agg(F.struct(*[F.avg(f"u.{a}").alias(a) for a in "xyz"]).alias("m"))
+    return on.join(centre, [*keys, "loop"]).select(*keys, F.col("u").alias("p"), F.col("w").alias("q"), F.col("m").alias("r"))
+
+
 def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, float, float], keys: Sequence[str] = ("mesh_id",), lid: bool = True) -> DataFrame:
-    """Triangles in front of a plane (d >= 0), crossing faces split, with a lid from the middle of the rim.
+    """Triangles in front of a plane (d >= 0), crossing faces split, with a lid on each loop of the rim.
 
-    Rows: keys and corner coordinates px .. rz. The lid is a fan from the mean of
-    the crossing points; a rim of several loops gets one lid each only when its
-    loops belong to different keys.
+    Rows: keys and corner coordinates px .. rz. A loop is a component of the rim's
+    segments; its lid is a fan from the mean of its points, so a closed mesh stays
+    closed however many loops the cut has. Vertices on the plane count as in
+    front; triangles without extent are dropped.
     """
     pl = tuple(F.lit(float(c)) for c in plane)
     f = with_corners(face, vertex)
     f = f.withColumns({f"d{p}": plane_distance(xyz(p), pl) for p in "pqr"})
+    number = dict(zip("pqr", CORNERS))
     point = lambda p: F.struct(*[F.col(p + a).alias(a) for a in "xyz"])
-
-    def cross_at(p, q):
-        s = F.col(f"d{p}") / (F.col(f"d{p}") - F.col(f"d{q}"))
-        return F.struct(*[(F.col(p + a) + s * (F.col(q + a) - F.col(p + a))).alias(a) for a in "xyz"])
-
     tri = lambda a, b, c: F.struct(a.alias("p"), b.alias("q"), c.alias("r"))
     front = {p: F.col(f"d{p}") >= 0 for p in "pqr"}
-    none = F.array().cast("array<struct<p:struct<x:double,y:double,z:double>,q:struct<x:double,y:double,z:double>,r:struct<x:double,y:double,z:double>>>")
-    out, rim = F.when(front["p"] & front["q"] & front["r"], F.array(tri(*map(point, "pqr")))), F.when(F.lit(False), F.lit(None).cast("struct<u:struct<x:double,y:double,z:double>,w:struct<x:double,y:double,z:double>>"))
+    out, rim = F.when(front["p"] & front["q"] & front["r"], F.array(tri(*map(point, "pqr")))), None
     for a, b, c in ("pqr", "qrp", "rpq"):
         alone, pair = front[a] & ~front[b] & ~front[c], ~front[a] & front[b] & front[c]
-        ab, ac = cross_at(a, b), cross_at(a, c)
+        ab, ac = _crossing(a, b, number[a], number[b]), _crossing(a, c, number[a], number[c])
         out = out.when(alone, F.array(tri(point(a), ab, ac))).when(pair, F.array(tri(ab, point(b), point(c)), tri(ab, point(c), ac)))
         # walked so that the lid faces away from what is kept
-        rim = rim.when(alone, F.struct(ac.alias("u"), ab.alias("w"))).when(pair, F.struct(ab.alias("u"), ac.alias("w")))
-    f = f.select(*keys, out.otherwise(none).alias("t"), rim.alias("rim"))
-    kept = f.select(*keys, F.explode("t").alias("t"))
+        rims = F.when(alone, F.struct(ac.alias("u"), ab.alias("w"))).when(pair, F.struct(ab.alias("u"), ac.alias("w")))
+        rim = rims if rim is None else F.coalesce(rim, rims)
+    cut = f.select(*keys, out.alias("t"), rim.alias("rim"))
+    kept = cut.select(*keys, F.explode("t").alias("t")).select(*keys, "t.p", "t.q", "t.r").filter("p <> q AND q <> r AND p <> r")
     if lid:
-        edge = f.filter("rim IS NOT NULL")
-        centre = edge.groupBy(*keys).agg(F.struct(*[F.avg(f"rim.u.{a}").alias(a) for a in "xyz"]).alias("m"))
-        kept = kept.union(edge.join(centre, list(keys)).select(*keys, tri(F.col("rim.u"), F.col("rim.w"), F.col("m"))))
-    return kept.select(*keys, *[F.col(f"t.{p}.{a}").alias(p + a) for p in "pqr" for a in "xyz"])
+        kept = kept.union(_lids(cut.filter("rim IS NOT NULL").select(*keys, "rim.u", "rim.w"), keys))
+    return kept.select(*keys, *[F.col(f"{p}.{a}").alias(p + a) for p in "pqr" for a in "xyz"])
 
 
 def weld_vertices(triangles: DataFrame) -> DataFrame:

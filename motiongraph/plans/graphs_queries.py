@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import chains, crossings, fronts
 from ..operators import graph as op
 from ..sources import tables as t
 from .registry import query, r
@@ -64,7 +66,7 @@ def g7(spark, d):
 
 @query("g8_pop_nodes")
 def g8(spark, d):
-    return op.pop_nodes(t.edge(spark, d)).select("scan_id", "n1", "n2", "cost", "ctvalue", F.size("nodes").cast("long").alias("n_nodes"))
+    return chains.pop_nodes(t.edge(spark, d)).select("scan_id", "n1", "n2", "cost", "ctvalue", "n_nodes")
 
 
 @query("g9_components", "edge half node", None)
@@ -83,6 +85,53 @@ def g10(spark, d):
     return op.split_common_prefix(p, ()).select("p", "q", "shared")
 
 
+_ORDERS = """ln AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS i, CAST(max(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) % 2 AS BIGINT) AS bit FROM lineitem),
+od AS (SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(min(l_extendedprice) AS DOUBLE) AS cost, CAST(max(l_quantity) AS DOUBLE) AS ctvalue FROM lineitem GROUP BY 1),
+lk AS (SELECT o, bit, row_number() OVER (PARTITION BY o ORDER BY i) AS i FROM ln),
+pt AS (SELECT o, o // 32 AS h, i, sum(bit * CAST(pow(2, i) AS BIGINT)) OVER (PARTITION BY o ORDER BY i) AS code FROM lk),
+en AS (SELECT o, h, max(i) AS n, CAST(arg_max(code, i) AS BIGINT) AS code FROM pt GROUP BY ALL),
+wn AS (SELECT h, n, code, arg_min({'o': o, 'c': cost, 'v': ctvalue}, (cost, o)) AS w FROM en JOIN od USING (o) GROUP BY ALL)"""
+
+
+def _order_paths(spark, d):
+    """A path for each order, from a node for 32 order numbers on: point i tells the parities of its parts 1 to i.
+
+    Orders of equal parities end at one node, to which the cheapest leads.
+    """
+    line = t.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("l")).agg((F.max("l_partkey") % 2).cast("long").alias("bit"))
+    w = Window.partitionBy("o").orderBy("l")  # at most seven lines an order
+    line = line.withColumn("i", F.row_number().over(w).cast("long"))
+    code = F.sum(F.col("bit") * F.pow(F.lit(2), F.col("i")).cast("long")).over(w)
+    pt = line.select("o", F.floor(F.col("o") / 32).alias("h"), "i", code.alias("code"))
+    size = t.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o")).agg(F.min(F.col("l_extendedprice").cast("double")).alias("cost"), F.max(F.col("l_quantity").cast("double")).alias("ctvalue"))
+    end = pt.groupBy("o", "h").agg(F.max(F.struct("i", "code")).alias("e")).join(size, "o")
+    won = end.groupBy("h", "e").agg(F.min(F.struct("cost", "o", "ctvalue")).alias("w")).select("h", "e", F.col("w.o").alias("o"), "w.cost", "w.ctvalue")
+    number = lambda i, c: (F.col("h") * 8 + i) * 256 + c
+    xyz = lambda i, c: [v.cast("double").alias(n) for n, v in zip("xyz", (F.col("h"), i, c))]
+    zero, scan = F.lit(0).cast("long"), F.lit("orders").alias("scan_id")
+    edge = won.select(scan, number(zero, zero).alias("n1"), number(F.col("e.i"), F.col("e.code")).alias("n2"), "cost", "ctvalue", "o", "h")
+    start = edge.select("o", "h", zero.alias("i"), zero.alias("code"))
+    path = pt.select("o", "h", "i", "code").unionByName(start).join(edge.select("o", "n1", "n2"), "o").select(scan, "n1", "n2", F.col("i").alias("idx"), *xyz(F.col("i"), F.col("code")))
+    node = won.select(scan, number(F.col("e.i"), F.col("e.code")).alias("node_id"), *xyz(F.col("e.i"), F.col("e.code"))).union(won.select(scan, number(zero, zero).alias("node_id"), *xyz(zero, zero)).distinct())
+    return node, edge.select("scan_id", "n1", "n2", "cost", "ctvalue"), path
+
+
+@query("g10_split_crossings", "", f"""WITH {_ORDERS},
+ps AS (SELECT p.* FROM pt p JOIN wn ON wn.w.o = p.o),
+r AS (SELECT p.o, coalesce(max(p.i) FILTER (WHERE e.n IS NOT NULL AND p.i < x.n), 0) AS root FROM ps p JOIN en x ON x.o = p.o LEFT JOIN wn e ON e.h = p.h AND e.n = p.i AND e.code = p.code GROUP BY 1),
+th AS (SELECT p.h, p.i, p.code, p.o, q.code AS nxt, od.cost, od.ctvalue FROM ps p JOIN r ON r.o = p.o AND r.root < p.i JOIN od ON od.o = p.o JOIN ps q ON q.o = p.o AND q.i = p.i + 1),
+br AS (SELECT h, i, code, min(cost) AS cost, max(ctvalue) AS ctvalue FROM th GROUP BY 1, 2, 3 HAVING count(DISTINCT nxt) > 1),
+kp AS (SELECT h, n AS i, code, wn.w.c AS cost, wn.w.v AS ctvalue, wn.w.o AS o FROM wn UNION ALL SELECT b.h, b.i, b.code, b.cost, b.ctvalue, (SELECT min(o) FROM ps p WHERE p.h = b.h AND p.i = b.i AND p.code = b.code) FROM br b WHERE NOT EXISTS (SELECT 1 FROM wn WHERE wn.h = b.h AND wn.n = b.i AND wn.code = b.code)),
+an AS (SELECT k.h, k.i, k.code, max((p.i, p.code)) AS up FROM kp k JOIN ps p ON p.o = k.o AND p.i < k.i JOIN kp a ON a.h = p.h AND a.i = p.i AND a.code = p.code GROUP BY ALL)
+SELECT CAST(k.h AS DOUBLE) AS x, CAST(coalesce(an.up[1], 0) AS DOUBLE) AS y1, CAST(coalesce(an.up[2], 0) AS DOUBLE) AS z1, CAST(k.i AS DOUBLE) AS y2, CAST(k.code AS DOUBLE) AS z2, {r(cost='cost', ctvalue='ctvalue')}, k.i - coalesce(an.up[1], 0) + 1 AS n_points
+FROM kp k LEFT JOIN an ON an.h = k.h AND an.i = k.i AND an.code = k.code""")
+def g10_split(spark, d):
+    """Edges of the rewritten graph with the places of their ends, the one nearer the start first."""
+    node, edge, path = crossings.split_crossings(*_order_paths(spark, d))
+    ends = path.groupBy("n1", "n2").agg(F.min(F.struct("y", "z", "x")).alias("a"), F.max(F.struct("y", "z", "x")).alias("b"), F.count("*").alias("n_points"))
+    return edge.join(ends, ["n1", "n2"]).select(F.col("a.x").alias("x"), F.col("a.y").alias("y1"), F.col("a.z").alias("z1"), F.col("b.y").alias("y2"), F.col("b.z").alias("z2"), "cost", "ctvalue", "n_points")
+
+
 @query("g11_hooks", "edge", f"{DEG} SELECT {E} FROM edge e WHERE EXISTS (SELECT 1 FROM dg WHERE dg.scan_id = e.scan_id AND degree = 1 AND node_id IN (n1, n2))")
 def g11(spark, d):
     return op.hooks(t.edge(spark, d))[0].select("scan_id", "n1", "n2")
@@ -107,13 +156,31 @@ def g13(spark, d):
 
 @query("g14_peak_valley_midpoints")
 def g14(spark, d):
-    return op.peak_valley_midpoints(t.edge(spark, d), t.node(spark, d))
+    """Each edge has a path of three inner points, set off by its own numbers."""
+    at = lambda n: t.node(spark, d).select("scan_id", F.col("node_id").alias(n), *[F.col(c).alias(n + c) for c in "xyz"])
+    e = t.edge(spark, d).join(at("n1"), ["scan_id", "n1"]).join(at("n2"), ["scan_id", "n2"])
+    k = F.col("idx") / 4.0
+    bow = 4 * k * (1 - k)
+    along = lambda c, n: F.col(f"n1{c}") + (F.col(f"n2{c}") - F.col(f"n1{c}")) * k + bow * (F.col(n) % 7 - 3)
+    path = e.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).select("scan_id", "n1", "n2", "idx", along("x", "n1").alias("x"), along("y", "n2").alias("y"), along("z", "n1").alias("z"))
+    return chains.peak_valley_midpoints(t.edge(spark, d), t.node(spark, d), path=path)
+
+
+def _linked(spark, d):
+    """Fronts from the corners; a place's value is the highest of its edges."""
+    e = op.half_edges(t.edge(spark, d))
+    values = e.groupBy("scan_id", F.col("a").alias("place")).agg(F.max("ctvalue").alias("ctvalue"))
+    return fronts.link_seeds(e.select("scan_id", "a", "b", F.col("cost").alias("w")), t.node(spark, d).filter("corner"), values=values)
 
 
 @query("g15_link_seeds")
 def g15(spark, d):
-    links = op.half_edges(t.edge(spark, d)).select("scan_id", "a", "b", F.col("cost").alias("w"))
-    return op.link_seeds(links, t.node(spark, d).filter("corner")).select("scan_id", "n1", "n2", "cost")
+    return _linked(spark, d)[0]
+
+
+@query("g15_link_paths")
+def g15_paths(spark, d):
+    return _linked(spark, d)[1]
 
 
 @query("g16_clean")

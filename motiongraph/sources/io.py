@@ -24,18 +24,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage, in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/motiongraph/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the session's shared folder.
+
+    Unlike a checkpoint, the table read back has its true size: estimates of
+    joined sizes, which are products, would square in every round of a loop.
+    """
+    path = new_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables made by checkpointed() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/motiongraph/round-" in parent:
+                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parse_scan_name(name: Column) -> list[Column]:
     part = lambda i: F.nullif(F.regexp_extract(name, SCAN_NAME, i), F.lit(""))
     return [part(i).alias(n) for i, n in enumerate(("patient", "timepoint", "crop", "kind"), 1)]

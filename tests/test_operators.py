@@ -65,31 +65,6 @@ def test_weak_goes_one_by_one(spark):
     assert min(deg.values()) >= 2
 
 
-def test_pop_nodes(spark):
-    # a chain 1-3-2-4, a loop 4-5-6-4, a free ring 7-8-9
-    e = edges(spark, (1, 3, 1, 9), (2, 3, 2, 8), (2, 4, 3, 7), (4, 5, 1, 6), (5, 6, 1, 5), (6, 4, 1, 4), (7, 8, 1, 3), (8, 9, 1, 2), (9, 7, 1, 1))
-    got = {(r["n1"], r["n2"]): (r["cost"], r["ctvalue"], list(r["nodes"])) for r in graph.pop_nodes(e).collect()}
-    assert got == {(1, 4): (6.0, 7.0, [3, 2]), (4, 4): (3.0, 4.0, [5, 6]), (7, 7): (3.0, 1.0, [8, 9])}
-
-
-def test_chain_points(spark):
-    e = edges(spark, (1, 3, 1, 9), (2, 3, 2, 8), (2, 4, 3, 7))
-    got = graph.chain_points(graph.pop_nodes(e), nodes(spark, 1, 2, 3, 4)).orderBy("idx").collect()
-    assert [(r["n1"], r["n2"], r["x"]) for r in got] == [(1, 4, 1.0), (1, 4, 3.0), (1, 4, 2.0), (1, 4, 4.0)]
-    # the points of the middle edge run from 2 to 3, against the chain
-    rows = [("s", 2, 3, i, x, 5.0, 0.0) for i, x in enumerate((2.0, 2.2, 2.8, 3.0))]
-    path = spark.createDataFrame(rows, "scan_id string, n1 long, n2 long, idx long, x double, y double, z double")
-    got = graph.chain_points(graph.pop_nodes(e), nodes(spark, 1, 2, 3, 4), path).orderBy("idx").collect()
-    assert [r["x"] for r in got] == [1.0, 3.0, 2.8, 2.2, 2.0, 4.0] and [r["y"] for r in got] == [0.0, 0.0, 5.0, 5.0, 0.0, 0.0]
-
-
-def test_midpoint_lies_on_the_chain(spark):
-    e = edges(spark, *[(a, b, 1, 1) for a, b in ((1, 2), (2, 3), (3, 4), (4, 5), (1, 6), (6, 7), (7, 1), (5, 8), (8, 9), (9, 5))])
-    at = {1: (0, 0), 2: (0, 1), 3: (2, 1), 4: (4, 1), 5: (4, 0)}
-    n = spark.createDataFrame([("s", i, *map(float, at.get(i, (50 + 9 * i, 0))), 0.0) for i in range(1, 10)], "scan_id string, node_id long, x double, y double, z double")
-    assert [(r["n1"], r["n2"], r["x"], r["y"]) for r in graph.peak_valley_midpoints(e, n).collect()] == [(1, 5, 2.0, 1.0)]
-
-
 def test_triangles_and_quadrangles_by_brute_force(spark):
     rng = np.random.default_rng(5)
     known = {tuple(sorted(map(int, p))): float(c) for p, c in zip(rng.integers(0, 14, (60, 2)), rng.integers(0, 99, 60))}
@@ -109,22 +84,11 @@ def test_clean_in_ring_order(spark):
     assert pairs(left) == [(1, 2), (1, 4), (2, 3), (3, 4)] and node.count() == 4
 
 
-def test_components_of_a_long_chain(spark):
-    e = edges(spark, *[(i, i + 1, 1, 1) for i in range(60)])
-    assert {r["component"] for r in graph.components(e).collect()} == {0}
-
-
 def test_suppress_adjacent(spark):
     seeds = spark.createDataFrame([(0, 0, i) for i in range(6)], "z long, y long, x long")
     assert sorted(r["x"] for r in graph.suppress_adjacent(seeds).collect()) == [0, 2, 4]
 
 
-def test_link_seeds(spark):
-    links = graph.half_edges(edges(spark, *[(i, i + 1, 1, 1) for i in range(10)])).selectExpr("scan_id", "a", "b", "cost AS w")
-    r = graph.link_seeds(links, nodes(spark, 0, 10)).collect()
-    assert [(x["n1"], x["n2"], x["cost"]) for x in r] == [(0, 10, 5.0)]
-
-
 def test_corners_of_a_zigzag(spark):
     pts, x, y = [], 0, 0
     for i in range(20):

@@ -68,16 +68,6 @@ def test_spectrum_is_that_of_numpy(spark):
     assert np.allclose(got.rex + 1j * got.imx, np.fft.fft(x[:, 0] + 1j * x[:, 1]))
 
 
-def test_fronts_go_on_until_they_meet(spark):
-    """Seeds 420 hops apart, and a way of many cheap steps beside a dear short one."""
-    ways = edges(spark, *[(i, i + 1, 1, 1) for i in range(420)], (0, 421, 500, 1), (421, 420, 500, 1))
-    links = graph.half_edges(ways).selectExpr("scan_id", "a", "b", "cost AS w")
-    got = graph.link_seeds(links, nodes(spark, 0, 420)).collect()
-    assert [(r["n1"], r["n2"], r["cost"]) for r in got] == [(0, 420, 210.0)]
-    with pytest.raises(RuntimeError):
-        graph.link_seeds(links, nodes(spark, 0, 420), most_rounds=3)
-
-
 def test_grid_reaches_far_points(spark):
     """Points thousands of cells away, without partner, with null coordinates."""
     rng = np.random.default_rng(8)
