@@ -207,17 +207,25 @@ def a45(spark, d):
     return op.degree(t.edge(spark, d))
 
 
-@query("j19_triangles", "edge", f"{TRI} SELECT scan_id, n1, n2, n3, {r(cost12='cost12', cost13='cost13', cost23='cost23')} FROM tr")
+#: Pairs of neighbours from sorted lists, one for each node, so that no join multiplies hubs.
+NEAR = "nb AS (SELECT scan_id, a AS node, list(DISTINCT b ORDER BY b) AS l FROM half WHERE a <> b GROUP BY 1, 2), px AS (SELECT scan_id, node, l, unnest(range(1, len(l))) AS i FROM nb), pr AS (SELECT scan_id, node, l[i] AS a, unnest(l[i + 1:]) AS b FROM px)"
+COST = "ct AS (SELECT scan_id, n1, n2, cost FROM edge WHERE n1 <> n2)"
+
+
+@query("j19_triangles", "edge half", f"{NEAR}, {COST}, t AS (SELECT pr.scan_id, node AS n1, a AS n2, b AS n3, ct.cost AS c23 FROM pr JOIN ct ON ct.scan_id = pr.scan_id AND n1 = a AND n2 = b WHERE node < a) SELECT t.scan_id, t.n1, t.n2, t.n3, {r(cost12='p.cost', cost13='q.cost', cost23='c23')} FROM t JOIN ct p ON p.scan_id = t.scan_id AND p.n1 = t.n1 AND p.n2 = t.n2 JOIN ct q ON q.scan_id = t.scan_id AND q.n1 = t.n1 AND q.n2 = t.n3")
 def j19(spark, d):
     return op.triangles(t.edge(spark, d))
 
 
-@query("j20_quadrangles", "edge half", f"{QUAD} SELECT scan_id, n1, n2, m1, m2 FROM qd")
+@query("j20_quadrangles", "edge half", f"""{NEAR}, mid AS (SELECT scan_id, a, b, list(node ORDER BY node) AS l FROM pr GROUP BY 1, 2, 3 HAVING count(*) > 1),
+m1 AS (SELECT scan_id, a, b, l, unnest(range(1, len(l))) AS i FROM mid), m2 AS (SELECT scan_id, a, b, l[i] AS x, unnest(l[i + 1:]) AS y FROM m1), cy AS (SELECT * FROM m2 WHERE a < x),
+sd AS (SELECT scan_id, a AS u, x AS v, y AS p, b AS q FROM cy UNION ALL SELECT scan_id, x, b, a, y FROM cy UNION ALL SELECT scan_id, b, y, x, a FROM cy UNION ALL SELECT scan_id, y, a, b, x FROM cy)
+SELECT scan_id, least(u, v) AS n1, greatest(u, v) AS n2, CASE WHEN u < v THEN p ELSE q END AS m1, CASE WHEN u < v THEN q ELSE p END AS m2 FROM sd""")
 def j20(spark, d):
     return op.quadrangles(t.edge(spark, d))
 
 
-@query("j21_neighbour_pairs", "edge half", "SELECT p.scan_id, p.a AS node, p.b AS a, q.b AS b FROM half p JOIN half q ON p.scan_id = q.scan_id AND p.a = q.a AND p.b < q.b")
+@query("j21_neighbour_pairs", "edge half", f"{NEAR} SELECT scan_id, node, a, b FROM pr")
 def j21(spark, d):
     return op.neighbour_pairs(t.edge(spark, d))
 
