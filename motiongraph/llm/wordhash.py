@@ -8,6 +8,7 @@ whose arrays (some 50 bytes a byte) go when it is done.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
+#: Words of more bytes have a cryptographic digest.
+LONG_WORD = 256
 #: Bytes of text that are looked at together.
 BLOCK = 1 << 19
 
@@ -99,13 +102,21 @@ def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word."""
+    """64-bit hash of each lower-cased word.
+
+    Sums of powers modulo 2**64 cannot tell some words of over a thousand letters
+    apart (Thue-Morse words), whatever the base; words that long are digested.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    found = mix((total[ends] - total[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = LOWER[data[starts[i] : ends[i]]].tobytes()
+        found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return found
 
 
 def grams(wh: np.ndarray, k: int) -> np.ndarray:

@@ -35,3 +35,14 @@ def test_one_row_of_each_component_stays(spark):
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()), key=str) == want
     assert ngram_join.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_thue_morse_words_differ(spark):
+    """Words on which every polynomial hash modulo 2**64 agrees."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(0, word), (1, other), (2, word.upper()), (3, f"x {word} y"), (4, f"x {other} y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
