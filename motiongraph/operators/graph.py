@@ -14,21 +14,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, xyz
-from ..sources.io import checkpointed
+from ..sources.io import checkpointed, released
 from .contraction import components
 
 KEYS = ("scan_id",)
 EDGE = ("n1", "n2")
 
 
-def fixed_point(edge: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 100) -> DataFrame:
-    """Repeat a step that only removes rows until their number stays equal."""
-    edge, n = checkpointed(edge), None
-    for _ in range(most_rounds):
-        if (now := edge.count()) == n:
-            return edge
-        edge, n = checkpointed(step(edge)), now
-    raise RuntimeError("no fixed point")
+def fixed_point(edge: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Repeat a step that only removes rows until their number stays equal, which it must as rows run out."""
+    edge = checkpointed(edge)
+    n = edge.count()
+    while True:
+        new = checkpointed(step(edge))
+        now = new.count()
+        released(edge)
+        if now == n:
+            return new
+        edge, n = new, now
 
 
 def half_edges(edge: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

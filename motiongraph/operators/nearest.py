@@ -1,13 +1,14 @@
 """Nearest points and distance bands.
 
-Points meet only within their key (a path, a ring, a slice), so the pairs are
-those of one small group, never of the table. ``nearest_in_grid`` is the form
-for clouds: cells and their neighbours meet by equality.
+Points meet only within their key (a path, a ring, a slice): all pairs of a key
+as long as they are few, cells and the cells around them beyond, by equality.
+Distance bands always meet by cells as wide as the band reaches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,88 @@ def _renamed(df: DataFrame, keys: Sequence[str], prefix: str = "o") -> DataFrame
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
-def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], ident: Sequence[str] = ("idx",)) -> DataFrame:
-    """For each point the nearest of others with the same keys, the first index on ties."""
-    j = points.join(_renamed(others, keys), list(keys)).withColumn("d", distance(xyz(), xyz("o")))
-    best = F.min(F.struct("d", "oidx")).alias("b")
-    return j.groupBy(*keys, *ident).agg(best).select(*keys, *ident, F.col("b.oidx").alias("near"), F.col("b.d").alias("d"))
+#: Pairs of the largest key that are compared directly; beyond, cells are searched.
+MOST_PAIRS = 1 << 24
+#: Others that a cell should hold at most, and halvings of the cell's width tried for that.
+CROWD, HALVINGS = 64, 10
+
+
+def _cells(axes: Sequence[str], width: Column, prefix: str) -> list[Column]:
+    return [F.floor(F.col(a) / width).alias(prefix + a) for a in axes]
+
+
+def _around(df: DataFrame, axes: Sequence[str], prefix: str) -> DataFrame:
+    """df once for each cell that touches its own."""
+    for a in axes:
+        df = df.withColumn(prefix + a, F.explode(F.array(*[F.col(prefix + a) + k for k in (-1, 0, 1)])))
+    return df
+
+
+def within(points: DataFrame, others: DataFrame, keys: Sequence[str], radius: float, axes: Sequence[str] = AXES) -> DataFrame:
+    """Pairs that can be nearer than the radius in each axis: others' columns with prefix "o".
+
+    Cells as wide as the radius meet by equality, so the pairs follow the density
+    of the points and not the size of a key.
+    """
+    width = F.lit(radius * (1 + 1e-9))  # rounding moves no pair two cells apart
+    o = _renamed(others, keys).select("*", *_cells([f"o{a}" for a in axes], width, "_"))
+    p = _around(points.select("*", *_cells(axes, width, "_o")), axes, "_o")
+    return p.join(o, [*keys, *[f"_o{a}" for a in axes]]).drop(*[f"_o{a}" for a in axes])
+
+
+def _widths(points: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, span, width): of each key the extent of all points, and a cell that no more than CROWD others share."""
+    both = points.select(*keys, *AXES).unionByName(others.select(*keys, *AXES))
+    span = both.groupBy(*keys).agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES], *[F.max(F.abs(a)) * 1e-12 for a in AXES], F.lit(1e-300)).alias("span"))
+    tried = others.select(*keys, *AXES).join(span, list(keys)).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(HALVINGS))))
+    tried = tried.withColumn("width", F.col("span") / F.pow(F.lit(2.0), F.col("h")))
+    full = tried.groupBy(*keys, "h", "width", *_cells(AXES, F.col("width"), "_c")).agg(F.count("*").alias("n")).groupBy(*keys, "h", "width").agg(F.max("n").alias("n"))
+    fits = F.coalesce(F.max(F.when(F.col("n") <= CROWD, F.col("width"))), F.min("width")).alias("width")
+    return full.groupBy(*keys).agg(fits).join(span, list(keys))
+
+
+def k_nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], k: int, ident: Sequence[str] = ("idx",), most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """For each point the k nearest others of its key: (keys, ident, rank from 1, near, d); ties by the smaller index.
+
+    The pairs of the largest key are counted. Beyond ``most_pairs`` cells are
+    searched instead of all pairs: a point looks at the cells that touch its own
+    and is settled if the k-th lies within one width; the others go on with cells
+    four times as wide. The first width of a key is one at which no cell is
+    crowded, so dense places are settled in small cells. Points without others
+    have no row.
+    """
+    mine, theirs = (df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((points, "m"), (others, "n")))
+    pairs = mine.join(theirs, list(keys)).agg(F.max(F.col("m") * F.col("n"))).first()[0] or 0
+    found = F.slice(F.array_sort(F.collect_list(F.struct("d", "oidx"))), 1, k).alias("b")
+    ranked = lambda df: df.select(*keys, *ident, F.posexplode("b").alias("pos", "o")).select(*keys, *ident, (F.col("pos") + 1).cast("long").alias("rank"), F.col("o.oidx").alias("near"), F.col("o.d").alias("d"))
+    o = others.select(*keys, "idx", *AXES)
+    if pairs <= most_pairs:
+        j = points.select(*keys, *ident, *AXES).join(_renamed(o, keys), list(keys)).withColumn("d", distance(xyz(), xyz("o")))
+        if k == 1:
+            return j.groupBy(*keys, *ident).agg(F.min(F.struct("d", "oidx")).alias("o")).select(*keys, *ident, F.lit(1).cast("long").alias("rank"), F.col("o.oidx").alias("near"), F.col("o.d").alias("d"))
+        w = Window.partitionBy(*keys, *ident).orderBy("d", "oidx")
+        return j.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(*keys, *ident, "rank", F.col("oidx").alias("near"), "d")
+    width = checkpointed(_widths(points, others, keys))
+    left, done, grown = points.select(*keys, *ident, *AXES), [], 1
+    while True:
+        w = width.select(*keys, "span", (F.col("width") * grown).alias("w"))
+        cells = _renamed(o, keys).join(w, list(keys)).select(*keys, *[f"o{c}" for c in ("idx", *AXES)], *_cells([f"o{a}" for a in AXES], F.col("w"), "_"))
+        at = left.join(w, list(keys))
+        looked = _around(at.select("*", *_cells(AXES, F.col("w"), "_o")), AXES, "_o")
+        j = looked.join(cells, [*keys, *[f"_o{a}" for a in AXES]]).withColumn("d", distance(xyz(), xyz("o")))
+        best = j.groupBy(*keys, *ident).agg(found)
+        now = checkpointed(at.join(best, [*keys, *ident], "left"))
+        sure = (F.col("w") > F.col("span")) | F.coalesce((F.size("b") == k) & (F.element_at("b", -1)["d"] <= F.col("w") * (1 - 1e-9)), F.lit(False))
+        done.append(ranked(now.filter(sure & F.col("b").isNotNull())))
+        left = now.filter(~sure).select(*keys, *ident, *AXES)
+        if left.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
+        grown *= 4
+
+
+def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], ident: Sequence[str] = ("idx",), most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """For each point the nearest of others with the same keys, the first index on ties (see k_nearest)."""
+    return k_nearest(points, others, keys, 1, ident, most_pairs).drop("rank")
 
 
 def _in_rings(points: DataFrame, others: DataFrame, cell: float, ident: Sequence[str], rings: int) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +165,8 @@ def ring_distance_change(pair_phases: DataFrame, keys: Sequence[str]) -> DataFra
 
 def adjacent_ring_gaps(points: DataFrame, keys: Sequence[str] = (), ring: str = "ring") -> DataFrame:
     """Nearest distances from each ring to the next: min, mean, max and the index of the min."""
-    o = _renamed(points.withColumn(ring, F.col(ring) - 1), (*keys, ring))
-    d = points.join(o, [*keys, ring]).withColumn("d", distance(xyz(), xyz("o"))).groupBy(*keys, ring, "idx").agg(F.min("d").alias("d"))
+    o = points.withColumn(ring, F.col(ring) - 1)
+    d = nearest(points, o, (*keys, ring))
     return d.groupBy(*keys, ring).agg(F.min("d").alias("min"), F.avg("d").alias("mean"), F.max("d").alias("max"), F.min(F.struct("d", "idx"))["idx"].alias("idx_min"), (-F.max(F.struct(F.col("d"), (-F.col("idx")).alias("neg")))["neg"]).alias("idx_max"))
 
 
@@ -122,16 +200,16 @@ def edge_midpoint(path: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def band_neighbours(points: DataFrame, lo: float, hi: float, k: int, keys: Sequence[str], side: str = "side") -> DataFrame:
     """The k nearest points of the same key and another side at a distance between lo and hi."""
-    j = points.join(_renamed(points, keys), list(keys)).filter(F.col(side) != F.col("o" + side)).withColumn("d", distance(xyz(), xyz("o"))).filter((F.col("d") > lo) & (F.col("d") < hi))
+    j = within(points, points, keys, hi).filter(F.col(side) != F.col("o" + side)).withColumn("d", distance(xyz(), xyz("o"))).filter((F.col("d") > lo) & (F.col("d") < hi))
     w = Window.partitionBy(*keys, "idx").orderBy("d", "oidx")
     return j.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(*keys, "idx", "oidx", "d", "rank")
 
 
 def link_slices(points: DataFrame, max_dist: float, slice_: str = "slice", step: int = 1) -> DataFrame:
     """Pairs of points of slice s and s + step within an L1 distance; those without one get oidx null."""
-    o = _renamed(points.withColumn(slice_, F.col(slice_) - step), (slice_,))
+    o = points.withColumn(slice_, F.col(slice_) - step)
     near = (F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))) <= max_dist
-    linked = points.join(o, slice_).filter(near).select(slice_, "idx", "oidx")
+    linked = within(points, o, (slice_,), max_dist, ("x", "y")).filter(near).select(slice_, "idx", "oidx")
     alone = points.join(linked.select(slice_, "idx").distinct(), [slice_, "idx"], "left_anti").select(slice_, "idx", F.lit(None).cast("long").alias("oidx"))
     return linked.unionByName(alone)
 
@@ -146,7 +224,7 @@ def relink(points: DataFrame, max_dist: float, slice_: str = "slice") -> DataFra
 
 def merge_close(points: DataFrame, tol: float, keys: Sequence[str]) -> DataFrame:
     """Midpoints of pairs nearer than tol, and the points without a partner."""
-    j = points.join(_renamed(points, keys), list(keys)).filter("idx <> oidx").withColumn("d", distance(xyz(), xyz("o"))).filter(F.col("d") < tol)
+    j = within(points, points, keys, tol).filter("idx <> oidx").withColumn("d", distance(xyz(), xyz("o"))).filter(F.col("d") < tol)
     middles = j.filter("idx < oidx").select(*keys, "idx", "oidx", *[((F.col(a) + F.col(f"o{a}")) / 2).alias(a) for a in AXES])
     alone = points.join(j.select(*keys, "idx").distinct(), [*keys, "idx"], "left_anti").select(*keys, "idx", F.lit(None).cast("long").alias("oidx"), *AXES)
     return middles.unionByName(alone)
@@ -158,9 +236,8 @@ def remove_points(points: DataFrame, gone: DataFrame, on: Sequence[str]) -> Data
 
 def distance_measure(points: DataFrame, others: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     """Weighted distance to the n nearest points; weights fall from 1 by 1/n."""
-    j = points.join(_renamed(others, keys), list(keys)).withColumn("d", distance(xyz(), xyz("o")))
-    w = Window.partitionBy(*keys, "idx").orderBy("d", "oidx")
-    return j.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).groupBy(*keys, "idx").agg(F.sum(F.col("d") * (1.0 - (F.col("k") - 1) / F.lit(float(n)))).alias("measure"))
+    weight = 1.0 - (F.col("rank") - 1) / F.lit(float(n))
+    return k_nearest(points, others, keys, n).groupBy(*keys, "idx").agg(F.sum(F.col("d") * weight).alias("measure"))
 
 
 def anatomical_extremes(points: DataFrame, keys: Sequence[str]) -> DataFrame:

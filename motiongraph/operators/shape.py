@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,25 +150,49 @@ def sample_ellipse(ellipses: DataFrame, n: int) -> DataFrame:
     return e.withColumns({"px": F.col("x") + u * F.cos("phi") - v * F.sin("phi"), "py": F.col("y") + u * F.sin("phi") + v * F.cos("phi")})
 
 
-def convex_hull(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Corners of the hull of 2-D points, counter-clockwise from the smallest (x, y): monotone chains inside the row."""
-    pts = F.array_sort(F.collect_set(F.struct("x", "y")))
-    turn = lambda o, a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
-
-    def chain(src):
-        def put(acc, p):
-            # points that do not turn left are the end of the chain from the first such place on
-            n = F.size(acc)
-            idx = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-            keep = F.aggregate(F.reverse(idx), n, lambda k, i: F.when((k == i + 1) & (n >= 2) & (turn(F.element_at(acc, i), F.element_at(acc, i + 1), p) <= 0), i).otherwise(k))
-            return F.array_append(F.slice(acc, F.lit(1), keep), p)
-
-        return F.aggregate(src, F.array().cast("array<struct<x:double,y:double>>"), put)
-
-    g = points.groupBy(*keys).agg(pts.alias("pts"))
-    g = g.withColumns({"low": chain(F.col("pts")), "up": chain(F.reverse("pts"))})
-    hull = F.concat(F.slice("low", F.lit(1), F.greatest(F.size("low") - 1, F.lit(1))), F.slice("up", F.lit(1), F.greatest(F.size("up") - 1, F.lit(0))))
-    return g.select(*keys, F.posexplode(F.when(F.size("pts") < 3, F.col("pts")).otherwise(hull)).alias("k", "p")).select(*keys, F.col("k").cast("long").alias("k"), "p.x", "p.y")
+def _hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the hull of distinct points (n, 2), counter-clockwise from the smallest: the farthest point right of a
+    side splits it, until no point lies beyond any side."""
+    lo, hi = p[np.lexsort((p[:, 1], p[:, 0]))[[0, -1]]]
+    corners, open_ = [], [(lo, hi, p), (hi, lo, p)][::-1]
+    while open_:
+        a, b, rest = open_.pop()
+        side = b - a
+        off = side[1] * (rest[:, 0] - a[0]) - side[0] * (rest[:, 1] - a[1])  # positive right of the way from a to b
+        rest, off = rest[off > 0], off[off > 0]
+        if not len(rest):
+            corners.append(a)
+            continue
+        far = rest[off == off.max()]
+        c = far[np.argmax(far @ side)]  # of several the last on the way, the others then lie on a side
+        open_ += [(c, b, rest), (a, c, rest)]
+    return np.array(corners) if (lo != hi).any() else lo[None]
+
+
+def convex_hull(points: DataFrame, keys: Sequence[str], share: int = 1 << 16) -> DataFrame:
+    """Corners (keys, k, x, y) of the hull of 2-D points, counter-clockwise from the smallest (x, y).
+
+    A hull of partial hulls: a key's points are dealt to shares of about ``share``
+    points, of each only the corners go on, and they are dealt again to fewer
+    shares until each key has one. So the last task of a key holds no more than
+    corners of shares, however many points the key has. Null coordinates are skipped.
+    """
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def corners(g: pa.Table) -> pa.Table:
+        p = np.unique(np.stack([g["x"].to_numpy(), g["y"].to_numpy()], 1) + 0.0, axis=0)
+        h = _hull(p)
+        same = pa.array(np.zeros(len(h), np.int64))
+        return pa.table({c: g[c].take(same) for c in keys} | {"k": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
+
+    left = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    most = left.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shares = -(-most // share)
+    while shares > 1:
+        deal = F.pmod(F.xxhash64("x", "y"), F.lit(shares)).alias("_share")
+        left = left.groupBy(*keys, deal).applyInArrow(corners, f"{kinds}, k long, x double, y double").drop("k")
+        shares = shares // 64
+    return left.groupBy(*keys).applyInArrow(corners, f"{kinds}, k long, x double, y double")
 
 
 # Meshes: face (mesh_id, f, v1, v2, v3), vertex (v, x, y, z)

@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,43 +203,49 @@ def resample_at(signal: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS)
     return seen.select(*keys, F.col("_at").alias("_t"), *rest, value.alias("_value")).withColumnsRenamed({"_t": "t", "_value": "value"})
 
 
+#: Samples that are transformed together.
+BLOCK = 1 << 17
+
+
 def _fourier(points: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Discrete Fourier transforms of complex columns re<c>, im<c> at j < size; missing rows are zero.
 
     points: keys, size (a power of two), j and the columns. The size is cut in
     two factors p * q with p the larger or both equal: columns j = a * p + b are
-    transformed over a, twiddled, then over b, so a task holds about the square
-    root of the size. k = k1 + q * k2 takes the place of j.
+    transformed over a, twiddled, then over b. k = k1 + q * k2 takes the place of
+    j. A task transforms a block of columns at once, as one array of about BLOCK
+    samples, or one column, the root of the size, if that is longer.
     """
     q = F.pow(F.lit(2.0), F.floor(F.log2("size") / 2 + 1e-9)).cast("long")
     values = [f"{part}{c}" for c in columns for part in ("re", "im")]
-    head = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    tail = "size long, p long, q long, j long, " + ", ".join(f"{v} double" for v in values)
-    schema = f"{head}, {tail}" if head else tail
-
-    def line(first: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(g: pd.DataFrame) -> pd.DataFrame:
-            size, p, q = (int(g[c].iat[0]) for c in ("size", "p", "q"))
-            j = g["j"].to_numpy()
+    schema = ", ".join([*(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys), "size long", "p long", "q long", "j long", *(f"{v} double" for v in values)])
+
+    def lines(first: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(g: pa.Table) -> pa.Table:
+            size, p, q = (g[c][0].as_py() for c in ("size", "p", "q"))
             # j is a * p + b before the first step and b * q + k1 before the second
             length, width = (q, p) if first else (p, q)
-            at, rest = j // width, int(j[0] % width)
-            out = {k: [g[k].iat[0]] * length for k in keys} | {"size": size, "p": p, "q": q}
+            at, rest = np.divmod(g["j"].to_numpy(), width)
+            many = max(1, BLOCK // length)
+            base = int(rest[0]) // many * many
+            row = base + np.arange(min(many, width - base))[:, None]
             k = np.arange(length)
-            out["j"] = rest * q + k if first else rest + q * k
-            turn = np.exp(-2j * np.pi * rest * k / size) if first else 1.0
+            turn = np.exp(-2j * np.pi * (row * k % size) / size) if first else 1.0
+            out = {"j": (row * q + k if first else row + q * k).ravel()}
             for c in columns:
-                x = np.zeros(length, complex)
-                x[at] = g[f"re{c}"].to_numpy() + 1j * g[f"im{c}"].to_numpy()
-                y = np.fft.fft(x) * turn
-                out[f"re{c}"], out[f"im{c}"] = y.real, y.imag
-            return pd.DataFrame(out)
+                x = np.zeros((len(row), length), complex)
+                x[rest - base, at] = g[f"re{c}"].to_numpy() + 1j * g[f"im{c}"].to_numpy()
+                y = np.fft.fft(x, axis=1) * turn
+                out[f"re{c}"], out[f"im{c}"] = y.real.ravel(), y.imag.ravel()
+            same = pa.array(np.zeros(len(out["j"]), np.int64))
+            return pa.table({c: g[c].take(same) for c in (*keys, "size", "p", "q")} | out)
 
         return run
 
     x = points.withColumn("q", q).withColumn("p", F.expr("size div q")).select(*keys, "size", "p", "q", "j", *values)
-    x = x.groupBy(*keys, (F.col("j") % F.col("p")).alias("at")).applyInPandas(line(True), schema)
-    return x.groupBy(*keys, (F.col("j") % F.col("q")).alias("at")).applyInPandas(line(False), schema).drop("p", "q")
+    block = lambda width, length: F.floor((F.col("j") % F.col(width)) / F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col(length)))).alias("at")
+    x = x.groupBy(*keys, block("p", "q")).applyInArrow(lines(True), schema)
+    return x.groupBy(*keys, block("q", "p")).applyInArrow(lines(False), schema).drop("p", "q")
 
 
 def dominant_frequency(signal: DataFrame, rate: float, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -25,6 +25,14 @@ def s1(spark, d):
     return _names(spark, d).select("page_id", *io.parse_scan_name(F.col("name")))
 
 
+@query("s1_scan_catalog_stored", "", f"WITH {NAMES} SELECT DISTINCT split_part(name, '_', 1) AS patient, split_part(name, '_', 2) AS timepoint, split_part(name, '_', 3) AS crop, replace(split_part(name, '_', 4), '.ssdf', '') AS kind FROM nm")
+def s1_stored(spark, d):
+    """The catalog of scans that a sink has stored, a folder each."""
+    path = io.new_folder(spark, "scans")
+    _names(spark, d).write.partitionBy("name").parquet(path)
+    return io.scan_catalog(spark, path).filter("bytes > 0").select("patient", "timepoint", "crop", "kind")
+
+
 @query("s3_phase_from_text", "", f"WITH {NAMES} SELECT page_id, CAST(regexp_extract(series, '([0-9]+)%', 1) AS INTEGER) AS phase FROM nm")
 def s3(spark, d):
     return _names(spark, d).select("page_id", io.phase_from_text(F.col("series")).alias("phase"))
@@ -36,18 +44,30 @@ def s4(spark, d):
     return io.rename_manifest(f).select("page_id", "new_name")
 
 
-@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * CASE z % 2 WHEN 0 THEN 0.5 ELSE 0.75 END + 1')} FROM voxel")
-def s5(spark, d):
-    """Two scans, stored by patient and time point, and read back with their sampling."""
+def _stored_voxels(spark, d):
+    """Two scans, stored by patient and time point; their folder and their sampling."""
     path = io.new_folder(spark, "voxels")
     v = t.voxel(spark, d).withColumn("scan_id", F.concat(F.lit("s"), F.col("z") % 2)).withColumns({"patient": F.col("scan_id"), "timepoint": F.lit("1month")})
     v.write.partitionBy("patient", "timepoint").parquet(path)
     zyx = lambda *c: F.struct(*[x.cast("double").alias(a) for x, a in zip(c, "zyx")])
     one = F.lit(1.0)
-    scan = v.select("scan_id").distinct().select("scan_id", zyx(F.when(F.col("scan_id") == "s0", 0.5).otherwise(0.75), one, one).alias("sampling"), zyx(one, one, one).alias("origin"))
+    return path, v.select("scan_id").distinct().select("scan_id", zyx(F.when(F.col("scan_id") == "s0", 0.5).otherwise(0.75), one, one).alias("sampling"), zyx(one, one, one).alias("origin"))
+
+
+@query("s5_read_voxels", "voxel", f"SELECT z, y, x, {r(wz='z * CASE z % 2 WHEN 0 THEN 0.5 ELSE 0.75 END + 1')} FROM voxel")
+def s5(spark, d):
+    """Two scans, read back with their sampling."""
+    path, scan = _stored_voxels(spark, d)
     return io.read_voxels(spark, path, scan).select("z", "y", "x", (F.col("z") * F.col("sampling.z") + F.col("origin.z")).alias("wz"))
 
 
+@query("s5_read_voxels_pruned", "voxel", f"SELECT z, y, x, {r(wz='z * 0.75 + 1')} FROM voxel WHERE z % 2 = 1")
+def s5_pruned(spark, d):
+    """One scan of two; the other's files are not read."""
+    path, scan = _stored_voxels(spark, d)
+    return io.read_voxels(spark, path, scan, F.col("patient") == "s1").select("z", "y", "x", (F.col("z") * F.col("sampling.z") + F.col("origin.z")).alias("wz"))
+
+
 @query("s6_read_graph", "edge", f"SELECT scan_id, n1, n2, {r(cost='cost', ctvalue='ctvalue')} FROM edge")
 def s6(spark, d):
     """Edges of a stored graph."""

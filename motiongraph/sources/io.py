@@ -55,9 +55,15 @@ def parse_scan_name(name: Column) -> list[Column]:
 
 
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stored file below a path, with what its name says; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", *parse_scan_name(F.col("path")))
+    """One row per stored scan below a path: path, files, bytes and what its name says; contents are not read.
+
+    A scan is a file, or a folder of part files as a distributed sink writes it
+    (also one of a partition, column=name).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    scan = F.regexp_replace("path", r"/(part-|_)[^/]*$", "")
+    scans = files.groupBy(scan.alias("path")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return scans.select("path", "files", "bytes", *parse_scan_name(F.regexp_replace("path", r"/[^/=]*=([^/]*)$", "/$1")))
 
 
 def phase_from_text(c: Column) -> Column:
