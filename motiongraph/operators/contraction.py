@@ -3,20 +3,64 @@
 In a round every node goes over to the neighbour, or itself, that comes first in
 a random order of the round; equal links merge and links inside a node vanish.
 What has no link left is settled and takes no part any more, so tables shrink
-round by round, on a chain to a half. Each round's step is kept as a table, and
-the labels run back through the steps, the smallest table first.
+round by round, on a chain to a half; once the links left are counted to be at
+most SMALL, one task settles them. Each round's step is kept as a table, and the
+labels run back through the steps, the smallest table first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from random import Random
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import checkpointed, released
 
 
+#: Links that one task may settle.
+SMALL = 1 << 18
+
+
+def _settled(batches):
+    """(keys, node, to) of all nodes of links (keys, u, v): the first of each component, by joining trees."""
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+    up, held, schema = {}, {}, None
+
+    def top(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for b in batches:
+        schema = b.schema
+        for *key, u, v in zip(*(c.to_pylist() for c in b.columns)):
+            ends = []
+            for x in (u, v):
+                n = (*key, plain(x))
+                held.setdefault(n, x)
+                up.setdefault(n, n)
+                ends.append(top(n))
+            up[max(ends)] = min(ends)
+    nodes = list(up)
+    for lo in range(0, len(nodes), 10_000):
+        some = nodes[lo : lo + 10_000]
+        cols = [pa.array([n[k] for n in some], f.type) for k, f in enumerate(list(schema)[:-2])]
+        cols += [pa.array([held[n] for n in some], schema.field("u").type), pa.array([held[top(n)] for n in some], schema.field("u").type)]
+        yield pa.RecordBatch.from_arrays(cols, [*schema.names[:-2], "node", "to"])
+
+
+def _order(kind: str, turn: int) -> tuple[Callable[[str], Column], Callable[[Column], Column]]:
+    """The order of a round: what stands for a node in it, and the node again."""
+    if kind == "bigint":  # numbers stay numbers, whose minima need no sort
+        r = Random(turn).getrandbits(62) | 1
+        return lambda c: F.col(c).bitwiseXOR(F.lit(r)), lambda x: x.bitwiseXOR(F.lit(r))
+    return lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n")), lambda x: x["n"]
+
+
 def _relabelled(links: DataFrame, step: DataFrame, keys: Sequence[str]) -> DataFrame:
     for end in ("u", "v"):
         links = links.join(step.select(*keys, F.col("node").alias(end), F.col("to").alias(f"{end}_to")), [*keys, end])
@@ -26,13 +70,16 @@ def _relabelled(links: DataFrame, step: DataFrame, keys: Sequence[str]) -> DataF
 
 def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, label) of every node of links (keys, u, v): the smallest node reachable. Loops and repeats are fine."""
+    kinds = ", ".join(f"{c} {links.schema[x].dataType.simpleString()}" for c, x in (*((k, k) for k in keys), ("node", "u"), ("to", "u")))
     live = checkpointed(links.filter("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     first = live.select(*keys, F.col("u").alias("node")).union(live.select(*keys, "v")).distinct()
     least, steps = first.withColumn("label", F.col("node")), []
-    while not live.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+    while n := live.count():
+        rank, named = _order(links.schema["u"].dataType.simpleString(), len(steps))
         both = live.select(*keys, F.col("u").alias("node"), rank("v").alias("r")).union(live.select(*keys, F.col("v").alias("node"), rank("u").alias("r")))
-        to = both.groupBy(*keys, "node").agg(F.min("r").alias("r")).select(*keys, "node", F.least(F.col("r"), rank("node"))["n"].alias("to"))
+        to = both.groupBy(*keys, "node").agg(F.min("r").alias("r")).select(*keys, "node", named(F.least(F.col("r"), rank("node"))).alias("to"))
+        if n <= SMALL:
+            to = live.coalesce(1).mapInArrow(_settled, kinds)
         step = checkpointed(to.join(least, [*keys, "node"]))
         steps.append(step)
         now = checkpointed(_relabelled(live, step, keys))
@@ -51,7 +98,7 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def components(edge: DataFrame, node: DataFrame | None = None, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """(keys, node_id, component): the smallest node reachable, of the nodes of edge and node."""
-    ends = edge.select(*keys, "n1", "n2")
+    ends = checkpointed(edge.select(*keys, "n1", "n2"))
     ids = ends.select(*keys, F.explode(F.array("n1", "n2")).alias("node_id"))
     if node is not None:
         ids = ids.union(node.select(*keys, "node_id"))

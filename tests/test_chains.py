@@ -119,7 +119,9 @@ def test_midpoint_lies_on_the_chain(spark):
     assert [(r["n1"], r["n2"], r["x"], r["y"]) for r in chains.peak_valley_midpoints(e, n).collect()] == [(1, 5, 2.0, 1.0)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(contraction, "SMALL", small)
     rng = random.Random(6)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (3000, 3000)]
     label = {n: n for p in pairs for n in p}
