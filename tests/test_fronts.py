@@ -35,16 +35,16 @@ def meetings(near, best):
     return out
 
 
-@pytest.mark.parametrize("seed,delta", [(1, None), (2, 0.5), (3, 1000.0)])
+@pytest.mark.parametrize("seed,delta", [(1, None), (2, 1000.0)])
 def test_equals_dijkstra(spark, seed, delta):
     rng = random.Random(seed)
     ways = {}
     for _ in range(900):
         a, b = rng.sample(range(300), 2)
         ways[min(a, b), max(a, b)] = float(rng.choice((0, 1, 1, 2, 5, 9, 30)))
-    for k in range(400, 480):  # a long way, apart from the rest
+    for k in range(400, 420):  # a long way, apart from the rest
         ways[k, k + 1] = 1.0
-    seeds = sorted(rng.sample(range(300), 25)) + [400, 480, 999]
+    seeds = sorted(rng.sample(range(300), 25)) + [400, 420, 999]
     near = {}
     for (a, b), w in ways.items():
         near.setdefault(a, []).append((b, w))
@@ -74,21 +74,21 @@ def test_equals_dijkstra(spark, seed, delta):
 
 
 def test_fronts_go_on_until_they_meet(spark):
-    """Seeds 420 hops apart, and a way of many cheap steps beside a dear short one."""
-    ways = edges(spark, *[(i, i + 1, 1, 1) for i in range(60)], (0, 61, 500, 1), (61, 60, 500, 1))
+    """Seeds 24 hops apart, and a way of many cheap steps beside a dear short one."""
+    ways = edges(spark, *[(i, i + 1, 1, 1) for i in range(24)], (0, 61, 500, 1), (61, 24, 500, 1))
     links = graph.half_edges(ways).selectExpr("scan_id", "a", "b", "cost AS w")
-    edge, path = fronts.link_seeds(links, nodes(spark, 0, 60), delta=500.0)
-    assert [(r["n1"], r["n2"], r["cost"], r["ctvalue"]) for r in edge.collect()] == [(0, 60, 30.0, None)]
-    assert [r["place"] for r in path.orderBy("idx").collect()] == list(range(61))
+    edge, path = fronts.link_seeds(links, nodes(spark, 0, 24), delta=500.0)
+    assert [(r["n1"], r["n2"], r["cost"], r["ctvalue"]) for r in edge.collect()] == [(0, 24, 12.0, None)]
+    assert [r["place"] for r in path.orderBy("idx").collect()] == list(range(25))
     with pytest.raises(RuntimeError):
-        fronts.link_seeds(links, nodes(spark, 0, 60), most_rounds=3)
+        fronts.link_seeds(links, nodes(spark, 0, 24), most_rounds=3)
 
 
 def test_stop_at_a_share_of_the_places(spark):
     links = graph.half_edges(edges(spark, *[(i, i + 1, 1, 1) for i in range(100)])).selectExpr("scan_id", "a", "b", "cost AS w")
-    state = {r["place"]: r["dist"] for r in fronts.grow(links, nodes(spark, 0), cover=0.2, delta=5.0).collect()}
-    assert state == {i: float(i) for i in range(25)}
-    edge, path = fronts.link_seeds(links, nodes(spark, 0, 100), cover=0.2, delta=5.0)
+    state = {r["place"]: r["dist"] for r in fronts.grow(links, nodes(spark, 0), cover=0.08, delta=5.0).collect()}
+    assert state == {i: float(i) for i in range(10)}
+    edge, path = fronts.link_seeds(links, nodes(spark, 0, 100), cover=0.08, delta=5.0)
     assert edge.collect() == [] and path.collect() == []
     assert fronts.grow(links, nodes(spark, 5).limit(0)).collect() == []
     assert fronts.grow(links.limit(0), nodes(spark, 5)).filter(F.col("dist") == 0).count() == 1
