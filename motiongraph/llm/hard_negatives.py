@@ -228,13 +228,14 @@ def _searched(k: int, levels: int, slots: int):
 
 def _tiles(anchors: DataFrame, blocks: DataFrame, n_anchors: int) -> DataFrame:
     """Each block of anchors beside each block of rows, once. Rows are dealt to groups and anchors go to every
-    group; where there are many anchors, sets of HELD blocks have tasks of their own."""
+    group; where there are many anchors, sets of HELD blocks have tasks of their own. Both sides are shuffled: Spark's
+    estimate of the anchors leaves out that each is repeated for every group, so it would broadcast them."""
     groups = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sets = max(1, -(-n_anchors // (ANCHORS * HELD)))
     part = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     left = anchors.withColumn("set", part(sets, "ids")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumnsRenamed({c: f"a_{c}" for c in anchors.columns if c != "dim"})
     right = blocks.withColumn("part", part(groups, "ids")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    return right.join(left, ["dim", "set", "part"])
+    return right.join(left.hint("merge"), ["dim", "set", "part"])
 
 
 def _top(found: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
@@ -286,9 +287,9 @@ def mine_negatives(
     best = cut(near.selectExpr("anchor_id", "CAST(rank - 1 AS LONG) AS slot", "id AS positive_id", "score AS positive_score"), "negatives-positives")
     made.append(best)
     listed = best.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "positive_score"))), lambda x: x["positive_score"]).alias("scores"))
-    bound = chosen.join(listed.withColumnRenamed("anchor_id", "id"), "id").select("id", "label", "comp", "scores")
+    bound = chosen.join(listed.withColumnRenamed("anchor_id", "id").hint("merge"), "id").select("id", "label", "comp", "scores")
     hard = _top(searched(bound, negatives, (low, high)), ("anchor_id", "slot"), negatives)
-    mined = hard.join(best, ["anchor_id", "slot"]).selectExpr("anchor_id", "positive_id", "rank", "id AS negative_id", "positive_score", "score AS negative_score")
+    mined = hard.join(best.hint("merge"), ["anchor_id", "slot"]).selectExpr("anchor_id", "positive_id", "rank", "id AS negative_id", "positive_score", "score AS negative_score")
     mined = cut(mined, "negatives")
     discard(*made)
     return mined

@@ -97,3 +97,10 @@ def test_intervals_hold():
 
 def test_query_equals_sql(spark, duck):
     same(hn.op12_hard_negatives(spark, f"{DATA}/sf0.001"), duck.execute(hn.OP12_SQL).df())
+
+
+def test_no_side_is_broadcast(spark):
+    """Anchors are repeated for every group, which Spark's estimate of their size leaves out."""
+    anchors, blocks = (spark.createDataFrame([(8, 1, *[b""] * 7)], hn.BLOCK) for _ in range(2))
+    plan = hn._tiles(anchors, blocks, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
