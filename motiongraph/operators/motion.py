@@ -127,14 +127,19 @@ def node_angle_change(edge: DataFrame, node: DataFrame, motion: DataFrame, keys:
 
     edge (keys, n1, n2), node (keys, node_id, x, y, z), motion (keys, node_id, phase, dx, dy, dz).
     """
-    from .graph import neighbour_pairs
+    from .graph import half_edges
 
     k = list(keys)
     rest = node.join(motion, [*k, "node_id"])
     posed = rest.select(*k, "node_id", "phase", *[(F.col(a) + F.col(d)).alias(a) for a, d in zip("xyz", MOVES)], *[F.col(a).alias(f"r{a}") for a in "xyz"])
     named = lambda n, p: posed.select(*k, F.col("node_id").alias(n), "phase", *[F.col(c).alias(p + c) for c in ("x", "y", "z", "rx", "ry", "rz")])
-    j = neighbour_pairs(edge, keys).join(named("node", "n"), [*k, "node"]).join(named("a", "a"), [*k, "a", "phase"]).join(named("b", "b"), [*k, "b", "phase"])
-    at = lambda r: angle(sub(xyz("a" + r), xyz("n" + r)), sub(xyz("b" + r), xyz("n" + r)))
+    half = half_edges(edge.filter("n1 <> n2").select(*k, "n1", "n2").distinct(), keys).withColumnsRenamed({"a": "node", "b": "far"})
+    # arms go to their node once; its pairs of arms meet there and are reduced at once
+    arm = half.join(named("far", "f"), [*k, "far"]).join(named("node", "n"), [*k, "node", "phase"])
+    arm = arm.select(*k, "node", "phase", "far", *[c.alias(f"u{r}{a}") for r in ("", "r") for a, c in zip("xyz", sub(xyz("f" + r), xyz("n" + r)))])
+    other = arm.select(*k, "node", "phase", F.col("far").alias("ofar"), *[F.col(f"u{r}{a}").alias(f"v{r}{a}") for r in ("", "r") for a in "xyz"])
+    at = lambda r: angle(xyz("u" + r), xyz("v" + r))
+    j = arm.join(other, [*k, "node", "phase"]).filter("far < ofar")
     return j.withColumn("change", F.degrees(F.abs(at("") - at("r")))).groupBy(*k, F.col("node").alias("node_id")).agg(F.max("change").alias("change"))
 
 
