@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import angle, cross, distance, norm, sub, xyz
+from ..sources.io import checkpointed
 
 KEYS = ("path_id",)
 AXES = ("x", "y", "z")
@@ -174,15 +175,48 @@ def path_ends(path: DataFrame, keys: Sequence[str] = KEYS, axis: str = "z") -> D
     return e.select(*keys, F.when(low, F.col("first")).otherwise(F.col("last")).alias("proximal"), F.when(low, F.col("last")).otherwise(F.col("first")).alias("distal"))
 
 
+#: Points looked at first on each side, and points of a block beyond.
+NEAR, BLOCK = 16, 256
+
+
+def _first_beyond(path: DataFrame, arm: float, keys: Sequence[str], back: bool) -> DataFrame:
+    """(keys, n, far): the first point before (back) or after each at distance arm or more; points without one have no row.
+
+    path (keys, n, x, y, z), n from 0 along the path. Close points come first; the others look at blocks farther and
+    farther off, in steps that double, and within them at those blocks whose box reaches beyond the arm.
+    """
+    point = F.struct("n", *AXES)
+    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(*((-NEAR, -1) if back else (1, NEAR)))
+    hits = F.filter("near", lambda q: distance(xyz(), tuple(q[a] for a in AXES)) >= arm)
+    seen = path.withColumn("near", F.collect_list(point).over(w)).withColumn("hits", hits)
+    seen = checkpointed(seen.select(*keys, "n", *AXES, F.floor(F.col("n") / BLOCK).alias("block"), F.get("hits", (F.size("hits") - 1) if back else F.lit(0)).alias("far")))
+    done, left = seen.filter("far IS NOT NULL").select(*keys, "n", "far"), seen.filter("far IS NULL").drop("far")
+    others = seen.select(*keys, F.col("block").alias("to"), F.struct("n", *AXES).alias("o"))
+    box = checkpointed(seen.groupBy(*keys, F.col("block").alias("to")).agg(*[f(a).alias(n + a) for a in AXES for n, f in (("lo_", F.min), ("hi_", F.max))]))
+    last = box.groupBy(*keys).agg(F.max("to").alias("last"))
+    first = 0
+    while not left.isEmpty():
+        span = max(first, 1)  # blocks 0, 1, 2-3, 4-7, ... off
+        off = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + span - 1).cast("long")))
+        tried = left.select("*", off.alias("off")).withColumn("to", F.col("block") - F.col("off") if back else F.col("block") + F.col("off"))
+        corner = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(a) - F.col("lo_" + a)), F.abs(F.col(a) - F.col("hi_" + a))), F.lit(2.0)) for a in AXES))
+        met = tried.join(box, [*keys, "to"]).filter(corner >= arm * (1 - 1e-9)).join(others, [*keys, "to"])
+        side = F.col("o.n") < F.col("n") if back else F.col("o.n") > F.col("n")
+        met = met.filter(side & (distance(xyz(), xyz("o.")) >= arm))
+        found = checkpointed(met.groupBy(*keys, "n").agg((F.max if back else F.min)("o").alias("far")))
+        done, first = done.unionByName(found), first + span
+        more = F.col("block") - first >= 0 if back else F.col("block") + first <= F.col("last")
+        left = checkpointed(left.join(found, [*keys, "n"], "left_anti").join(last, list(keys)).filter(more).drop("last"))
+    return done
+
+
 def _reach(path: DataFrame, arm: float, keys: Sequence[str]) -> DataFrame:
-    """For each point the first point before and after it at distance arm or more."""
-    o = path.select(*keys, F.col("idx").alias("j"), *[F.col(a).alias(f"o{a}") for a in AXES])
-    pairs = path.join(o, list(keys)).filter(distance(xyz(), xyz("o")) >= arm)
-    other = F.struct(*[F.col(f"o{a}").alias(a) for a in AXES])
-    return pairs.groupBy(*keys, "idx", *AXES).agg(
-        F.max_by(F.when(F.col("j") < F.col("idx"), other), F.when(F.col("j") < F.col("idx"), F.col("j"))).alias("before"),
-        F.min_by(F.when(F.col("j") > F.col("idx"), other), F.when(F.col("j") > F.col("idx"), F.col("j"))).alias("after"),
-    )
+    """For each point the first point before and after it at distance arm or more, null where there is none."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1
+    p = checkpointed(path.select(*keys, "idx", *AXES).withColumn("n", n.cast("long")))
+    for back, name in ((True, "before"), (False, "after")):
+        p = p.join(_first_beyond(p.select(*keys, "n", *AXES), arm, keys, back).withColumnRenamed("far", name), [*keys, "n"], "left")
+    return p.drop("n")
 
 
 def arm_angles(path: DataFrame, arm: float, keys: Sequence[str] = KEYS) -> DataFrame:
