@@ -27,15 +27,20 @@ def grow(links: DataFrame, seeds: DataFrame, keys: Sequence[str] = KEYS, cover:
     links (keys, a, b, w >= 0) lead from a to b; seeds (keys, node_id). prev is
     null at seeds. Fronts stop when nothing changes, or at the first limit below
     which the share ``cover`` of the places is settled; what is not settled then
-    is left out. delta is by default the mean cost of a link. A round takes two
-    joins; rounds beyond ``most_rounds`` are an error.
+    is left out. delta is by default four times the mean cost of a link. A round
+    takes two joins; rounds beyond ``most_rounds`` are an error. Links that cost
+    more than the cheapest one from a seed to their end are left out from the
+    start, as no way over them can be the least.
     """
     ways = checkpointed(links.select(*keys, F.col("a").alias("place"), "b", F.col("w").cast("double").alias("w")))
     if delta is None:
-        delta = ways.agg(F.avg("w")).first()[0] or 1.0
+        delta = 4 * (ways.agg(F.avg("w")).first()[0] or 0.25)
     places = ways.select(*keys, "place").union(ways.select(*keys, "b")).distinct().count() if cover < 1 else None
     none = F.lit(None).cast("long")
     state = checkpointed(seeds.select(*keys, F.col("node_id").cast("long").alias("place"), F.lit(0.0).alias("dist"), F.col("node_id").cast("long").alias("label"), none.alias("prev"), F.lit(True).alias("moved")).distinct())
+    first = seeds.select(*keys, F.col("node_id").cast("long").alias("place")).distinct()
+    near = ways.join(first, [*keys, "place"]).select(*keys, "b", "w").unionByName(first.select(*keys, F.col("place").alias("b"), F.lit(0.0).alias("w"))).groupBy(*keys, "b").agg(F.min("w").alias("most"))
+    ways = checkpointed(ways.join(near, [*keys, "b"], "left").filter("most IS NULL OR w <= most").select(*keys, "place", "b", "w"))
     limit, rounds = delta, 0
     while True:
         waiting = state.filter("moved").agg(F.min("dist")).first()[0]

@@ -92,3 +92,14 @@ def test_stop_at_a_share_of_the_places(spark):
     assert edge.collect() == [] and path.collect() == []
     assert fronts.grow(links, nodes(spark, 5).limit(0)).collect() == []
     assert fronts.grow(links.limit(0), nodes(spark, 5)).filter(F.col("dist") == 0).count() == 1
+
+
+def test_links_that_cannot_be_least_are_left_out(spark, monkeypatch):
+    """Links dearer than the cheapest one from a seed to their end; equal ones stay, as the smaller seed counts."""
+    e = edges(spark, (1, 5, 3, 1), (2, 5, 3, 1), (5, 6, 9, 1), (6, 7, 4, 1), (1, 7, 2, 1), (2, 6, 5, 1))
+    links = graph.half_edges(e).selectExpr("scan_id", "a", "b", "cost AS w")
+    real, ways = fronts.checkpointed, []
+    monkeypatch.setattr(fronts, "checkpointed", lambda df: (ways.append(sorted((r["place"], r["b"]) for r in df.collect())) if df.columns == ["scan_id", "place", "b", "w"] else None, real(df))[1])
+    state = {r["place"]: (r["dist"], r["label"]) for r in fronts.grow(links, nodes(spark, 1, 2)).collect()}
+    assert state == {1: (0, 1), 2: (0, 2), 5: (3, 1), 6: (5, 2), 7: (2, 1)}
+    assert ways[-1] == [(1, 5), (1, 7), (2, 5), (2, 6), (7, 6)]
