@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: <patient>_<time point>_<crop>_<kind>, as in the names of stored scans.
 SCAN_NAME = r"([^/_]+)_([^/_]+)_([^/_]+)_([^/_.]+)(?:\.[a-z]+)?$"
 
+#: Rows that may be broadcast.
+FEW = 1 << 18
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is set, a new local one, which only a local session can use."""
@@ -39,6 +42,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, a stored table, to be broadcast if it is counted to have at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables made by checkpointed() that nothing will read again."""
     for df in tables:
@@ -89,7 +97,9 @@ def pack_graph(node: DataFrame, edge: DataFrame, keys: Sequence[str] = ("scan_id
     """Rows (keys, block, nodes, edges): arrays of about ``size`` nodes and edges, so that large scans take many rows."""
 
     def packed(df: DataFrame, n: str) -> DataFrame:
-        blocks = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))
+        df = checkpointed(df)
+        # the counts of few keys are broadcast, so that a large scan does not meet in one task
+        blocks = few(checkpointed(df.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))))
         dealt = df.join(blocks, list(keys)).withColumn("block", F.pmod(F.xxhash64(*df.columns), F.col("blocks")))
         return dealt.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in keys]))).alias(n))
 
