@@ -11,6 +11,7 @@ labels run back through the steps, the smallest table first.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from random import Random
 
 import pyarrow as pa
@@ -72,18 +73,18 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, label) of every node of links (keys, u, v): the smallest node reachable. Loops and repeats are fine."""
     kinds = ", ".join(f"{c} {links.schema[x].dataType.simpleString()}" for c, x in (*((k, k) for k in keys), ("node", "u"), ("to", "u")))
     live = checkpointed(links.filter("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    first = live.select(*keys, F.col("u").alias("node")).union(live.select(*keys, "v")).distinct()
-    least, steps = first.withColumn("label", F.col("node")), []
+    least, steps = None, []
     while n := live.count():
         rank, named = _order(links.schema["u"].dataType.simpleString(), len(steps))
         both = live.select(*keys, F.col("u").alias("node"), rank("v").alias("r")).union(live.select(*keys, F.col("v").alias("node"), rank("u").alias("r")))
         to = both.groupBy(*keys, "node").agg(F.min("r").alias("r")).select(*keys, "node", named(F.least(F.col("r"), rank("node"))).alias("to"))
         if n <= SMALL:
             to = live.coalesce(1).mapInArrow(_settled, kinds)
-        step = checkpointed(to.join(least, [*keys, "node"]))
+        # in the first round each node is its own label
+        step = checkpointed(to.withColumn("label", F.col("node")) if least is None else to.join(least, [*keys, "node"]))
         steps.append(step)
         now = checkpointed(_relabelled(live, step, keys))
-        released(live) if len(steps) > 1 else None  # the first is read for a graph without links
+        released(live)
         live = now
         least = step.groupBy(*keys, F.col("to").alias("node")).agg(F.min("label").alias("label"))
     final = None
@@ -93,14 +94,16 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             merged = merged.join(final.withColumnsRenamed({"node": "to", "label": "later"}), [*keys, "to"], "left").select(*keys, "to", F.coalesce("later", "merged").alias("merged"))
         final = step.select(*keys, "node", "to").join(merged, [*keys, "to"]).select(*keys, "node", F.col("merged").alias("label"))
         final = final if step is steps[0] else checkpointed(final)
-    return final if final is not None else first.withColumn("label", F.col("node"))
+    return final if final is not None else live.select(*keys, F.col("u").alias("node"), F.col("u").alias("label"))
 
 
 def components(edge: DataFrame, node: DataFrame | None = None, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """(keys, node_id, component): the smallest node reachable, of the nodes of edge and node."""
     ends = checkpointed(edge.select(*keys, "n1", "n2"))
-    ids = ends.select(*keys, F.explode(F.array("n1", "n2")).alias("node_id"))
+    labels = linked_labels(ends.withColumnsRenamed({"n1": "u", "n2": "v"}), keys).withColumnRenamed("node", "node_id")
+    # linked nodes have a label; loops, ends without a key or number and the table of nodes may add others
+    links = reduce(lambda p, k: p & F.col(k).isNotNull(), keys, F.col("n1") != F.col("n2"))
+    ids = ends.filter(~F.coalesce(links, F.lit(False))).select(*keys, F.explode(F.array("n1", "n2")).alias("node_id"))
     if node is not None:
         ids = ids.union(node.select(*keys, "node_id"))
-    labels = linked_labels(ends.withColumnsRenamed({"n1": "u", "n2": "v"}), keys).withColumnRenamed("node", "node_id")
-    return ids.distinct().join(labels, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("label", "node_id").alias("component"))
+    return ids.distinct().join(labels, [*keys, "node_id"], "full").select(*keys, "node_id", F.coalesce("label", "node_id").alias("component"))
