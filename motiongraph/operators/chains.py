@@ -8,7 +8,7 @@ takes about log2 L joins, and its edges never meet in one row or task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,13 +126,19 @@ def chain_points(walk: DataFrame, node: DataFrame, path: DataFrame | None = None
     return numbered(at, [*keys, *CHAIN], ("pos", "step")).select(*keys, *CHAIN, "idx", *"xyz")
 
 
-def peak_valley_midpoints(edge: DataFrame, node: DataFrame, longest: float = 10.0, keys: Sequence[str] = KEYS, path: DataFrame | None = None) -> DataFrame:
-    """Path points nearest the chord middle of the contracted edges shorter than ``longest``, hooks left out (see chain_points)."""
+def peak_valley_midpoints(edge: DataFrame, node: DataFrame, longest: float = 10.0, keys: Sequence[str] = KEYS, path: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Path points nearest the chord middle of the contracted edges shorter than ``longest``, hooks left out (see chain_points).
+
+    path may be a function that makes the points of the edges (keys, n1, n2) given
+    to it; only those of short chains are asked for.
+    """
     _, rest = hooks(edge, keys)
-    walk = walked(checkpointed(rest), keys=keys)
+    walk = walked(rest, keys=keys)
     short = edge_lengths(pop_nodes(edge, keys=keys, walk=walk), node, keys).filter((F.col("length") < longest) & (F.col("n1") != F.col("n2"))).select(*keys, *CHAIN)
     named = ["first", "last"]  # null for a single edge
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, *CHAIN)]
-    kept = walk.alias("w").join(short.alias("s"), same, "left_semi")
+    kept = checkpointed(walk.alias("w").join(short.alias("s"), same, "left_semi"))
+    if callable(path):
+        path = checkpointed(path(kept.select(*keys, F.least("u", "v").alias("n1"), F.greatest("u", "v").alias("n2")).distinct()))
     points = chain_points(kept, node, path, keys)
     return edge_midpoint(points.withColumns({c: F.coalesce(c, F.lit(-1)) for c in named}), [*keys, *CHAIN]).drop(*named)

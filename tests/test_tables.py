@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motiongraph.operators import graph
+from motiongraph.operators import chains, graph
 from motiongraph.operators.contraction import components
 from motiongraph.sources import io
 from motiongraph.sources import tables as t
@@ -70,3 +70,28 @@ def test_components_of_loops_and_nodes_alone(spark):
 def test_lone_loops_go_and_tied_ones_stay(spark):
     e = edges(spark, [(1, 1), (2, 2), (2, 3), (4, 5)])
     assert pairs(graph.drop_lone_loops(e)) == [(2, 2), (2, 3), (4, 5)]
+
+
+def test_only_points_of_short_chains_are_made(spark):
+    # 1-2-3-1 with a hook at 3 and a long edge 3-4, 4-5-6-4; the chain between 3 and 4 is too long
+    e = edges(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (4, 6), (5, 6), (3, 9)])
+    place = {1: 0.0, 2: 1.0, 3: 2.0, 4: 99.0, 5: 100.0, 6: 101.0, 9: 3.0}
+    node = spark.createDataFrame([("s", n, x, 0.0, 0.0) for n, x in place.items()], "scan_id string, node_id long, x double, y double, z double")
+    e = e.unionByName(edges(spark, [(1, 7), (3, 7)]).select(*e.columns))
+    node = node.unionByName(spark.createDataFrame([("s", 7, 1.5, 0.0, 0.0)], node.schema))
+    asked = []
+
+    def path(some):
+        asked.extend(pairs(some))
+        step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+        return some.withColumn("idx", step).select("scan_id", "n1", "n2", "idx", *[(F.col("idx") + i).cast("double").alias(a) for i, a in enumerate("xyz")])
+
+    got = chains.peak_valley_midpoints(e, node, path=path).drop("x", "y", "z").collect()
+    assert asked and not {(3, 9), (3, 4)} & set(asked)
+    whole = chains.peak_valley_midpoints(e, node, path=path(e.select("scan_id", "n1", "n2"))).drop("x", "y", "z").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and got
+
+
+def test_what_is_no_hook_is_the_rest(spark):
+    hook, rest = graph.hooks(edges(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (5, 6), (7, 7)]))
+    assert pairs(hook) == [(3, 4), (5, 6)] and pairs(rest) == [(1, 2), (1, 3), (2, 3), (7, 7)]
