@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, plane_distance, tetra_volume, to_plane, tri_area, xyz
-from ..sources.io import checkpointed
+from ..sources.io import checkpointed, few
 from .contraction import linked_labels
 
 
@@ -248,28 +248,80 @@ def plane_section(vertex: DataFrame, face: DataFrame, plane: tuple[float, float,
     return cut.select(*keys, "a", "b", *[(F.col(f"a{c}") + F.col("s") * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"])
 
 
-def _crossing(p: str, q: str, vp: str, vq: str) -> Column:
-    """Where edge p-q meets the plane; from the lower vertex on, so that both faces of an edge get the same point."""
-    point = lambda c: F.struct(*[F.col(c + a).alias(a) for a in "xyz"])
-
-    def at(p, q):
-        s = F.col(f"d{p}") / (F.col(f"d{p}") - F.col(f"d{q}"))
-        return F.struct(*[(F.col(p + a) + s * (F.col(q + a) - F.col(p + a))).alias(a) for a in "xyz"])
-
-    return F.when(F.col(f"d{p}") == 0, point(p)).when(F.col(f"d{q}") == 0, point(q)).when(F.col(vp) < F.col(vq), at(p, q)).otherwise(at(q, p))
+def _named(points: str) -> list[str]:
+    return [p + a for p in points for a in "xyz"]
+
+
+def _cut_faces(keys: Sequence[str], rims: bool):
+    """Of faces (keys, v1 .. v3, dp .. dr, px .. rz) the triangles in front of the plane (px .. rz), or the rim segments of
+    those that cross it (ux .. wz), walked so that a lid faces away from what is kept."""
+
+    def crossing(p, q):
+        """Where edges p-q meet the plane; from the lower vertex on, so that both faces of an edge get the same point."""
+        turn = p[0] > q[0]
+        (lo, dlo), (hi, dhi) = ((np.where(turn[:, None], y[2], x[2]), np.where(turn, y[1], x[1])) for x, y in ((p, q), (q, p)))
+        at = lo + (dlo / (dlo - dhi))[:, None] * (hi - lo)
+        return np.where((p[1] == 0)[:, None], p[2], np.where((q[1] == 0)[:, None], q[2], at))
+
+    def differ(p, q):
+        return ((p != q) & ~(np.isnan(p) & np.isnan(q))).any(1)
+
+    def run(batches):
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            v, d = np.stack([col(c) for c in CORNERS], 1), np.stack([col(f"d{p}") for p in "pqr"], 1)
+            at = np.stack([col(c) for c in _named("pqr")], 1).reshape(-1, 3, 3)
+            front = ~(d < 0)
+            n = front.sum(1)
+            row = np.flatnonzero((n == 1) | (n == 2))
+            # turned so that the corner that lies alone on its side comes first
+            odd = np.where((n[row] == 1)[:, None], front[row], ~front[row]).argmax(1)
+            a, b, c = ((v[row, k], d[row, k], at[row, k]) for k in ((odd + i) % 3 for i in range(3)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                ab, ac = crossing(a, b), crossing(a, c)
+            alone = n[row] == 1
+            if rims:
+                made, of = np.concatenate([np.where(alone[:, None], ac, ab), np.where(alone[:, None], ab, ac)], 1), row
+            else:
+                whole, pair = np.flatnonzero(n == 3), ~alone
+                one, two, three = (np.concatenate(x) for x in ((at[whole, 0], a[2][alone], ab[pair], ab[pair]), (at[whole, 1], ab[alone], b[2][pair], c[2][pair]), (at[whole, 2], ac[alone], c[2][pair], ac[pair])))
+                of = np.concatenate([whole, row[alone], row[pair], row[pair]])
+                held = differ(one, two) & differ(two, three) & differ(one, three)
+                made, of = np.concatenate([one, two, three], 1)[held], of[held]
+            names = _named("uw" if rims else "pqr")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of)) for k in map(batch.schema.get_field_index, keys)), *(pa.array(np.ascontiguousarray(x)) for x in made.T)], [*keys, *names])
+
+    return run
+
+
+def _numbered_rim(rim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rim segments (keys, ux .. wz) with numbers u, w of their ends; that no two places share one is counted."""
+    for seed in range(8):
+        # 0.0 and -0.0 are one place
+        place = {e: F.xxhash64(F.lit(seed), *[F.col(c) + F.lit(0.0) for c in _named(e)]) for e in "uw"}
+        named = rim.withColumns(place)
+        ends = reduce(DataFrame.union, [named.select(F.col(e).alias("n"), *[F.col(e + c).alias(c) for c in "xyz"]) for e in "uw"])
+        spread = ends.groupBy("n").agg(*[f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
+        if spread.filter("lox <> hix OR loy <> hiy OR loz <> hiz").isEmpty():
+            return named
+    raise RuntimeError("no numbers that tell the points of the rim apart")
 
 
 def _lids(rim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A fan (keys, p, q, r) on each loop of the rim segments (keys, u, w), from the mean of its points."""
+    """A fan (keys, px .. rz) on each loop of the rim segments (keys, ux .. wz), from the mean of its points."""
     # segments that two faces walk in opposite directions bound nothing
-    there = F.when(F.col("u") < F.col("w"), 1).otherwise(-1)
-    net = rim.filter("u <> w").groupBy(*keys, F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).agg(F.sum(there).alias("n")).filter("n <> 0")
-    turn = F.col("n") < 0
-    net = checkpointed(net.select(*keys, F.when(turn, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("w"), F.explode(F.sequence(F.lit(1), F.abs("n").cast("int"))).alias("copy")).drop("copy"))
-    loop = linked_labels(net.withColumnRenamed("w", "v"), keys).withColumnsRenamed({"node": "u", "label": "loop"})
-    on = checkpointed(net.join(loop, [*keys, "u"]))
-    centre = on.groupBy(*keys, "loop").agg(F.struct(*[F.avg(f"u.{a}").alias(a) for a in "xyz"]).alias("m"))
-    return on.join(centre, [*keys, "loop"]).select(*keys, F.col("u").alias("p"), F.col("w").alias("q"), F.col("m").alias("r"))
+    turn = F.col("u") > F.col("w")
+    ends = [F.when(turn == (e == "b"), F.col(f"u{c}")).otherwise(F.col(f"w{c}")).alias(e + c) for e in "ab" for c in "xyz"]
+    flat = _numbered_rim(rim, keys).filter("u <> w").select(*keys, F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), F.when(turn, -1).otherwise(1).alias("there"), *ends)
+    net = flat.groupBy(*keys, "a", "b").agg(F.sum("there").alias("n"), *[F.first(c).alias(c) for c in _named("ab")]).filter("n <> 0")
+    net = checkpointed(net)
+    loop = linked_labels(net.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), keys).withColumnsRenamed({"node": "a", "label": "loop"})
+    back, walked = F.col("n") < 0, (("p", "b", "a"), ("q", "a", "b"))
+    on = net.join(loop, [*keys, "a"]).select(*keys, "loop", F.abs("n").cast("int").alias("n"), *[F.when(back, F.col(b + c)).otherwise(F.col(a + c)).alias(p + c) for p, b, a in walked for c in "xyz"])
+    on = checkpointed(on.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "copy"))
+    # a row a loop, broadcast if few: the segments of a long loop do not meet in one task
+    centre = few(checkpointed(on.groupBy(*keys, "loop").agg(*[F.avg(f"p{c}").alias(f"r{c}") for c in "xyz"])))
+    return on.join(centre, [*keys, "loop"]).select(*keys, *_named("pqr"))
 
 
 def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, float, float], keys: Sequence[str] = ("mesh_id",), lid: bool = True) -> DataFrame:
@@ -281,25 +333,18 @@ def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, floa
     front; triangles without extent are dropped.
     """
     pl = tuple(F.lit(float(c)) for c in plane)
-    f = with_corners(face, vertex)
-    f = f.withColumns({f"d{p}": plane_distance(xyz(p), pl) for p in "pqr"})
-    number = dict(zip("pqr", CORNERS))
-    point = lambda p: F.struct(*[F.col(p + a).alias(a) for a in "xyz"])
-    tri = lambda a, b, c: F.struct(a.alias("p"), b.alias("q"), c.alias("r"))
-    front = {p: F.col(f"d{p}") >= 0 for p in "pqr"}
-    out, rim = F.when(front["p"] & front["q"] & front["r"], F.array(tri(*map(point, "pqr")))), None
-    for a, b, c in ("pqr", "qrp", "rpq"):
-        alone, pair = front[a] & ~front[b] & ~front[c], ~front[a] & front[b] & front[c]
-        ab, ac = _crossing(a, b, number[a], number[b]), _crossing(a, c, number[a], number[c])
-        out = out.when(alone, F.array(tri(point(a), ab, ac))).when(pair, F.array(tri(ab, point(b), point(c)), tri(ab, point(c), ac)))
-        # walked so that the lid faces away from what is kept
-        rims = F.when(alone, F.struct(ac.alias("u"), ab.alias("w"))).when(pair, F.struct(ab.alias("u"), ac.alias("w")))
-        rim = rims if rim is None else F.coalesce(rim, rims)
-    cut = f.select(*keys, out.alias("t"), rim.alias("rim"))
-    kept = cut.select(*keys, F.explode("t").alias("t")).select(*keys, "t.p", "t.q", "t.r").filter("p <> q AND q <> r AND p <> r")
+    side = few(checkpointed(vertex.select("v", *[F.col(a).cast("double").alias(a) for a in "xyz"], plane_distance(xyz(), pl).alias("d")).filter("d IS NOT NULL")))
+    f = face.select(*keys, *CORNERS)
+    for c, p in zip(CORNERS, "pqr"):
+        f = f.join(side.select(F.col("v").alias(c), F.col("d").alias(f"d{p}"), *[F.col(a).alias(p + a) for a in "xyz"]), c)
+    kind = ", ".join(f"{c} {t}" for c, t in face.select(*keys).dtypes)
+    rows = lambda points: ", ".join([kind, *(f"{c} double" for c in _named(points))])
+    kept = f.filter("dp >= 0 OR dq >= 0 OR dr >= 0").mapInArrow(_cut_faces(keys, False), rows("pqr"))
     if lid:
-        kept = kept.union(_lids(cut.filter("rim IS NOT NULL").select(*keys, "rim.u", "rim.w"), keys))
-    return kept.select(*keys, *[F.col(f"{p}.{a}").alias(p + a) for p in "pqr" for a in "xyz"])
+        apart = F.least("dp", "dq", "dr") < 0
+        rim = f.filter(apart & (F.greatest("dp", "dq", "dr") >= 0)).mapInArrow(_cut_faces(keys, True), rows("uw"))
+        kept = kept.unionByName(_lids(checkpointed(rim), keys))
+    return kept
 
 
 def weld_vertices(triangles: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motiongraph.operators import shape
@@ -74,3 +75,17 @@ def test_without_lids_the_rims_stay_open(meshes):
     vertex, face = meshes
     _, f = welded(shape.cut_mesh(vertex, face.filter("mesh_id = 'boxes'"), (0, 0, 1, 0), lid=False))
     assert shape.mesh_edge_check(f).count() == 16  # two rims of eight segments
+
+
+def test_loops_of_the_rim_are_sought_by_numbers(spark, meshes, monkeypatch):
+    """Also where each face has vertices of its own and meets others in place only, at 0.0 and -0.0 too."""
+    vertex, face = meshes
+    face = face.withColumn("f", F.row_number().over(Window.orderBy("mesh_id", "v1", "v2", "v3")).cast("long"))
+    kinds, found = [], shape.linked_labels
+    monkeypatch.setattr(shape, "linked_labels", lambda links, keys: kinds.append(dict(links.dtypes)["u"]) or found(links, keys))
+    corner = face.select("mesh_id", "f", F.posexplode(F.array("v1", "v2", "v3")).alias("k", "v")).join(vertex, "v").withColumn("v", F.col("f") * 3 + F.col("k"))
+    own = corner.select("v", *[F.when((F.col(a) == 0) & (F.col("v") % 2 == 0), -0.0).otherwise(F.col(a)).alias(a) for a in "xyz"])
+    apart = face.select("mesh_id", "f", *[(F.col("f") * 3 + k).alias(f"v{k + 1}") for k in range(3)])
+    sides = ("mesh_id", *(p + a for p in "pqr" for a in "xyz"))
+    rows = lambda v, f: sorted(tuple(round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in shape.cut_mesh(v, f, (0, 0, 1, 0.25)).select(*sides).collect())
+    assert rows(own, apart) == rows(vertex, face) and set(kinds) == {"bigint"}
