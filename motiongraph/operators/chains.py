@@ -93,17 +93,20 @@ def walked(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str] =
     )
     none = F.lit(None).cast("long")
     whole = held.filter("NOT in1 AND NOT in2").select(*keys, *EDGE, none.alias("first"), none.alias("last"), F.lit(0).cast("long").alias("pos"), F.col("n1").alias("u"), F.col("n2").alias("v"), "cost", "ctvalue")
-    return checkpointed(whole.unionByName(chained))
+    # edges that are no part of a chain stand in a table already
+    return whole.unionByName(checkpointed(chained))
 
 
 def pop_nodes(edge: DataFrame, stay: DataFrame | None = None, keys: Sequence[str] = KEYS, walk: DataFrame | None = None) -> DataFrame:
     """Contract nodes of degree 2: (keys, n1, n2, first, last, cost = sum, ctvalue = min, n_nodes).
 
     See walked(), whose result may be given. Parallel chains stay apart, by their
-    first and last node; n_nodes are those contracted.
+    first and last node; n_nodes are those contracted. An edge that is no part of
+    a chain, listed once, is a row already; only the others are grouped.
     """
     walk = walked(edge, stay, keys) if walk is None else walk
-    return walk.groupBy(*keys, *CHAIN).agg(F.sum("cost").alias("cost"), F.min("ctvalue").alias("ctvalue"), (F.count("*") - 1).alias("n_nodes"))
+    made = walk.filter("first IS NOT NULL").groupBy(*keys, *CHAIN).agg(F.sum("cost").alias("cost"), F.min("ctvalue").alias("ctvalue"), (F.count("*") - 1).alias("n_nodes"))
+    return walk.filter("first IS NULL").select(*keys, *CHAIN, *[F.col(c).cast(made.schema[c].dataType).alias(c) for c in ("cost", "ctvalue")], F.lit(0).cast("long").alias("n_nodes")).unionByName(made)
 
 
 def chain_points(walk: DataFrame, node: DataFrame, path: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:

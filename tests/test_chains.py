@@ -216,3 +216,12 @@ def test_resample_over_a_length(spark):
     rows = signal.resample(s, 5, t_new=6.0).orderBy("k").collect()
     assert [r["t"] for r in rows] == [0, 1.5, 3, 4.5, 6] and [r["value"] for r in rows] == pytest.approx([0, 1, 4, 9, 16])
     assert [r["k"] for r in signal.resample(s, 5, t_new=24.0).orderBy("k").collect()] == [0, 1, 2]
+
+
+def test_edges_outside_chains_are_not_grouped(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chains, "checkpointed", lambda df, keep=chains.checkpointed: written.append(keep(df)) or written[-1])
+    e = edges(spark, *[(a, b, a + b, 50) for a in range(6) for b in range(a + 1, 6)], (5, 6, 1, 9), (6, 7, 2, 8), (7, 7, 3, 7))
+    got = {(r["n1"], r["n2"]): (r["cost"], r["ctvalue"], r["n_nodes"]) for r in chains.pop_nodes(e).collect()}
+    assert got == {(a, b): (a + b, 50, 0) for a in range(6) for b in range(a + 1, 6)} | {(5, 7): (3, 8, 1), (7, 7): (3, 7, 0)}
+    assert written[-1].count() == 2  # only the chain's edges are written again
