@@ -6,6 +6,9 @@ number of paths. A path that ends on another one cuts it there; where paths part
 a new node comes, and what they shared becomes one edge. Nodes that would change
 the same edge from both ends take turns; rounds go on with the nodes whose edges
 changed until nothing is shared any more.
+
+Points are stored once, in blocks, and never written again: an edge names its part of a given
+path, ``lo`` to ``hi`` of ``src``, and whether it leads back there.
 """
 
 from __future__ import annotations
@@ -16,48 +19,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import checkpointed
-from .scan import running
+from .scan import matched, neighbouring, running
 
 KEYS = ("scan_id",)
 XYZ = ("x", "y", "z")
+#: Points of a path in a row; where all paths are shorter, the points of one stay together.
+BLOCK = 256
+#: An edge's part of a path.
+PART = ("src", "lo", "hi", "back")
 
 
 def _one_edge_a_pair(edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of edges between the same two nodes the cheapest."""
-    w = Window.partitionBy(*keys, F.least("a", "b"), F.greatest("a", "b")).orderBy("cost", "eid")
+    w = Window.partitionBy(*keys, "a", "b").orderBy("cost", "eid")
     return edge.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def _half_paths(edge: DataFrame, point: DataFrame, active: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Points of each edge seen from each of its ends: (keys, node, far, eid, side, n, i, x, y, z), i from 0 at the node."""
-    size = point.groupBy("eid").agg(F.count("*").alias("n"))
-    e = edge.filter("a <> b").join(size, "eid")
-    there = e.select(*keys, F.col("a").alias("node"), F.col("b").alias("far"), "eid", F.lit(1).alias("side"), "n")
-    both = there.unionByName(e.select(*keys, F.col("b").alias("node"), F.col("a").alias("far"), "eid", F.lit(2).alias("side"), "n"))
-    busy = both.groupBy(*keys, "node").agg(F.count("*").alias("d")).filter("d > 1").select(*keys, "node")
-    busy = busy if active is None else busy.join(active, [*keys, "node"], "left_semi")
-    i = F.when(F.col("side") == 1, F.col("idx")).otherwise(F.col("n") - 1 - F.col("idx"))
-    return both.join(busy, [*keys, "node"], "left_semi").join(point, "eid").select(*keys, "node", "far", "eid", "side", "n", i.alias("i"), *XYZ)
+def _upward(edge: DataFrame) -> DataFrame:
+    """edge (a, b, src, lo, hi, back, ...) from its smaller to its larger node."""
+    turned = F.col("a") > F.col("b")
+    return edge.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "back": F.col("back") != turned})
 
 
-def _shared(half: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The points beyond the node that two paths or more have in common, named by (i, h1, h2)."""
-    # forty bits a point, so that sums stay exact; two of them name a beginning
-    hashed = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(k), "i", *XYZ), 24)
-    named = running(half, ["eid", "side"], ("i",), {"h1": ("sum", hashed(1)), "h2": ("sum", hashed(2))})
-    group = [*keys, "node", "i", "h1", "h2"]
-    many = named.filter("i > 0").groupBy(*group).agg(F.count("*").alias("paths")).filter("paths > 1")
-    return named.select(*keys, "node", "far", "eid", "side", "n", "i", *XYZ, "h1", "h2").join(many, group)
+def _points(part: DataFrame, point: DataFrame, short: bool) -> DataFrame:
+    """part (src, lo, hi, ...) with its points (idx, x, y, z), joined by blocks of a path (src, block, points)."""
+    block = F.lit(0).cast("long") if short else F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)))
+    return part.withColumn("block", block).join(point, ["src", "block"]).select("*", F.inline("points")).filter("idx BETWEEN lo AND hi").drop("points")
 
 
-def _acting(shared: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes that change their paths in this round, and those that wait for a node at the other end of a path."""
-    touched = shared.select(*keys, "node", "far", "eid").distinct()
-    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    other = touched.select(*keys, "eid", F.col("node").alias("far"))
-    waits = touched.join(other, [*keys, "eid", "far"]).filter(rank("far") < rank("node")).select(*keys, "node").distinct()
-    nodes = touched.select(*keys, "node").distinct()
-    return nodes.join(waits, [*keys, "node"], "left_anti"), waits
+def _half_paths(edge: DataFrame, point: DataFrame, active: DataFrame | None, keys: Sequence[str], short: bool) -> DataFrame:
+    """Points of each edge seen from each of its ends: (keys, node, eid, side, i, tip, x, y, z, src, block), i from 0 at the node; tip: the node at the other end, at the last point only."""
+    e = edge.filter("a <> b AND hi IS NOT NULL")
+    seen = lambda node, far, side: e.select(*keys, F.col(node).alias("node"), F.col(far).alias("far"), "eid", F.lit(side).alias("side"), *PART)
+    both = seen("a", "b", 1).unionByName(seen("b", "a", 2)).withColumn("d", F.count("*").over(Window.partitionBy(*keys, "node"))).filter("d > 1")
+    both = both if active is None else both.join(active, [*keys, "node"], "left_semi")
+    i = F.when((F.col("side") == 1) != F.col("back"), F.col("idx") - F.col("lo")).otherwise(F.col("hi") - F.col("idx"))
+    tip = F.when(F.col("i") == F.col("hi") - F.col("lo"), F.col("far"))
+    return _points(both, point, short).withColumn("i", i).select(*keys, "node", "eid", "side", "i", tip.alias("tip"), *XYZ, "src", "block")
+
+
+def _parting(half: DataFrame, keys: Sequence[str], short: bool) -> DataFrame:
+    """Of the points beyond the node that two paths or more have in common, named by (i, h), the last of each run of one
+    number of paths; ``last`` of the path, ``m``: the last place (i, far) where another path ends on it, if any, and whether
+    the edge is seen from both ends. Rows of an edge stay together."""
+    # forty bits a point, so that sums stay exact; two of them name a beginning
+    hashed = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(k), "i", *XYZ), 24)
+    way, order = [*keys, "node", "eid", "side"], ("i",)
+    if short:
+        w = Window.partitionBy("src", "block", "eid", "side").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+        named = half.withColumns({"h1": F.sum(hashed(1)).over(w), "h2": F.sum(hashed(2)).over(w)})
+    else:
+        named = running(half, ["eid", "side"], order, {"h1": ("sum", hashed(1)), "h2": ("sum", hashed(2))})
+    named = named.filter("i > 0").select(*way, "i", "tip", *XYZ, F.xxhash64("h1", "h2").alias("h"))
+    group = Window.partitionBy(*keys, "node", "i", "h")
+    end = F.min(F.when(F.col("tip").isNotNull(), F.struct("eid", "tip"))).over(group)
+    shared = named.withColumns({"paths": F.count("*").over(group), "q": end}).filter("paths > 1")
+    m = F.max(F.when(F.col("q.eid") != F.col("eid"), F.struct("i", F.col("q.tip").alias("far"))))
+    if short:
+        seen = Window.partitionBy("eid", "side")
+        shared = shared.repartition("eid").withColumns({"next": F.lead("paths").over(seen.orderBy("i")), "m": m.over(seen)})
+    else:
+        shared = checkpointed(neighbouring(shared, way, order, {"next": "paths"}, ahead=True))
+        shared = matched(shared, shared.groupBy(*way).agg(m.alias("m")), way)
+    return shared.filter("next IS NULL OR next < paths").select(*way, "i", *XYZ, "h", F.isnull("next").alias("last"), "m").withColumn("both", F.count_if("last").over(Window.partitionBy("eid")) > 1)
 
 
 def split_crossings(node: DataFrame, edge: DataFrame, path: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,54 +102,58 @@ def split_crossings(node: DataFrame, edge: DataFrame, path: DataFrame, keys: Seq
     """
     pair = edge.select(*keys, "n1", "n2", F.col("cost").cast("double").alias("cost"), F.col("ctvalue").cast("double").alias("ctvalue"))
     now = checkpointed(pair.withColumnsRenamed({"n1": "a", "n2": "b"}).withColumn("eid", F.monotonically_increasing_id()))
-    point = checkpointed(path.join(now.select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), "eid"), [*keys, "n1", "n2"]).select("eid", F.col("idx").cast("long").alias("idx"), *XYZ))
-    now, nodes, active = checkpointed(_one_edge_a_pair(now, keys)), node.select(*keys, "node_id", *XYZ).withColumn("crossing", F.lit(False)), None
-    nodes, next_id = checkpointed(nodes), (now.agg(F.max("eid")).first()[0] or 0) + 1
+    block = F.floor(F.col("idx") / BLOCK).alias("block")
+    packed = path.select(*keys, "n1", "n2", block, F.struct(F.col("idx").cast("long").alias("idx"), *XYZ).alias("p")).repartition(*keys, "n1", "n2").groupBy(*keys, "n1", "n2", "block").agg(F.collect_list("p").alias("points"))
+    point = checkpointed(packed.join(now.select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), F.col("eid").alias("src")), [*keys, "n1", "n2"]).select("src", "block", "points"))
+    size = point.groupBy(F.col("src").alias("eid")).agg((F.sum(F.size("points")) - 1).alias("hi"))
+    now = now.join(size, "eid", "left").withColumns({"src": F.col("eid"), "lo": F.lit(0).cast("long"), "back": F.lit(False)})
+    now = checkpointed(_one_edge_a_pair(_upward(now), keys))
+    short = point.filter("block > 0").isEmpty()
+    nodes, active = checkpointed(node.select(*keys, "node_id", *XYZ).withColumn("crossing", F.lit(False))), None
+    next_id = (now.agg(F.max("eid")).first()[0] or 0) + 1
     while True:
-        half = checkpointed(_half_paths(now, point, active, keys))
-        shared = checkpointed(_shared(half, keys))
-        if shared.isEmpty():
+        known_edge = now.select("eid", "cost", "ctvalue", *PART, F.col("a").alias("old_a"), F.col("b").alias("old_b"))
+        seen = {"far": F.when(F.col("side") == 1, F.col("old_b")).otherwise(F.col("old_a")), "n": F.col("hi") - F.col("lo") + 1, "up": (F.col("side") == 1) != F.col("back")}
+        rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        parting = checkpointed(_parting(_half_paths(now, point, active, keys, short), keys, short).join(known_edge, "eid").withColumns(seen).withColumn("waits", F.col("both") & (rank("far") < rank("node"))))
+        if parting.isEmpty():
             break
-        acting, waits = _acting(shared, keys)
-        acting, waits = checkpointed(acting), checkpointed(waits)
-        on = checkpointed(shared.join(acting, [*keys, "node"], "left_semi"))
-        of = [*keys, "node", "eid", "side"]
-        # a path that ends within a group cuts the others of the group
-        group = [*keys, "node", "i", "h1", "h2"]
-        ends = on.filter("i = n - 1").groupBy(*group).agg(F.min(F.struct("eid", "far")).alias("q"))
-        cut = on.join(ends, group).filter("eid <> q.eid").groupBy(*of, "far", "n").agg(F.max(F.struct("i", "q.far")).alias("m"))
-        cut = checkpointed(cut.select(*of, F.col("n").alias("size"), F.col("m.far").alias("a"), F.col("far").alias("b"), F.col("m.i").alias("lo")))
-        trimmed = cut.select(*keys, "node").distinct()
-        part = on.join(trimmed, [*keys, "node"], "left_anti")
+        # nodes that wait for a node at the other end of a path, and those where a path that ends within a group cuts the others
+        state = checkpointed(parting.groupBy(*keys, "node").agg(F.max("waits").alias("waits"), F.max(F.col("m").isNotNull()).alias("trims")))
+        of, group = [*keys, "node", "eid", "side"], [*keys, "node", "i", "h"]
+        cut = parting.filter("last AND m IS NOT NULL").join(state.filter("NOT waits").select(*keys, "node"), [*keys, "node"], "left_semi")
         # elsewhere: the last point of each run of one group size
-        ahead = part.select(*of, (F.col("i") - 1).alias("i"), F.col("paths").alias("next"))
-        at = part.join(ahead, [*of, "i"], "left").filter("next IS NULL OR next < paths")
+        at = parting.join(state.filter("NOT waits AND NOT trims").select(*keys, "node"), [*keys, "node"], "left_semi")
         known = nodes.groupBy(*keys, *XYZ).agg(F.min("node_id").alias("known"))
         made = -1 - F.shiftrightunsigned(F.xxhash64(*XYZ), 1)
         at = at.join(known, [*keys, *XYZ], "left").withColumn("to", F.coalesce("known", made))
         w = Window.partitionBy(*of).orderBy("i")
-        at = at.withColumns({"lo": F.coalesce(F.lag("i").over(w), F.lit(0).cast("long")), "from": F.coalesce(F.lag("to").over(w), F.col("node")), "rest": F.lead("i").over(w).isNull()})
-        at = checkpointed(at.join(now.select("eid", "cost", "ctvalue"), "eid"))
-        new_nodes = at.filter("known IS NULL").select(*keys, F.col("to").alias("node_id"), *XYZ, F.lit(True).alias("crossing")).distinct()
-        owner = F.min(F.struct("eid", "side", "lo", "from", F.col("n").alias("size"))).alias("o")
+        at = at.withColumns({"start": F.coalesce(F.lag("i").over(w), F.lit(0).cast("long")), "from": F.coalesce(F.lag("to").over(w), F.col("node"))})
+        at = checkpointed(at)
+
+        def part(start: str, end, of: str = "") -> list:
+            """The path from point start to point end of an edge seen from one of its ends."""
+            lo, hi, up = (F.col(of + c) for c in ("lo", "hi", "up"))
+            between = {"lo": F.when(up, lo + F.col(start)).otherwise(hi - end), "hi": F.when(up, lo + end).otherwise(hi - F.col(start)), "back": ~up}
+            return [F.col(of + "src").alias("src"), *[c.alias(n) for n, c in between.items()]]
+
+        new_nodes = checkpointed(at.filter("known IS NULL").select(*keys, F.col("to").alias("node_id"), *XYZ, F.lit(True).alias("crossing")).distinct())
+        owner = F.min(F.struct("eid", "side", "start", "from", "src", "lo", "hi", "up")).alias("o")
         common = at.groupBy(*group, "to").agg(F.min("cost").alias("cost"), F.max("ctvalue").alias("ctvalue"), owner)
-        common = common.select(*keys, F.col("o.from").alias("a"), F.col("to").alias("b"), "cost", "ctvalue", F.col("o.eid").alias("src"), F.col("o.side").alias("side"), F.col("o.size").alias("size"), F.col("o.lo").alias("lo"), F.col("i").alias("hi"))
-        rests = at.filter("rest").select(*keys, F.col("to").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", F.col("eid").alias("src"), "side", F.col("n").alias("size"), F.col("i").alias("lo"), (F.col("n") - 1).alias("hi"))
-        shorter = cut.join(now.select("eid", "cost", "ctvalue"), "eid").select(*keys, "a", "b", "cost", "ctvalue", F.col("eid").alias("src"), "side", "size", "lo", (F.col("size") - 1).alias("hi"))
-        new = checkpointed(common.unionByName(rests).unionByName(shorter).withColumn("eid", F.monotonically_increasing_id() + next_id))
-        # points run from a to b of their edge, whichever side it was seen from
-        i = F.when(F.col("side") == 1, F.col("idx")).otherwise(F.col("size") - 1 - F.col("idx"))
-        moved = new.select("src", "side", "size", "lo", "hi", F.col("eid").alias("to_eid")).join(point.withColumnRenamed("eid", "src"), "src").withColumn("i", i).filter("i BETWEEN lo AND hi")
-        gone = new.select(F.col("src").alias("eid")).distinct()
-        all_edges = now.join(gone, "eid", "left_anti").unionByName(new.select(*now.columns))
-        one = checkpointed(_one_edge_a_pair(all_edges, keys))
-        point = checkpointed(point.join(gone, "eid", "left_anti").unionByName(moved.select(F.col("to_eid").alias("eid"), (F.col("i") - F.col("lo")).alias("idx"), *XYZ)))
-        now, nodes = one, checkpointed(nodes.unionByName(new_nodes))
+        none = [F.lit(None).cast("long").alias(c) for c in ("old_a", "old_b")]
+        common = common.select(*keys, F.col("o.from").alias("a"), F.col("to").alias("b"), "cost", "ctvalue", *part("o.start", F.col("i"), "o."), *none)
+        olds = ["old_a", "old_b"]
+        rests = at.filter("last").select(*keys, F.col("to").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("i", F.col("n") - 1), *olds)
+        shorter = cut.select(*keys, F.col("m.far").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("m.i", F.col("n") - 1), *olds)
+        new = checkpointed(_upward(common.unionByName(rests).unionByName(shorter)).withColumn("eid", F.monotonically_increasing_id() + next_id))
+        # of two nodes one edge stands, so that its ends tell which one goes
+        gone = new.filter("old_a IS NOT NULL").select(*keys, F.col("old_a").alias("a"), F.col("old_b").alias("b"), F.lit(True).alias("gone"))
+        added = new.drop(*olds).withColumn("added", F.lit(True))
+        pair = now.unionByName(added, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+        pair = pair.withColumn("left", F.max("gone").over(Window.partitionBy(*keys, "a", "b"))).filter("gone IS NULL AND (added OR left IS NULL)")
+        now, nodes = checkpointed(_one_edge_a_pair(pair.select(*now.columns), keys)), nodes.unionByName(new_nodes)
         next_id = max(next_id, (new.agg(F.max("eid")).first()[0] or 0) + 1)
-        active = checkpointed(waits.union(acting).union(new.select(*keys, F.col("a").alias("node"))).union(new.select(*keys, F.col("b").alias("node"))).distinct())
-    back = F.col("a") > F.col("b")
-    out = now.select(*keys, F.least("a", "b").alias("n1"), F.greatest("a", "b").alias("n2"), "cost", "ctvalue")
-    size = point.groupBy("eid").agg(F.count("*").alias("n"))
-    ways = point.join(size, "eid").join(now.select(*keys, "a", "b", "eid"), "eid")
-    ways = ways.select(*keys, F.least("a", "b").alias("n1"), F.greatest("a", "b").alias("n2"), F.when(back, F.col("n") - 1 - F.col("idx")).otherwise(F.col("idx")).alias("idx"), *XYZ)
-    return nodes, out, ways
+        active = state.select(*keys, "node").union(new.select(*keys, F.col("a").alias("node"))).union(new.select(*keys, F.col("b").alias("node"))).distinct()
+    out = now.select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), "cost", "ctvalue")
+    ways = _points(now.filter("hi IS NOT NULL").select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), *PART), point, short)
+    return nodes, out, ways.select(*keys, "n1", "n2", F.when(F.col("back"), F.col("hi") - F.col("idx")).otherwise(F.col("idx") - F.col("lo")).alias("idx"), *XYZ)
