@@ -74,7 +74,8 @@ def _parting(half: DataFrame, keys: Sequence[str], short: bool) -> DataFrame:
     group = Window.partitionBy(*keys, "node", "i", "h")
     end = F.min(F.when(F.col("tip").isNotNull(), F.struct("eid", "tip"))).over(group)
     shared = named.withColumns({"paths": F.count("*").over(group), "q": end}).filter("paths > 1")
-    m = F.max(F.when(F.col("q.eid") != F.col("eid"), F.struct("i", F.col("q.tip").alias("far"))))
+    shared = shared.select(*way, "i", *XYZ, "h", "paths", F.when(F.col("q.eid") != F.col("eid"), F.col("q.tip")).alias("ends"))
+    m = F.max(F.when(F.col("ends").isNotNull(), F.struct("i", F.col("ends").alias("far"))))
     if short:
         seen = Window.partitionBy("eid", "side")
         shared = shared.repartition("eid").withColumns({"next": F.lead("paths").over(seen.orderBy("i")), "m": m.over(seen)})
@@ -141,19 +142,20 @@ def split_crossings(node: DataFrame, edge: DataFrame, path: DataFrame, keys: Seq
         owner = F.min(F.struct("eid", "side", "start", "from", "src", "lo", "hi", "up")).alias("o")
         common = at.groupBy(*group, "to").agg(F.min("cost").alias("cost"), F.max("ctvalue").alias("ctvalue"), owner)
         none = [F.lit(None).cast("long").alias(c) for c in ("old_a", "old_b")]
-        common = common.select(*keys, F.col("o.from").alias("a"), F.col("to").alias("b"), "cost", "ctvalue", *part("o.start", F.col("i"), "o."), *none)
+        common = common.select(*keys, F.col("o.from").alias("a"), F.col("to").alias("b"), "cost", "ctvalue", *part("o.start", F.col("i"), "o."), *none, F.col("to").alias("meets"))
         olds = ["old_a", "old_b"]
-        rests = at.filter("last").select(*keys, F.col("to").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("i", F.col("n") - 1), *olds)
-        shorter = cut.select(*keys, F.col("m.far").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("m.i", F.col("n") - 1), *olds)
+        rests = at.filter("last").select(*keys, F.col("to").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("i", F.col("n") - 1), *olds, none[0].alias("meets"))
+        shorter = cut.select(*keys, F.col("m.far").alias("a"), F.col("far").alias("b"), "cost", "ctvalue", *part("m.i", F.col("n") - 1), *olds, F.col("m.far").alias("meets"))
         new = checkpointed(_upward(common.unionByName(rests).unionByName(shorter)).withColumn("eid", F.monotonically_increasing_id() + next_id))
         # of two nodes one edge stands, so that its ends tell which one goes
         gone = new.filter("old_a IS NOT NULL").select(*keys, F.col("old_a").alias("a"), F.col("old_b").alias("b"), F.lit(True).alias("gone"))
-        added = new.drop(*olds).withColumn("added", F.lit(True))
+        added = new.drop(*olds, "meets").withColumn("added", F.lit(True))
         pair = now.unionByName(added, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
         pair = pair.withColumn("left", F.max("gone").over(Window.partitionBy(*keys, "a", "b"))).filter("gone IS NULL AND (added OR left IS NULL)")
         now, nodes = checkpointed(_one_edge_a_pair(pair.select(*now.columns), keys)), nodes.unionByName(new_nodes)
         next_id = max(next_id, (new.agg(F.max("eid")).first()[0] or 0) + 1)
-        active = state.select(*keys, "node").union(new.select(*keys, F.col("a").alias("node"))).union(new.select(*keys, F.col("b").alias("node"))).distinct()
+        # a node that changed its paths has nothing to share any more, nor more than before the node at the other end of one
+        active = state.filter("waits OR trims").select(*keys, "node").union(new.filter("meets IS NOT NULL").select(*keys, "meets")).distinct()
     out = now.select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), "cost", "ctvalue")
     ways = _points(now.filter("hi IS NOT NULL").select(*keys, F.col("a").alias("n1"), F.col("b").alias("n2"), *PART), point, short)
     return nodes, out, ways.select(*keys, "n1", "n2", F.when(F.col("back"), F.col("hi") - F.col("idx")).otherwise(F.col("idx") - F.col("lo")).alias("idx"), *XYZ)

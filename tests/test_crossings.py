@@ -145,3 +145,22 @@ def test_all_steps_stay(rewritten, seed):
 def test_empty_tables(spark):
     got = crossings.split_crossings(*(df.limit(0) for df in tables(spark, CASES)))
     assert [df.count() for df in got] == [0, 0, 0]
+
+
+def test_points_are_stored_once(spark, monkeypatch):
+    """The one table with points of whole paths is written before the rounds."""
+    made, stored = [], crossings.checkpointed
+    monkeypatch.setattr(crossings, "checkpointed", lambda df: made.append(df.columns) or stored(df))
+    crossings.split_crossings(*tables(spark, {"three": CASES["three"]}))
+    assert sum("idx" in c or "points" in c for c in made) == 1
+
+
+def test_paths_of_many_blocks(spark, monkeypatch):
+    """Paths longer than a block are cut and part as short ones do."""
+    monkeypatch.setattr(crossings, "BLOCK", 2)
+    for name in ("three", "over", "both ends"):
+        node, edge, path = crossings.split_crossings(*tables(spark, {name: CASES[name]}))
+        monkeypatch.setattr(crossings, "BLOCK", 256)
+        want = crossings.split_crossings(*tables(spark, {name: CASES[name]}))
+        monkeypatch.setattr(crossings, "BLOCK", 2)
+        assert all(sorted(map(tuple, p.collect())) == sorted(map(tuple, q.collect())) for p, q in zip((node, edge, path), want))
