@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from .scan import with_quantiles
 
 KEYS = ("path_id",)
 MOVES = ("dx", "dy", "dz")
+#: Components of an arm, posed and at rest.
+ARMS = tuple(f"u{r}{a}" for r in ("", "r") for a in "xyz")
 
 
 def at_phase(path: DataFrame, motion: DataFrame, phase: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -122,25 +127,91 @@ def angle_pair_extremes(values: DataFrame, keys: Sequence[str], c: str = "angle"
     return arr.withColumn("d", diffs).select(*keys, F.array_max("d").alias("max_difference"), F.array_min("d").alias("min_difference"))
 
 
+def _greatest_changes(keys: Sequence[str]):
+    """Of arms (keys, node, phase, far, ux .. uz, urx .. urz), sorted by keys and node, the greatest change (keys, node_id, change) of each node."""
+    def turns(cols):
+        """Where a row differs from the one before in any column."""
+        new = np.zeros(len(cols[0]), bool)
+        new[:1] = True
+        for c in cols:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, max(len(c) - 1, 0))).to_numpy(zero_copy_only=False)
+        return new
+
+    def angles(u, held, i, j):
+        dots = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+        p, q = u[:, i], u[:, j]
+        both = np.sqrt(dots(p, p)) * np.sqrt(dots(q, q))
+        cos = dots(p, q) / both
+        return np.arccos(np.where(np.isnan(cos), 1.0, np.clip(cos, -1, 1))), held[i] & held[j] & (both != 0)
+
+    def reduced(t):
+        """One row a node of whole nodes."""
+        t = t.combine_chunks()
+        first = turns([t[c].combine_chunks() for c in (*keys, "node")])
+        at = np.cumsum(first) - 1
+        phase, far = (t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("phase", "far"))
+        row = np.lexsort((phase, at))
+        at, phase, far = at[row], phase[row], far[row]
+        u, held = np.empty((6, len(row))), np.ones((2, len(row)), bool)
+        for k, c in enumerate(ARMS):
+            col = t[c].combine_chunks()
+            u[k], held[k // 3] = col.to_numpy(zero_copy_only=False)[row], held[k // 3] & col.is_valid().to_numpy(zero_copy_only=False)[row]
+        most, met = np.full(first.sum(), -1.0), np.zeros(first.sum(), bool)
+        # each row with the d-th after it, as long as any two so far apart belong together
+        i, d = np.arange(len(row)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(row)]
+            i = i[(at[i] == at[i + d]) & (phase[i] == phase[i + d])]
+            p = i[far[i] != far[i + d]]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                (now, held_now), (rest, held_rest) = (angles(u[s], held[k], p, p + d) for k, s in enumerate((slice(0, 3), slice(3, 6))))
+            met[at[p]] = True
+            known = held_now & held_rest
+            np.maximum.at(most, at[p[known]], np.abs(now - rest)[known])
+        which = pa.array(np.flatnonzero(first)[met])
+        change = pa.array(np.degrees(most[met]), mask=most[met] < 0)
+        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks().take(which) for c in (*keys, "node")), change], [*keys, "node_id", "change"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 1 << 16:  # the last node may go on
+                t = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(turns([t[c].combine_chunks() for c in (*keys, "node")]))[-1])
+                if last:
+                    yield reduced(t.slice(0, last))
+                held = t.slice(last).combine_chunks().to_batches()
+                n = 0
+        if held and sum(b.num_rows for b in held):
+            yield reduced(pa.Table.from_batches(held))
+
+    return run
+
+
 def node_angle_change(edge: DataFrame, node: DataFrame, motion: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """Largest change, over phases and pairs of neighbours, of the angle at each node against rest.
 
     edge (keys, n1, n2), node (keys, node_id, x, y, z), motion (keys, node_id, phase, dx, dy, dz).
+    A node's positions in all phases are one row, so each arm goes to its node once, not
+    once a phase, and the arms of a node are compared there as they arrive.
     """
-    from .graph import half_edges
-
     k = list(keys)
-    rest = node.join(motion, [*k, "node_id"])
-    posed = rest.select(*k, "node_id", "phase", *[(F.col(a) + F.col(d)).alias(a) for a, d in zip("xyz", MOVES)], *[F.col(a).alias(f"r{a}") for a in "xyz"])
-    named = lambda n, p: posed.select(*k, F.col("node_id").alias(n), "phase", *[F.col(c).alias(p + c) for c in ("x", "y", "z", "rx", "ry", "rz")])
-    half = half_edges(edge.filter("n1 <> n2").select(*k, "n1", "n2").distinct(), keys).withColumnsRenamed({"a": "node", "b": "far"})
-    # arms go to their node once; its pairs of arms meet there and are reduced at once
-    arm = half.join(named("far", "f"), [*k, "far"]).join(named("node", "n"), [*k, "node", "phase"])
-    arm = arm.select(*k, "node", "phase", "far", *[c.alias(f"u{r}{a}") for r in ("", "r") for a, c in zip("xyz", sub(xyz("f" + r), xyz("n" + r)))])
-    other = arm.select(*k, "node", "phase", F.col("far").alias("ofar"), *[F.col(f"u{r}{a}").alias(f"v{r}{a}") for r in ("", "r") for a in "xyz"])
-    at = lambda r: angle(xyz("u" + r), xyz("v" + r))
-    j = arm.join(other, [*k, "node", "phase"]).filter("far < ofar")
-    return j.withColumn("change", F.degrees(F.abs(at("") - at("r")))).groupBy(*k, F.col("node").alias("node_id")).agg(F.max("change").alias("change"))
+    moves = motion.groupBy(*k, "node_id").agg(F.collect_list(F.struct("phase", *MOVES)).alias("moves"))
+    pose = node.select(*k, "node_id", *"xyz").join(moves, [*k, "node_id"])
+    named = lambda n, p: pose.select(*k, F.col("node_id").alias(n), *[F.col(c).alias(p + c) for c in (*"xyz", "moves")])
+    ends = F.explode(F.array(*[F.struct(F.col(p).alias("node"), F.col(q).alias("far")) for p, q in (("n1", "n2"), ("n2", "n1"))])).alias("e")
+    half = edge.filter("n1 <> n2").select(*k, "n1", "n2").distinct().select(*k, ends).select(*k, "e.node", "e.far")
+    arm = half.join(named("far", "f"), [*k, "far"]).join(named("node", "n"), [*k, "node"])
+    # as the join leaves them, so rows of single phases are not sorted again
+    arm = arm.repartition(*k, "node").sortWithinPartitions(*k, "node")
+    arm = arm.withColumn("f", F.explode("fmoves")).withColumn("n", F.explode(F.filter("nmoves", lambda m: m["phase"] == F.col("f.phase"))))
+    now, rest = ([F.col(f"{p}{a}") + F.col(f"{p}.{d}") for a, d in zip("xyz", MOVES)] for p in "fn"), (xyz(p) for p in "fn")
+    arm = arm.select(*k, "node", "far", F.col("f.phase").alias("phase"), *[c.cast("double").alias(n) for n, c in zip(ARMS, (*sub(*now), *sub(*rest)))])
+    kinds = dict(arm.dtypes)
+    return arm.mapInArrow(_greatest_changes(k), ", ".join([*(f"{c} {kinds[c]}" for c in k), f"node_id {kinds['node']}, change double"]))
 
 
 def segment_angle_change(posed_a: DataFrame, posed_b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -73,3 +73,22 @@ def test_angles_of_arms(spark):
             want[n] = max(want.get(n, 0), change)
     df = motion.node_angle_change(e, node, moves)
     assert {r["node_id"]: r["change"] for r in df.collect()} == pytest.approx(want)
+
+
+def test_arms_go_to_their_node_once(spark):
+    """Not once a phase; repeated rows of a phase and places that coincide count as before."""
+    e = edges(spark, *[(0, k, 1, 1) for k in (1, 2, 3, 4)], (5, 6, 1, 1), (5, 7, 1, 1))
+    at = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 2), (0, 0, 0), (9, 9, 9), (9, 9, 9), (8, 9, 9)]
+    node = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(at)], "scan_id string, node_id long, x double, y double, z double")
+    move = [("s", i, p, 0.0, float(i == 1 and p), 0.0) for i in range(8) for p in range(40)] + [("s", 1, 3, -1.0, -1.0, 0.0), ("s", 2, 3, None, 0.0, 0.0)]
+    moves = spark.createDataFrame(move, "scan_id string, node_id long, phase long, dx double, dy double, dz double")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = motion.node_angle_change(e, node, moves)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert {r["node_id"]: r["change"] for r in df.collect()} == {0: pytest.approx(90.0), 5: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("phase" in line for line in dealt)
