@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +37,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint, the table read back has its true size: estimates of
     joined sizes, which are products, would square in every round of a loop.
+    Rows dealt by dealt_by() stay so: the table is bucketed.
     """
-    path = new_folder(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, by = df.sparkSession, new_folder(df.sparkSession, "round"), getattr(df, "_dealt_by", None)
+    with shuffles_dropped(spark):
+        if by is None:
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        name = f"round_{uuid.uuid4().hex}"
+        df.write.bucketBy(shuffle_partitions(spark), *by).option("path", path).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only, its files stay
+    return table
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is written here drops its shuffles' files when it is done, instead of when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt_by(df: DataFrame, *by: str) -> DataFrame:
+    """df with equal rows of the columns in one task; a table of it is joined on and grouped by them without a shuffle."""
+    dealt = df.repartition(shuffle_partitions(df.sparkSession), *by)
+    dealt._dealt_by = by
+    return dealt
 
 
 def few(df: DataFrame) -> DataFrame:

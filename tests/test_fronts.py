@@ -103,3 +103,26 @@ def test_links_that_cannot_be_least_are_left_out(spark, monkeypatch):
     state = {r["place"]: (r["dist"], r["label"]) for r in fronts.grow(links, nodes(spark, 1, 2)).collect()}
     assert state == {1: (0, 1), 2: (0, 2), 5: (3, 1), 6: (5, 2), 7: (2, 1)}
     assert ways[-1] == [(1, 5), (1, 7), (2, 5), (2, 6), (7, 6)]
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_rounds_move_news_only(spark, monkeypatch, broadcast):
+    """Links and places are dealt once: a round's one shuffle takes news to the places they are for."""
+    links = graph.half_edges(edges(spark, *[(i, i + 1, 1, 1) for i in range(6)], (20, 21, 3, 1))).selectExpr("scan_id", "a", "b", "cost AS w")
+    real, shuffles = fronts.checkpointed, []
+
+    def counted(df):
+        if {"place", "dist"} <= set(df.columns):
+            shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df)
+
+    monkeypatch.setattr(fronts, "checkpointed", counted)
+    monkeypatch.setattr(fronts, "FEW", 0 if broadcast == "-1" else fronts.FEW)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        state = {r["place"]: (r["dist"], r["label"], r["prev"]) for r in fronts.grow(links, nodes(spark, 0, 4, 20)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert state == {0: (0, 0, None), 1: (1, 0, 0), 2: (2, 0, 1), 3: (1, 4, 4), 4: (0, 4, None), 5: (1, 4, 4), 6: (2, 4, 5), 20: (0, 20, None), 21: (3, 20, 20)}
+    assert len(shuffles) > 2 and max(shuffles[1:]) <= 1
