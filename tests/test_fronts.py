@@ -126,3 +126,15 @@ def test_rounds_move_news_only(spark, monkeypatch, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert state == {0: (0, 0, None), 1: (1, 0, 0), 2: (2, 0, 1), 3: (1, 4, 4), 4: (0, 4, None), 5: (1, 4, 4), 6: (2, 4, 5), 20: (0, 20, None), 21: (3, 20, 20)}
     assert len(shuffles) > 2 and max(shuffles[1:]) <= 1
+
+
+def test_ways_longer_than_what_places_know(spark, monkeypatch):
+    monkeypatch.setattr(fronts, "HELD", 3)
+    ways = edges(spark, *[(i, i + 1, 1, 1) for i in range(15)], (40, 41, 2, 1))
+    links = graph.half_edges(ways).selectExpr("scan_id", "a", "b", "cost AS w")
+    values = spark.createDataFrame([("s", p, float(50 - p)) for p in (1, 9, 14, 40)], "scan_id string, place long, ctvalue double")
+    edge, path = fronts.link_seeds(links, nodes(spark, 0, 15, 40, 41), delta=50.0, values=values)
+    assert sorted((r["n1"], r["n2"], r["cost"], r["ctvalue"]) for r in edge.collect()) == [(0, 15, 7.0, 36.0), (40, 41, 0.0, 10.0)]
+    rows = sorted((r["n1"], r["idx"], r["place"]) for r in path.collect())
+    assert rows == [(0, i, i) for i in range(16)] + [(40, 0, 40), (40, 1, 41)]
+    assert fronts.link_seeds(links, nodes(spark, 40, 41), values=values, paths=False)[1] is None
