@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, plane_distance, tetra_volume, to_plane, tri_area, xyz
-from ..sources.io import checkpointed, few
+from ..sources.io import checkpointed, dealt_by, few, released, shuffle_partitions
 from .contraction import linked_labels
 
 
@@ -294,34 +294,69 @@ def _cut_faces(keys: Sequence[str], rims: bool):
     return run
 
 
-def _numbered_rim(rim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rim segments (keys, ux .. wz) with numbers u, w of their ends; that no two places share one is counted."""
-    for seed in range(8):
-        # 0.0 and -0.0 are one place
-        place = {e: F.xxhash64(F.lit(seed), *[F.col(c) + F.lit(0.0) for c in _named(e)]) for e in "uw"}
-        named = rim.withColumns(place)
-        ends = reduce(DataFrame.union, [named.select(F.col(e).alias("n"), *[F.col(e + c).alias(c) for c in "xyz"]) for e in "uw"])
-        spread = ends.groupBy("n").agg(*[f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
-        if spread.filter("lox <> hix OR loy <> hiy OR loz <> hiz").isEmpty():
-            return named
-    raise RuntimeError("no numbers that tell the points of the rim apart")
+def _net_rim(rim: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """A table (keys, a, b, n, ax .. bz), dealt by a, of rim segments (keys, ux .. wz) with numbers a <= b of their ends, n times from a
+    to b, less those that faces walk in opposite directions, as these bound nothing."""
+    # 0.0 and -0.0 are one place
+    rim = rim.select(*keys, *[(F.col(c) + F.lit(0.0)).alias(c) for c in _named("uw")]).filter("ux <> wx OR uy <> wy OR uz <> wz")
+    named = rim.withColumns({e: F.xxhash64(F.lit(seed), *[F.col(c) for c in _named(e)]) for e in "uw"})
+    turn = F.col("u") > F.col("w")
+    ends = [F.when(turn == (e == "b"), F.col(f"u{c}")).otherwise(F.col(f"w{c}")).alias(e + c) for e in "ab" for c in "xyz"]
+    flat = named.select(*keys, F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), F.when(turn, -1).otherwise(1).alias("there"), *ends)
+    flat = flat.repartition(shuffle_partitions(rim.sparkSession), *keys, "a")
+    net = flat.groupBy(*keys, "a", "b", *_named("ab")).agg(F.sum("there").alias("n")).filter("n <> 0")
+    return checkpointed(dealt_by(net, *keys, "a"))
+
+
+def _lone(net: DataFrame, keys: Sequence[str], seed: int) -> DataFrame | None:
+    """A table (keys, a), dealt by a, of the segments whose ends belong to no other; None if two places share a number.
+
+    Places are told apart by a second hash of their coordinates.
+    """
+    place = lambda e: F.xxhash64(F.lit(~seed), *[F.col(c) for c in _named(e)])
+    least = [F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("times")]
+    seen = net.select(*keys, F.col("a").alias("node"), place("a").alias("place")).groupBy(*keys, "node").agg(*least)
+    if not seen.filter("lo <> hi").isEmpty():
+        return None
+    # the ends b go to their number; what comes back are segments that are alone there
+    far = net.select(*keys, F.col("b").alias("node"), "a", place("b").alias("place")).repartition(shuffle_partitions(net.sparkSession), *keys, "node")
+    w = Window.partitionBy(*keys, "node")
+    ends = far.withColumns({"first": F.min("place").over(w), "last": F.max("place").over(w), "n": F.count("*").over(w)}).join(seen, [*keys, "node"], "left")
+    ends = ends.withColumn("clash", (F.col("first") != F.col("last")) | F.coalesce(F.col("first") != F.col("lo"), F.lit(False)))
+    back = ends.filter("clash OR n = 1 AND times IS NULL").select(*keys, "a", "clash")
+    once = seen.filter("times = 1").join(far.select(*keys, "node"), [*keys, "node"], "left_anti").select(*keys, F.col("node").alias("a"), F.lit(True).alias("once"))
+    lone = checkpointed(dealt_by(back.join(once, [*keys, "a"], "left").filter("clash OR once").select(*keys, "a", "clash"), *keys, "a"))
+    return lone.drop("clash") if lone.filter("clash").isEmpty() else None
 
 
 def _lids(rim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A fan (keys, px .. rz) on each loop of the rim segments (keys, ux .. wz), from the mean of its points."""
-    # segments that two faces walk in opposite directions bound nothing
-    turn = F.col("u") > F.col("w")
-    ends = [F.when(turn == (e == "b"), F.col(f"u{c}")).otherwise(F.col(f"w{c}")).alias(e + c) for e in "ab" for c in "xyz"]
-    flat = _numbered_rim(rim, keys).filter("u <> w").select(*keys, F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), F.when(turn, -1).otherwise(1).alias("there"), *ends)
-    net = flat.groupBy(*keys, "a", "b").agg(F.sum("there").alias("n"), *[F.first(c).alias(c) for c in _named("ab")]).filter("n <> 0")
-    net = checkpointed(net)
-    loop = linked_labels(net.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), keys).withColumnsRenamed({"node": "a", "label": "loop"})
+    """A fan (keys, px .. rz) on each loop of the rim segments (keys, ux .. wz), from the mean of its points.
+
+    Coordinates are shuffled once, to the number of an end; all else goes by numbers. Segments that
+    meet no other are loops of their own, whose mean is where they begin.
+    """
+    for seed in range(8):
+        net = _net_rim(rim, keys, seed)
+        if (lone := _lone(net, keys, seed)) is not None:
+            break
+        released(net)
+    else:
+        raise RuntimeError("no numbers that tell the points of the rim apart")
+    rest, alone = (net.join(lone, [*keys, "a"], how) for how in ("left_anti", "left_semi"))
+    loop = linked_labels(rest.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), keys)
+    loop = checkpointed(dealt_by(loop.select(*keys, F.col("node").alias("a"), F.col("label").alias("loop")), *keys, "a"))
     back, walked = F.col("n") < 0, (("p", "b", "a"), ("q", "a", "b"))
-    on = net.join(loop, [*keys, "a"]).select(*keys, "loop", F.abs("n").cast("int").alias("n"), *[F.when(back, F.col(b + c)).otherwise(F.col(a + c)).alias(p + c) for p, b, a in walked for c in "xyz"])
-    on = checkpointed(on.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "copy"))
+    sides = [F.when(back, F.col(b + c)).otherwise(F.col(a + c)).alias(p + c) for p, b, a in walked for c in "xyz"]
+    times = F.explode(F.sequence(F.lit(1), F.abs("n").cast("int"))).alias("copy")
+    on = rest.join(loop, [*keys, "a"]).select(*keys, "loop", *sides, times)
     # a row a loop, broadcast if few: the segments of a long loop do not meet in one task
     centre = few(checkpointed(on.groupBy(*keys, "loop").agg(*[F.avg(f"p{c}").alias(f"r{c}") for c in "xyz"])))
-    return on.join(centre, [*keys, "loop"]).select(*keys, *_named("pqr"))
+    fans = on.join(centre, [*keys, "loop"]).select(*keys, *_named("pqr"))
+    return fans.union(alone.select(*keys, *sides, times).select(*keys, *_named("pq"), *[F.col(f"p{c}").alias(f"r{c}") for c in "xyz"]))
+
+
+#: Vertices that may be broadcast, 40 bytes each.
+VERTICES = 1 << 20
 
 
 def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, float, float], keys: Sequence[str] = ("mesh_id",), lid: bool = True) -> DataFrame:
@@ -333,7 +368,7 @@ def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, floa
     front; triangles without extent are dropped.
     """
     pl = tuple(F.lit(float(c)) for c in plane)
-    side = few(checkpointed(vertex.select("v", *[F.col(a).cast("double").alias(a) for a in "xyz"], plane_distance(xyz(), pl).alias("d")).filter("d IS NOT NULL")))
+    side = few(checkpointed(vertex.select("v", *[F.col(a).cast("double").alias(a) for a in "xyz"], plane_distance(xyz(), pl).alias("d")).filter("d IS NOT NULL")), VERTICES)
     f = face.select(*keys, *CORNERS)
     for c, p in zip(CORNERS, "pqr"):
         f = f.join(side.select(F.col("v").alias(c), F.col("d").alias(f"d{p}"), *[F.col(a).alias(p + a) for a in "xyz"]), c)
@@ -343,7 +378,7 @@ def cut_mesh(vertex: DataFrame, face: DataFrame, plane: tuple[float, float, floa
     if lid:
         apart = F.least("dp", "dq", "dr") < 0
         rim = f.filter(apart & (F.greatest("dp", "dq", "dr") >= 0)).mapInArrow(_cut_faces(keys, True), rows("uw"))
-        kept = kept.unionByName(_lids(checkpointed(rim), keys))
+        kept = kept.unionByName(_lids(rim, keys))
     return kept
 
 

@@ -74,9 +74,9 @@ def dealt_by(df: DataFrame, *by: str) -> DataFrame:
     return dealt
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, a stored table, to be broadcast if it is counted to have at most FEW rows."""
-    return F.broadcast(df) if df.count() <= FEW else df
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, a stored table, to be broadcast if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def released(*tables: DataFrame) -> None:

@@ -89,3 +89,39 @@ def test_loops_of_the_rim_are_sought_by_numbers(spark, meshes, monkeypatch):
     sides = ("mesh_id", *(p + a for p in "pqr" for a in "xyz"))
     rows = lambda v, f: sorted(tuple(round(x, 9) + 0.0 if isinstance(x, float) else x for x in r) for r in shape.cut_mesh(v, f, (0, 0, 1, 0.25)).select(*sides).collect())
     assert rows(own, apart) == rows(vertex, face) and set(kinds) == {"bigint"}
+
+
+def test_segments_that_meet_no_other_need_no_search(spark, monkeypatch):
+    """Only segments that share an end are linked; one on its own is a loop whose mean is where it begins."""
+    points, faces = [], []
+    for i in range(3):  # apart from each other
+        faces.append(("m", i, *(len(points) + k for k in range(3))))
+        points += [(10.0 * i, 0, 0), (10.0 * i + 1, 0, 1), (10.0 * i, 1, 0)]
+    n = len(points)
+    points += [(100, 0, 0), (100, 0, 1), (101, 0, 0), (99, 0, 0)]
+    faces += [("m", 3, n, n + 1, n + 2), ("m", 4, n + 1, n, n + 3), ("other", 5, n, n + 1, n + 2)]
+    vertex = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "v long, x double, y double, z double")
+    face = spark.createDataFrame(faces, "mesh_id string, f long, v1 long, v2 long, v3 long")
+    linked, real = [], shape.linked_labels
+    monkeypatch.setattr(shape, "linked_labels", lambda links, keys: linked.append(links.count()) or real(links, keys))
+    rows = [tuple(r[c] for c in ("mesh_id", *shape._named("pqr"))) for r in shape.cut_mesh(vertex, face, (0, 0, 1, 0.25)).collect()]
+    assert linked == [2]
+    lids = [(r[0], r[1:4], r[4:7], r[7:]) for r in rows if {r[3], r[6], r[9]} == {0.25}]
+    assert len(rows) == 12 and len(lids) == 6
+    assert sorted(p for m, p, _, c in lids if p == c) == sorted([p for m, p, _, _ in lids if p[0] < 50] + [p for m, p, _, _ in lids if m == "other"])
+    pair = [(p, c) for m, p, _, c in lids if m == "m" and p[0] > 50]
+    assert len(pair) == 2 and all(c == pytest.approx(np.mean([p for p, _ in pair], 0)) for _, c in pair)
+
+
+def test_places_that_share_a_number_are_noticed(spark):
+    at = lambda *rows: spark.createDataFrame([("m", a, b, 1, *map(float, (*p, *q))) for a, b, p, q in rows], f"mesh_id string, a long, b long, n long, {', '.join(f'{c} double' for c in shape._named('ab'))}")
+    o, p, q, r = (0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0)
+    lone = lambda net: None if (t := shape._lone(shape.checkpointed(shape.dealt_by(net, "mesh_id", "a")), ["mesh_id"], 0)) is None else sorted(x["a"] for x in t.collect())
+    assert lone(at((1, 2, o, p), (3, 4, q, r))) == [1, 3]
+    assert lone(at((1, 2, o, p), (2, 3, p, q), (4, 5, r, o))) == [4]
+    assert lone(at((1, 2, o, p), (1, 3, o, q), (4, 5, r, o))) == [4]
+    assert lone(at((1, 3, o, p), (2, 3, q, p))) == []
+    assert lone(at((1, 2, o, p), (1, 3, q, r))) is None  # as first ends
+    assert lone(at((1, 3, o, p), (2, 3, q, r))) is None  # as second ends
+    assert lone(at((1, 2, o, p), (2, 3, q, r))) is None  # as either
+    assert lone(at((1, 1, o, p))) is None  # of one segment
